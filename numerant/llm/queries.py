@@ -30,7 +30,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     junk = [url_rules.Rule(g, "block", g, -1 - k) for k, g in enumerate(URL_GLOBS)]
     judged = url_rules.judge_urls(read(spark, sf_dir, "pages"), rules + junk)
     by_rule = F.col("rule").isin([r.name for r in rules])
-    return judged.select("page_id", "host", "path", F.when(by_rule, F.col("rule")).alias("rule"), "verdict", F.when(~by_rule, F.col("rule")).alias("glob"))
+    return judged.select("page_id", "host", "path", F.when(by_rule, F.col("rule")).alias("rule"), "verdict", F.when(~by_rule, F.col("rule")).alias("pattern"))
 
 
 OP10_SQL = r"""
@@ -50,9 +50,9 @@ ruled AS (
 globbed AS (
   SELECT *, CASE WHEN rule IS NOT NULL OR NOT starts_with(path, '/') THEN NULL
     WHEN contains(host, 'spam-farm') THEN '*spam-farm*/**' WHEN contains(host, 'cheap-pills') THEN '*cheap-pills*/**'
-    WHEN contains(host, 'casino') THEN '*casino*/**' END AS glob FROM ruled)
+    WHEN contains(host, 'casino') THEN '*casino*/**' END AS pattern FROM ruled)
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') OR glob IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, glob
+  CASE WHEN rule IN ('net/', 'example.com/de/') OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern
 FROM globbed
 """
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from numerant.llm.common import small_batches
 from numerant.llm.tokens import encoder
 
-HEAD, TAIL, ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<QQ")
+HEAD, TAIL, ENTRY = "<QI", "<I", "<QQ"
 NO_KEY = -(1 << 63)
 
 
@@ -38,23 +38,23 @@ def masked_crc(data: bytes) -> int:
 
 def framed(payload: bytes) -> bytes:
     length = struct.pack("<Q", len(payload))
-    return b"".join((length, TAIL.pack(masked_crc(length)), payload, TAIL.pack(masked_crc(payload))))
+    return b"".join((length, struct.pack(TAIL, masked_crc(length)), payload, struct.pack(TAIL, masked_crc(payload))))
 
 
 def read_record(source, offset: int | None = None) -> bytes | None:
     """The payload at ``offset`` (or where the file stands); None at the end. A wrong checksum raises ValueError."""
     if offset is not None:
         source.seek(offset)
-    head = source.read(HEAD.size)
+    head = source.read(struct.calcsize(HEAD))
     if not head:
         return None
-    if len(head) < HEAD.size:
+    if len(head) < struct.calcsize(HEAD):
         raise ValueError("the file ends within a record")
-    length, crc = HEAD.unpack(head)
+    length, crc = struct.unpack(HEAD, head)
     if masked_crc(head[:8]) != crc:
         raise ValueError("a length doesn't fit its checksum")
-    body = source.read(length + TAIL.size)
-    if len(body) < length + TAIL.size or masked_crc(body[:-4]) != TAIL.unpack(body[-4:])[0]:
+    body = source.read(length + 4)
+    if len(body) < length + 4 or masked_crc(body[:-4]) != struct.unpack(TAIL, body[-4:])[0]:
         raise ValueError("a payload doesn't fit its checksum")
     return body[:-4]
 
@@ -107,7 +107,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, key
                 short = ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
                 record = framed(struct.pack("<q", NO_KEY if k is None else k) + short + end)
                 data.write(record)
-                index.write(ENTRY.pack(at, n))
+                index.write(struct.pack(ENTRY, at, n))
                 at, records, count = at + len(record), records + 1, count + n
         if data is not None:
             data.close(), index.close()
@@ -162,7 +162,7 @@ def read_one(files: TokenFiles, name: str, number: int) -> tuple[int | None, np.
     """Key and ids of one record, found by the index alone: what a shuffled reader does."""
     fs, root = filesystem(files.folder)
     with fs.open_input_file(f"{root}/{name}.idx") as f:
-        offset, n = ENTRY.unpack(f.read_at(ENTRY.size, number * ENTRY.size))
+        offset, n = struct.unpack(ENTRY, f.read_at(16, number * 16))
     with fs.open_input_file(f"{root}/{name}.rec") as f:
         payload = read_record(f, offset)
     key = struct.unpack_from("<q", payload)[0]
