@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,14 +83,6 @@ class Memo(dict):
         self[key] = value
 
 
-_words = Memo(xxhash.xxh3_64_intdigest)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, the same on every machine."""
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -103,3 +95,58 @@ def span_starts(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths), np.int64)
     np.cumsum(lengths[:-1], out=out[1:])
     return out
+
+
+_ODD = 0x9E3779B97F4A7C15
+_BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+_powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
+
+
+def powers(n: int, sign: int = 1) -> np.ndarray:
+    """The first ``n`` powers, modulo 2**64, of an odd number (or of its inverse)."""
+    if len(_powers[sign]) < n:
+        steps = np.full(max(n, 1 << 20), _ODD if sign > 0 else pow(_ODD, -1, 1 << 64), np.uint64)
+        steps[0] = 1
+        _powers[sign] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[sign]
+
+
+def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes ``codes[start:end]``, the same on every machine and wherever the run stands."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_BYTE_HASH[codes] * powers(len(codes))[: len(codes)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * powers(len(codes) + 1, -1)[starts] + (ends - starts).astype(np.uint64))
+
+
+#: What a word is made of, by byte of UTF-8: letters, digits and all that is not ASCII; or all but ASCII white space.
+WORD_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+NOT_SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+
+
+def hashed_words(texts: list[bytes], kept: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts in UTF-8: their hashes, where each text's words begin (one more entry than texts), and each
+    word's first and last byte (end exclusive) in its own text."""
+    codes = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    if not len(codes):
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = np.zeros(len(codes) + 1, np.int8)
+    inside[1:] = kept[codes]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])  # every text ends with a separator, so edges come in pairs
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1, out=offsets[1:])
+    bounds = np.searchsorted(starts, offsets)
+    shift = np.repeat(offsets[:-1], np.diff(bounds))
+    return run_hashes(codes, starts, ends), bounds, starts - shift, ends - shift
+
+
+def grouped(sizes: list[int], most: int = 1_000_000) -> Iterator[slice]:
+    """Consecutive slices of at most ``most`` in all, or of one larger entry."""
+    low = total = 0
+    for k, size in enumerate(sizes):
+        if total and total + size > most:
+            yield slice(low, k)
+            low, total = k, 0
+        total += size
+    if sizes:
+        yield slice(low, len(sizes))

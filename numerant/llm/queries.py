@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerant.llm import packing, token_files, tokens, url_rules
-from numerant.llm.common import fresh_path, read
+from numerant.llm import language, packing, quality, secret_scan, token_files, tokens, toxicity, url_rules
+from numerant.llm.common import fold, fresh_path, read
 
 END_ID = 2
 
@@ -16,15 +16,41 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 URL_GLOBS = ["*spam-farm*/**", "*cheap-pills*/**", "*casino*/**"]
 
 
+def in_fold(modulus: int, rest: int) -> Column:
+    return F.coalesce(fold(F.col("doc_id"), modulus) == rest, F.lit(False))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(read(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~in_fold(4, 2)))
+    return language.identify(docs, model).select("doc_id", in_fold(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_tokens(read(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), tokens.vocabulary("word_bpe_49k.json"), END_ID)
     return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~in_fold(5, 0)), label="toxic")
+    return toxicity.score_documents(docs, model).select("doc_id", in_fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), END_ID)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(~in_fold(3, 1)), label="quality")
+    return quality.score_documents(docs, model).select("doc_id", in_fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_rules.host_rule(*r) for r in URL_RULES]
     junk = [url_rules.Rule(g, "block", g, -1 - k) for k, g in enumerate(URL_GLOBS)]
@@ -58,11 +84,8 @@ FROM globbed
 
 
 def queries() -> dict:
-    return {
-        "op5_token_files": op5_token_files,
-        "op7_best_fit_packing": op7_best_fit_packing,
-        "op10_url_rules": op10_url_rules,
-    }
+    named = (op1_secret_scan, op3_language_id, op5_token_files, op6_toxicity, op7_best_fit_packing, op9_quality, op10_url_rules)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from numerant.llm.common import Memo, mixed, span_starts
+from numerant.llm.common import Memo, grouped, run_hashes, span_starts
 
 #: Letters beyond ASCII that the fast way takes: the Latin blocks up to U+024F.
 _LETTERS = "\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"  # not the one whose lower case is two characters
@@ -41,9 +41,6 @@ def _byte_letters() -> dict[int, str]:
 
 
 CLASSES, BYTE_LETTERS = _classes(), _byte_letters()
-_ODD = 0x9E3779B97F4A7C15
-_BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-
 
 class Encoder:
     """``ids(texts)`` gives the ids of each text as bytes: unsigned 32-bit little-endian integers."""
@@ -53,7 +50,6 @@ class Encoder:
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None  # then blanks leave no ids and each digit is a piece
         self.memo = Memo(lambda key: None, memo)
-        self.powers = self.inverse = np.ones(1, np.uint64)
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,27 +58,14 @@ class Encoder:
         found = self.model.tokenize(raw.decode("latin-1").translate(BYTE_LETTERS))
         return np.array([t.id for t in found], "<u4").tobytes()
 
-    def grown(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 2 * len(self.powers))
-            for name, base in (("powers", _ODD), ("inverse", pow(_ODD, -1, 1 << 64))):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         texts = [t or "" for t in texts]
         plain = [k for k, t in enumerate(texts) if t and _NOT_PLAIN.search(t) is None]
         out = [b"" if not t else None for t in texts]
-        group, size = [], 0
-        for k in plain:
-            group.append(k)
-            size += len(texts[k])
-            if size > 1_000_000 or k == plain[-1]:
-                for at, data in zip(group, self.batch([texts[i] for i in group]), strict=True):
-                    out[at] = data
-                group, size = [], 0
+        for part in grouped([len(texts[k]) for k in plain]):
+            for at, data in zip(plain[part], self.batch([texts[k] for k in plain[part]]), strict=True):
+                out[at] = data
         return [self.direct(t) if data is None else data for t, data in zip(texts, out, strict=True)]
 
     def batch(self, texts: list[str]) -> list[bytes]:
@@ -110,10 +93,7 @@ class Encoder:
             begins &= ~glued
             starts = np.flatnonzero(begins)
             ends = np.append(starts[1:], len(kind))
-        self.grown(len(kind) + 1)
-        sums = np.zeros(len(kind) + 1, np.uint64)
-        np.cumsum(_BYTE_HASH[codes] * self.powers[: len(kind)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        hashes = run_hashes(codes, starts, ends)
         keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         memo, names = self.memo, keys.tolist()
         found = list(map(memo.get, names))
