@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerant.llm import language, packing, quality, secret_scan, token_files, tokens, toxicity, url_rules
+from numerant.llm import language, packing, quality, secret_scan, token_files, tokens, toxicity, url_rules, voronoi
 from numerant.llm.common import fold, fresh_path, read
 
 END_ID = 2
@@ -30,6 +30,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", in_fold(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.inner_product_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_tokens(read(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), tokens.vocabulary("word_bpe_49k.json"), END_ID)
     return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -84,9 +101,9 @@ FROM globbed
 
 
 def queries() -> dict:
-    named = (op1_secret_scan, op3_language_id, op5_token_files, op6_toxicity, op7_best_fit_packing, op9_quality, op10_url_rules)
+    named = (op1_secret_scan, op3_language_id, op4_voronoi_top_k, op5_token_files, op6_toxicity, op7_best_fit_packing, op9_quality, op10_url_rules)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_rules": OP10_SQL}
+    return {"op4_voronoi_top_k": OP4_SQL, "op10_url_rules": OP10_SQL}
