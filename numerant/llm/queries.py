@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerant.llm import language, packing, quality, secret_scan, token_files, tokens, toxicity, url_rules, voronoi
+from numerant.llm import decontamination, language, packing, quality, secret_scan, token_files, tokens, toxicity, url_rules, voronoi
 from numerant.llm.common import fold, fresh_path, read
 
 END_ID = 2
@@ -24,6 +24,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs.filter(~in_fold(4, 2)))
@@ -101,7 +105,7 @@ FROM globbed
 
 
 def queries() -> dict:
-    named = (op1_secret_scan, op3_language_id, op4_voronoi_top_k, op5_token_files, op6_toxicity, op7_best_fit_packing, op9_quality, op10_url_rules)
+    named = (op1_secret_scan, op2_decontamination, op3_language_id, op4_voronoi_top_k, op5_token_files, op6_toxicity, op7_best_fit_packing, op9_quality, op10_url_rules)
     return {f.__name__: f for f in named}
 
 
