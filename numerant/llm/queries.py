@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerant.llm import decontamination, language, packing, quality, secret_scan, token_files, tokens, toxicity, url_rules, voronoi
+from numerant.llm import decontamination, language, packing, partenum, quality, secret_scan, token_files, tokens, toxicity, url_rules, voronoi
 from numerant.llm.common import fold, fresh_path, read
 
 END_ID = 2
@@ -66,6 +66,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), END_ID)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_groups(read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.filter(~in_fold(3, 1)), label="quality")
@@ -105,7 +109,7 @@ FROM globbed
 
 
 def queries() -> dict:
-    named = (op1_secret_scan, op2_decontamination, op3_language_id, op4_voronoi_top_k, op5_token_files, op6_toxicity, op7_best_fit_packing, op9_quality, op10_url_rules)
+    named = (op1_secret_scan, op2_decontamination, op3_language_id, op4_voronoi_top_k, op5_token_files, op6_toxicity, op7_best_fit_packing, op8_ngram_jaccard, op9_quality, op10_url_rules)
     return {f.__name__: f for f in named}
 
 
