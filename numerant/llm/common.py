@@ -174,14 +174,14 @@ def id_places(ids: np.ndarray, bits: int = 25) -> np.ndarray:
     return mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)
 
 
-def maybe_in(df: DataFrame, key: str, known: np.ndarray, bits: int = 25) -> DataFrame:
-    """The rows of ``df`` whose ``key`` (not null) may be in the set that ``id_filter`` made ``known``."""
+def maybe_in(df: DataFrame, key: str, known: np.ndarray, bits: int = 25, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (not null) may be in the set that ``id_filter`` made ``known``; or the others."""
     shared = df.sparkSession.sparkContext.broadcast(known)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(shared.value).astype(bool)
         for b in batches:
             at = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(table[id_places(at, bits)]))
+            yield b.filter(pa.array(table[id_places(at, bits)] == inside))
 
     return df.mapInArrow(keep, ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
