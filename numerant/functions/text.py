@@ -56,7 +56,7 @@ def squashed(text: Column) -> Column:
 def row_cells(line: Column) -> Column:
     """The cells of a Markdown table row."""
     inner = F.regexp_replace(F.regexp_replace(F.trim(line), r"^\|", ""), r"\|$", "")
-    return F.transform(F.split(inner, r"\|"), F.trim)
+    return F.transform(F.split(inner, r"\|"), lambda c: F.trim(c))
 
 
 def is_separator_row(line: Column) -> Column:
