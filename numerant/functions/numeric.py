@@ -13,18 +13,12 @@ SIZE = "decimal(38,6)"
 
 def power_of_ten(exponent: Column) -> Column:
     """10 to a whole power from 0 to 12, exactly."""
-    out = F.lit("1").cast("decimal(13,0)")
-    for n in range(1, 13):
-        out = F.when(exponent == n, F.lit(str(10**n)).cast("decimal(13,0)")).otherwise(out)
-    return out
+    return F.get(F.array(*[F.lit(str(10**n)).cast("decimal(13,0)") for n in range(13)]), exponent)
 
 
 def last_digit(decimals: Column) -> Column:
-    """One unit of the last of so many decimals, up to 6."""
-    out = F.lit("1").cast("decimal(7,6)")
-    for n in range(1, 7):
-        out = F.when(decimals >= n, F.lit(f"{10**-n:.6f}").cast("decimal(7,6)")).otherwise(out)
-    return out
+    """One unit of the last of so many decimals, of which 6 count at most."""
+    return F.get(F.array(*[F.lit(f"{10**-n:.6f}").cast("decimal(7,6)") for n in range(7)]), F.least(decimals, F.lit(6)))
 
 
 def is_percent(unit: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,6 +98,3 @@ def printed_page(line: Column) -> Column:
     end = F.regexp_extract(line, r"\|[^|\n]*?\s(\d{1,4})\s*$", 1)
     return F.when(start != "", start).when(end != "", end).cast("int")
 
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
