@@ -36,6 +36,7 @@ WORDS = 3
 PERCENT = 90
 BAND = 1.35
 SKETCH = 256
+SALTS = 16
 _FACTORS = mixed(np.arange(1, 17, dtype=np.uint64))
 
 
@@ -170,7 +171,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
     small_batches(docs.sparkSession)
     sets = stored(described(docs, key, text, words, percent), "sets")
     full = sets.filter("n > 0 and doc is not null")
-    heads = full.groupBy("h1", "h2").agg(F.min("doc").alias("head"))
+    heads = full.groupBy("h1", "h2").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("copies"))
     nodes = full.join(heads.select("h1", "h2", F.col("head").alias("doc")), ["h1", "h2", "doc"], "left_semi")
 
     # Nodes with company: every signature that two nodes share.
@@ -206,7 +207,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
     for done in (company, facts, near, open_, cross, joined, links, more):
         removed(done)
 
-    result = full.select("doc", "n", "h1", "h2").join(heads, ["h1", "h2"]).join(component, F.col("head") == F.col("node"), "left")
+    # Of sets with copies, which may be very many, every share finds its head in one of SALTS places.
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS))
+    many = heads.filter("copies > 1").select("h1", "h2", "head", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    headed = full.select("doc", "n", "h1", "h2", salt.alias("salt")).join(many, ["h1", "h2", "salt"], "left").select("doc", "n", F.coalesce("head", "doc").alias("head"))
+    result = headed.join(component, F.col("head") == F.col("node"), "left")
     result = result.select("doc", "n", F.coalesce("component", "head").alias("component_id"))
     rest = sets.filter("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
     return result.union(rest).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
