@@ -33,5 +33,5 @@ def arm_summary(runs: DataFrame) -> DataFrame:
 
 def arm_matrix(runs: DataFrame, arms: list[str]) -> DataFrame:
     """Questions by arms, each cell correct/all; null where an arm has no run."""
-    cell = F.concat_ws("/", F.count_if("correct").cast("string"), F.count(F.lit(1)).cast("string"))
+    cell = F.when(F.count(F.lit(1)) > 0, F.concat_ws("/", F.count_if("correct").cast("string"), F.count(F.lit(1)).cast("string")))
     return runs.groupBy("qid").pivot("arm", arms).agg(cell)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numerant.functions.numeric import close_enough, close_to_display
+from numerant.operators.checking import checked_figures
 from numerant.operators.claims import order_blocks, order_claims, statements
 from numerant.operators.figures import extract_figures
 from numerant.operators.matching import cited_matches, currency_fits, in_year, near_misses, sign_fits, unit_fits, where_hints
@@ -99,6 +100,14 @@ def q31_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status_counts(_answers(spark, sf_dir), "answer_id")
 
 
+def q47_check_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions from text: all statements about a customer's orders, read and checked as one answer."""
+    owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("figure_id"), F.col("o_custkey").alias("answer_id"))
+    said = statements(_claims(spark, sf_dir)).join(owner, "figure_id")
+    answers = said.groupBy("answer_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))
+    return answer_decisions(checked_figures(answers, _blocks(spark, sf_dir)), "answer_id")
+
+
 _CLAIMS = """
 base AS (SELECT o_orderkey AS k, o_custkey AS cust, CAST(o_totalprice AS DECIMAL(18,2)) AS p, CAST(o_orderkey % 8 AS INTEGER) AS c FROM orders),
 claims AS (SELECT k AS figure_id, cust, c, p,
@@ -110,6 +119,9 @@ near AS (SELECT *, round(apart, 4) = 0 OR (round(apart, 4) <= half AND round(apa
 """
 _STATUS = """CASE WHEN c = 7 THEN 'untraced' WHEN c = 6 THEN 'phantom' WHEN c IN (0, 1, 2) AND close THEN 'traced' ELSE 'mismatch' END"""
 
+_Q30 = f"""WITH {_CLAIMS}, s AS (SELECT cust AS answer_id, {_STATUS} AS status FROM near)
+ SELECT answer_id, count(*) AS figures, count(*) FILTER (WHERE status <> 'traced') AS problems, CASE WHEN bool_or(status <> 'traced') THEN 'deny' ELSE 'allow' END AS decision FROM s GROUP BY answer_id"""
+
 SQL = {
     "q09_extract_figures": f"""WITH {_CLAIMS} SELECT figure_id, 0 AS pos, v AS value, c = 3 AS neg, CASE c WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 0 END AS scale, CASE WHEN c = 5 THEN '%' END AS unit,
  CASE WHEN c = 4 THEN 'GBP' WHEN c = 5 THEN NULL ELSE 'USD' END AS currency, CASE WHEN c IN (1, 2) THEN 1 ELSE 2 END AS decimals, CAST(v AS DECIMAL(24,6)) * CAST(f AS DECIMAL(7,0)) AS size FROM near""",
@@ -130,11 +142,11 @@ SELECT o_orderkey, asked IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.o_custke
   FROM near a JOIN near b ON abs(a.p - b.p) <= 0.005 WHERE a.c = 7)
  SELECT figure_id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS found FROM r WHERE r <= 3 GROUP BY figure_id""",
     "q29_figure_status": f"WITH {_CLAIMS} SELECT figure_id, {_STATUS} AS status FROM near",
-    "q30_answer_decision": f"""WITH {_CLAIMS}, s AS (SELECT cust AS answer_id, {_STATUS} AS status FROM near)
- SELECT answer_id, count(*) AS figures, count(*) FILTER (WHERE status <> 'traced') AS problems, CASE WHEN bool_or(status <> 'traced') THEN 'deny' ELSE 'allow' END AS decision FROM s GROUP BY answer_id""",
+    "q30_answer_decision": _Q30,
+    "q47_check_answers": _Q30,
     "q31_status_counts": f"""WITH {_CLAIMS}, s AS (SELECT cust AS answer_id, {_STATUS} AS status FROM near)
  SELECT answer_id, count(*) FILTER (WHERE status = 'traced') AS traced, count(*) FILTER (WHERE status = 'calculated' OR status = 'calculated_with_assumption') AS calculated,
   count(*) FILTER (WHERE status = 'from_question') AS from_question, count(*) FILTER (WHERE status NOT IN ('traced', 'calculated', 'calculated_with_assumption', 'from_question')) AS unsupported FROM s GROUP BY answer_id""",
 }
 
-QUERIES = {f.__name__: f for f in (q09_extract_figures, q10_close_enough, q11_close_to_display, q12_match_block, q13_sign_check, q14_currency_check, q15_unit_check, q16_year_column, q17_near_miss, q18_where_hint, q29_figure_status, q30_answer_decision, q31_status_counts)}
+QUERIES = {f.__name__: f for f in (q09_extract_figures, q10_close_enough, q11_close_to_display, q12_match_block, q13_sign_check, q14_currency_check, q15_unit_check, q16_year_column, q17_near_miss, q18_where_hint, q29_figure_status, q30_answer_decision, q31_status_counts, q47_check_answers)}
