@@ -143,7 +143,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Learns from at most ``rows`` rows with a language and letters, chosen by a hash of the key.
 
-    The executors count the subwords; what comes to the driver is a list of counts per row of the sample.
+    Subwords are counted where the texts are; one task, whose input the bound keeps small, trains.
     """
     small_batches(docs.sparkSession)
     known = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -159,10 +159,20 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             cols = [pa.array(c, pa.binary()) for c in (zip(*out, strict=True) if out else ([], []))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *cols], ["id", "lang", "found", "counts"])
 
-    got = picked.mapInArrow(counted, "id long, lang string, found binary, counts binary").toArrow().to_pylist()
-    got.sort(key=lambda r: ((r["id"] * 0x9E3779B97F4A7C15) % (1 << 64), r["found"]))
-    used = [(np.frombuffer(r["found"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(float), r["lang"]) for r in got]
-    return train([r for r in used if len(r[0])])
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        got.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) % (1 << 64), r[2]))  # the same order every time
+        used = [(np.frombuffer(found, "<u2").astype(np.int64), np.frombuffer(counts, "<u4").astype(float), name) for _, name, found, counts in got]
+        m = train([r for r in used if len(r[0])])
+        yield pa.RecordBatch.from_pydict({"names": [m.languages], "table": [m.table.astype("<f4").tobytes()], "bias": [m.bias.tolist()], "temperature": [m.temperature], "least": [m.least]}, pa.schema({"names": pa.list_(pa.string()), "table": pa.binary(), "bias": pa.list_(pa.float64()), "temperature": pa.float64(), "least": pa.float64()}))
+
+    counts = picked.mapInArrow(counted, "id long, lang string, found binary, counts binary")
+    made = counts.repartition(1).mapInArrow(trained, "names array<string>, table binary, bias array<double>, temperature double, least double").collect()
+    if not made:
+        return train([])
+    m = made[0]
+    return Model(list(m.names), np.frombuffer(bytes(m.table), "<f4").reshape(1 << BITS, -1) if m.names else np.zeros((1 << BITS, 0), np.float32), np.array(m.bias), m.temperature, m.least)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
