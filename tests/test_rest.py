@@ -155,9 +155,8 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
 
     def run(df, mode, name):
-        query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
-        query.processAllAvailable()
-        query.stop()
+        query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(once=True).option("checkpointLocation", str(tmp_path / name)).start()
+        assert query.awaitTermination(100)
         return spark.table(name)
 
     got = run(tumbling_totals(stream, "10 minutes"), "complete", "t1")
