@@ -92,10 +92,17 @@ def scores(model: Model, texts: list[str | None], sizes: Sizes | None = None) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", rows: int = TRAIN_ROWS) -> Model:
-    """Learns from at most ``rows`` rows of ``labels`` (key, label 0 or 1; other values are left out)."""
-    got = sample(docs, labels, rows, key, text, label).select(key, "_label", "_text").toArrow()
-    found = sorted(zip(got[key].to_pylist(), got["_label"].to_pylist(), got["_text"].to_pylist(), strict=True), key=lambda r: ((int(r[0]) * 0x9E3779B97F4A7C15) % (1 << 64), r[2] or ""))
-    return train([(t or "", y) for _, y, t in found])
+    """Learns from at most ``rows`` rows of ``labels`` (key, label 0 or 1; other values are left out), in one task whose
+    input that bound keeps small."""
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        found.sort(key=lambda r: ((int(r[0]) * 0x9E3779B97F4A7C15) % (1 << 64), r[2] or ""))  # the same order every time
+        model = train([(t or "", y) for _, y, t in found])
+        yield pa.RecordBatch.from_pydict({"good": [model.good], "bad": [model.bad], "slope": [model.slope], "bias": [model.bias]})
+
+    made = sample(docs, labels, rows, key, text, label).repartition(1).mapInArrow(trained, "good binary, bad binary, slope double, bias double").collect()
+    return Model(bytes(made[0].good), bytes(made[0].bad), made[0].slope, made[0].bias) if made else train([])
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
