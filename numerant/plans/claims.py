@@ -10,6 +10,7 @@ from numerant.operators.checking import checked_figures
 from numerant.operators.claims import order_blocks, order_claims, statements
 from numerant.operators.figures import extract_figures
 from numerant.operators.matching import cited_matches, currency_fits, in_year, near_misses, sign_fits, unit_fits, where_hints
+from numerant.operators.report import verdicts
 from numerant.operators.status import answer_decisions, figure_statuses, status_counts
 from numerant.sources.tables import table
 
@@ -108,6 +109,10 @@ def q47_check_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_decisions(checked_figures(answers, _blocks(spark, sf_dir)), "answer_id")
 
 
+def q48_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(status_counts(_answers(spark, sf_dir), "answer_id"), "answer_id")
+
+
 _CLAIMS = """
 base AS (SELECT o_orderkey AS k, o_custkey AS cust, CAST(o_totalprice AS DECIMAL(18,2)) AS p, CAST(o_orderkey % 8 AS INTEGER) AS c FROM orders),
 claims AS (SELECT k AS figure_id, cust, c, p,
@@ -144,9 +149,12 @@ SELECT o_orderkey, asked IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.o_custke
     "q29_figure_status": f"WITH {_CLAIMS} SELECT figure_id, {_STATUS} AS status FROM near",
     "q30_answer_decision": _Q30,
     "q47_check_answers": _Q30,
+    "q48_verdicts": f"""WITH {_CLAIMS}, s AS (SELECT cust AS answer_id, {_STATUS} = 'traced' AS good FROM near),
+ n AS (SELECT answer_id, count(*) AS n, count(*) FILTER (WHERE good) AS t, count(*) FILTER (WHERE NOT good) AS u FROM s GROUP BY answer_id)
+ SELECT answer_id, u = 0 AS ok, n || ' figures: ' || concat_ws(', ', CASE WHEN t > 0 THEN t || ' traced' END, CASE WHEN u > 0 THEN u || ' unsupported' END) AS verdict FROM n""",
     "q31_status_counts": f"""WITH {_CLAIMS}, s AS (SELECT cust AS answer_id, {_STATUS} AS status FROM near)
  SELECT answer_id, count(*) FILTER (WHERE status = 'traced') AS traced, count(*) FILTER (WHERE status = 'calculated' OR status = 'calculated_with_assumption') AS calculated,
   count(*) FILTER (WHERE status = 'from_question') AS from_question, count(*) FILTER (WHERE status NOT IN ('traced', 'calculated', 'calculated_with_assumption', 'from_question')) AS unsupported FROM s GROUP BY answer_id""",
 }
 
-QUERIES = {f.__name__: f for f in (q09_extract_figures, q10_close_enough, q11_close_to_display, q12_match_block, q13_sign_check, q14_currency_check, q15_unit_check, q16_year_column, q17_near_miss, q18_where_hint, q29_figure_status, q30_answer_decision, q31_status_counts, q47_check_answers)}
+QUERIES = {f.__name__: f for f in (q09_extract_figures, q10_close_enough, q11_close_to_display, q12_match_block, q13_sign_check, q14_currency_check, q15_unit_check, q16_year_column, q17_near_miss, q18_where_hint, q29_figure_status, q30_answer_decision, q31_status_counts, q47_check_answers, q48_verdicts)}

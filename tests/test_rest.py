@@ -199,3 +199,13 @@ def test_checked_answers(spark, values):
     line = spark.createDataFrame([("Sales vs. plan rose [C1; C2]; costs fell. 13. x e.g. that! Done",)], "t string")
     assert line.select(clauses(prepared(F.col("t")))).first()[0] == ["Sales vs. plan rose [C1; C2]; ", "costs fell. ", "13. ", "x e.g. that! ", "Done"]
     assert scopes(answers.limit(0)).count() == 0
+
+
+def test_report(spark):
+    from numerant.operators.report import markdown, verdicts, views
+
+    counts = spark.createDataFrame([(1, 2, 1, 0, 0), (2, 0, 0, 0, 3), (3, 0, 0, 0, 0), (4, None, None, None, None)], "a int, traced int, calculated int, from_question int, unsupported int")
+    assert {r.a: (r.ok, r.verdict) for r in verdicts(counts, "a").collect()} == {1: (True, "3 figures: 2 traced, 1 calculated"), 2: (False, "3 figures: 3 unsupported"), 3: (True, "no figures"), 4: (False, "NOT CHECKED")}
+    checks = spark.createDataFrame([("q1", 1, "allow"), ("q1", 2, "not_checked"), ("q2", 3, "not_checked"), ("q3", 0, "deny"), ("q3", 4, "allow")], "q string, at int, decision string")
+    assert [(r.view, r.q, r.at) for r in views(checks, "q", "at").orderBy("view").collect()] == [(1, "q3", 4), (2, "q2", 3), (3, "q1", 1)]
+    assert markdown(counts.limit(1), ["a", "traced"]).first().line == "| 1 | 2 |"
