@@ -141,7 +141,7 @@ def hashed_words(texts: list[bytes], kept: np.ndarray = WORD_BYTES) -> tuple[np.
     return run_hashes(codes, starts, ends), bounds, starts - shift, ends - shift
 
 
-def grouped(sizes: list[int], most: int = 1_000_000) -> Iterator[slice]:
+def grouped(sizes: list[int], most: int = 500_000) -> Iterator[slice]:
     """Consecutive slices of at most ``most`` in all, or of one larger entry."""
     low = total = 0
     for k, size in enumerate(sizes):
