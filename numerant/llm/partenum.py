@@ -188,7 +188,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
     facts = stored(facts, "facts")
     x, y = facts.alias("x"), facts.alias("y")
     near = pairs.join(x, F.col("a") == F.col("x.doc")).join(y, F.col("b") == F.col("y.doc")).filter(may_link("x", "y", percent)).select("a", "b")
-    near = stored(near.sort("b"), "pairs")
+    near = stored(near, "pairs")
     links = verified(near, docs, key, text, words, percent)
     joined = stored(connected_components(links), "joined")
 

@@ -29,6 +29,7 @@ from numerant.llm.common import stored
 MOST_PIVOTS = 512
 QUERIES_PER_BLOCK = 2048
 ROWS_PER_BLOCK = 4096
+BATCH_BYTES = 32 << 20
 SLACK = 1e-6  # relative margin of the bounds
 
 
@@ -234,7 +235,7 @@ def inner_product_top_k(vectors: DataFrame, is_query, k: int, scale: float = 64.
         if best:
             yield told()
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # a pair of blocks is one row
     found = pairs.mapInArrow(solve, "query_id long, vec_id long, score long")
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
