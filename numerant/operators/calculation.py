@@ -56,12 +56,13 @@ def problems(formula: str, names: list[str], documents: list[str]) -> list[str]:
     return out
 
 
-def as_sql(formula: str) -> str:
-    """The formula as a Spark SQL expression over columns of type double; ValueError if it isn't one."""
+def tree(formula: str) -> tuple:
+    """The formula as nested tuples: ("number", text), ("name", name), ("sign", sign, x), ("call", function, x, ...) and
+    (operator, left, right); ValueError if it isn't a formula."""
     tokens = tokens_of(formula)
     if tokens is None:
         raise ValueError(f"not a formula: {formula}")
-    sql, at = "", 0
+    at = 0
 
     def peek() -> str:
         return tokens[at] if at < len(tokens) else ""
@@ -71,30 +72,25 @@ def as_sql(formula: str) -> str:
         at += 1
         return tokens[at - 1]
 
-    def chain(lower, ops: dict[str, str]) -> str:
+    def chain(lower, ops: str) -> tuple:
         left = lower()
-        while peek() in ops:
-            left = ops[take()].format(left, lower())
+        while peek() and peek() in ops:
+            left = (take(), left, lower())
         return left
 
-    def total() -> str:
-        return chain(product, {"+": "({} + {})", "-": "({} - {})"})
-
-    def product() -> str:
-        return chain(signed, {"*": "({} * {})", "/": "try_divide({}, {})"})
+    def total() -> tuple:
+        return chain(lambda: chain(signed, "*/"), "+-")
 
-    def signed() -> str:
-        return f"({take()}{signed()})" if peek() in ("-", "+") else power()
-
-    def power() -> str:
+    def signed() -> tuple:
+        if peek() in ("-", "+"):
+            return ("sign", take(), signed())
         base = atom()
         if peek() != "**":
             return base
         take()
-        exponent = signed()
-        return f"(CASE WHEN abs({exponent}) <= 100 AND ({base} <> 0 OR {exponent} > 0) AND ({base} >= 0 OR {exponent} = round({exponent})) THEN power({base}, {exponent}) END)"
+        return ("**", base, signed())
 
-    def atom() -> str:
+    def atom() -> tuple:
         t = take() if peek() else ""
         if t == "(":
             inner = total()
@@ -104,11 +100,11 @@ def as_sql(formula: str) -> str:
             while peek() == ",":
                 take()
                 args.append(total())
-            inner = f"{CALLS[t]}({', '.join(args)})" if t != "round" else f"bround({args[0]}, {'CAST(' + args[1] + ' AS INT)' if len(args) > 1 else 0})"
+            inner = ("call", t, *args)
         elif re.match(r"\d", t):
-            return f"{t}D"
+            return ("number", t)
         elif re.match(r"[A-Za-z_]", t):
-            return f"`{t}`"
+            return ("name", t)
         else:
             raise ValueError(f"not a formula: {formula}")
         if peek() != ")":
@@ -116,10 +112,34 @@ def as_sql(formula: str) -> str:
         take()
         return inner
 
-    sql = total()
+    out = total()
     if at < len(tokens):
         raise ValueError(f"not a formula: {formula}")
-    return sql
+    return out
+
+
+def _sql(node: tuple) -> str:
+    kind, *parts = node
+    if kind == "number":
+        return f"{parts[0]}D"
+    if kind == "name":
+        return f"`{parts[0]}`"
+    if kind == "sign":
+        return f"({parts[0]}{_sql(parts[1])})"
+    if kind == "call":
+        name, first, *rest = parts[0], *map(_sql, parts[1:])
+        if name == "round":
+            return f"bround({first}, {f'CAST({rest[0]} AS INT)' if rest else 0})"
+        return f"{CALLS[name]}({', '.join([first, *rest])})"
+    left, right = map(_sql, parts)
+    if kind == "**":
+        return f"(CASE WHEN abs({right}) <= 100 AND ({left} <> 0 OR {right} > 0) AND ({left} >= 0 OR {right} = round({right})) THEN power({left}, {right}) END)"
+    return f"try_divide({left}, {right})" if kind == "/" else f"({left} {kind} {right})"
+
+
+def as_sql(formula: str) -> str:
+    """The formula as a Spark SQL expression over columns of type double; ValueError if it isn't one."""
+    return _sql(tree(formula))
 
 
 def compiled(formula: str) -> Column:
