@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from numerant.functions.numeric import SIZE, close_to_display, is_percent, power_of_ten
 from numerant.functions.text import is_separator_row, normalised, row_cells
 from numerant.lexicon import CITATION_ID
 from numerant.operators.figures import extract_figures
-from numerant.operators.matching import matches
+from numerant.operators.matching import in_year, matches
 from numerant.operators.status import best_status
+from numerant.operators.years import clause_year, pinned, single_year
 
 # Citations, runs of them, and abbreviations that end no sentence.
 CITATION = rf"\[\s*{CITATION_ID}(?:\s*[,;]\s*{CITATION_ID})*\s*\]"
@@ -34,7 +35,9 @@ def clauses(line: Column) -> Column:
 
 
 def scopes(answers: DataFrame, key: str = "answer_id", text: str = "text") -> DataFrame:
-    """One row per scope: key, segment_id, scope_id (of a table, the row), text (without citations), cites, is_row.
+    """One row per scope: key, segment_id, scope_id (of a table, the row), text (without citations), cites, is_row; and
+    for years clause_id, clause, offset (of the text in the clause) and fallback_year (of the clause, or of the cell's
+    column header, else of its row's label).
 
     In prose a run of citations closes the scope of the text since the one before; what follows the last has none. In a
     table every cell is a scope and the row's citations cover it; separator rows are left out. Null and empty answers
@@ -42,15 +45,37 @@ def scopes(answers: DataFrame, key: str = "answer_id", text: str = "text") -> Da
     """
     lines = answers.select(F.col(key), F.posexplode(F.split(prepared(F.col(text)), "\n")).alias("line", "t")).filter(F.trim("t") != "")
     in_table = F.ltrim("t").startswith("|")
-    prose = lines.filter(~in_table).select(key, "line", F.posexplode(clauses(F.col("t"))).alias("clause", "t"))
-    prose = prose.select(key, "line", "clause", F.posexplode(F.split(F.regexp_replace("t", f"({CITATION_RUN})", f"$1{_CUT}"), _CUT)).alias("piece", "t")).withColumn("is_row", F.lit(False)).withColumn("cited", F.col("t"))
-    rows = lines.filter(in_table & ~is_separator_row(F.col("t"))).withColumn("cited", F.col("t"))
-    cells = rows.select(key, "line", F.lit(0).alias("clause"), "cited", F.posexplode(row_cells(F.regexp_replace("t", CITATION_RUN, " "))).alias("piece", "t")).withColumn("is_row", F.lit(True))
-    every = prose.unionByName(cells)
+
+    def bare(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, CITATION_RUN, " "), r"[ \t]+", " ")
+
+    prose = lines.filter(~in_table).select(key, "line", F.posexplode(clauses(F.col("t"))).alias("clause_no", "t"))
+    prose = prose.withColumn("pieces", F.split(F.regexp_replace("t", f"({CITATION_RUN})", f"$1{_CUT}"), _CUT)).withColumn("clause", F.array_join(F.transform("pieces", bare), " "))
+    prose = prose.select(key, "line", "clause_no", "clause", clause_year(F.col("clause")).alias("fallback_year"), F.posexplode("pieces").alias("piece", "t"))
+    ahead = Window.partitionBy(key, "line", "clause_no").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    prose = prose.withColumn("offset", F.coalesce(F.sum(F.length(bare(F.col("t"))) + 1).over(ahead), F.lit(0))).withColumn("is_row", F.lit(False)).withColumn("cited", F.col("t"))
+
+    rows = lines.filter(in_table).withColumn("is_sep", is_separator_row(F.col("t")))
+    rows = rows.withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy(key).orderBy("line")))
+    table = Window.partitionBy(key, "island").orderBy("line")
+    rows = rows.withColumn("nth", F.row_number().over(table)).withColumn("headed", F.lead("is_sep").over(table) & (F.col("nth") == 1))
+    cells = row_cells(F.regexp_replace("t", CITATION_RUN, " "))
+    rows = rows.withColumn("cells", cells).withColumn("heads", F.first(F.when(F.col("headed"), F.col("cells"))).over(table)).filter("not is_sep")
+    rows = rows.select(key, "line", F.lit(0).alias("clause_no"), F.lit(0).alias("offset"), F.col("t").alias("cited"), "cells", "heads", "headed", F.posexplode("cells").alias("piece", "t"))
+    of_row = F.when(F.col("piece") > 0, single_year(F.element_at("cells", 1)))
+    year = F.when(~F.coalesce("headed", F.lit(False)), F.coalesce(single_year(F.try_element_at("heads", F.col("piece") + 1)), of_row))
+    rows = rows.withColumn("fallback_year", year).withColumn("clause", bare(F.col("t"))).withColumn("is_row", F.lit(True)).drop("cells", "heads", "headed")
+
+    every = prose.unionByName(rows)
     ids = F.regexp_extract_all("cited", F.lit(f"({CITATION_ID})(?=[^\\[\\]]*\\])"), 1)
-    place = F.concat_ws(".", F.col(key).cast("string"), "line", "clause", "piece")
+    clause = F.concat_ws(".", F.col(key).cast("string"), "line", "clause_no")
+    place = F.concat_ws(".", clause, "piece")
     scope = F.when(F.col("is_row"), F.concat_ws(".", F.col(key).cast("string"), "line")).otherwise(place)
-    return every.select(key, place.alias("segment_id"), scope.alias("scope_id"), F.regexp_replace("t", CITATION_RUN, " ").alias("text"), ids.alias("cites"), "is_row").filter((F.trim("text") != "") | (F.size("cites") > 0))
+    out = every.select(
+        key, place.alias("segment_id"), scope.alias("scope_id"), bare(F.col("t")).alias("text"), ids.alias("cites"), "is_row",
+        F.when(F.col("is_row"), place).otherwise(clause).alias("clause_id"), "clause", "offset", "fallback_year",
+    )
+    return out.filter((F.trim("text") != "") | (F.size("cites") > 0))
 
 
 def calculation_fits(f: str = "f", c: str = "c") -> Column:
@@ -74,14 +99,20 @@ def checked_figures(answers: DataFrame, blocks: DataFrame, calculations: DataFra
     """One row per figure of each answer: key, figure_id, raw, and its status over all citations of its scope.
 
     The first citation that passes counts, else the worst failure. ``blocks`` has a row per value (see
-    ``block_values``); ``calculations`` calc_id, result, is_percent, unit, currency, scale, change_sign, has_assumption.
+    ``block_values``); where it has year and years, figures with a year only fit that year's column, if there is one.
+    ``calculations`` calc_id, result, is_percent, unit, currency, scale, change_sign, has_assumption.
     """
-    found = extract_figures(scopes(answers, key, text), "segment_id", keep=(key, "cites"))
+    parts = scopes(answers, key, text)
+    found = extract_figures(parts, "segment_id", keep=(key, "cites", "clause_id", "offset", "fallback_year"))
     found = found.withColumn("figure_id", F.concat_ws("#", "segment_id", F.col("pos").cast("string")))
+    fit = matches()
+    if {"year", "years"} <= set(blocks.columns):
+        found = pinned(found, parts.select("clause_id", "clause"))
+        fit = fit & in_year()
     cites = F.when(F.size("cites") > 0, F.col("cites")).otherwise(F.array(F.lit(None).cast("string")))
     each = found.select("*", F.posexplode(cites).alias("at", "cite"))
     joined = each.alias("f").join(blocks.withColumn("_there", F.lit(True)).alias("b"), F.col("f.cite") == F.col("b.block"), "left")
-    known, fits = F.bool_or("b._there"), F.bool_or(matches())
+    known, fits = F.bool_or("b._there"), F.bool_or(fit)
     if calculations is not None:
         joined = joined.join(calculations.alias("c"), F.col("f.cite") == F.col("c.calc_id"), "left")
         calculated = F.max(F.when(calculation_fits(), F.when(F.col("c.has_assumption"), "calculated_with_assumption").otherwise("calculated")))

@@ -33,11 +33,14 @@ def latest(checks: DataFrame, question: str, at: list) -> DataFrame:
 
 def year_hints(figures: DataFrame, years: DataFrame, within: str, reach: int = 15) -> DataFrame:
     """Each year of a clause goes to the nearest figure within ``reach`` characters; a figure that gets two different
-    years gets none. figures: within, pos, start, stop; years: within, year, y_start, y_stop."""
+    years gets none, and years inside figures count for none. figures: within, pos, start, stop; years: within, year,
+    y_start, y_stop, and optionally forward (a colon follows: the next figure comes first)."""
     pairs = figures.join(years, within)
-    gap = F.when(F.col("start") >= F.col("y_stop"), F.col("start") - F.col("y_stop")).when(F.col("stop") <= F.col("y_start"), F.col("y_start") - F.col("stop"))
-    near = pairs.withColumn("gap", gap).filter(F.col("gap") <= reach)
-    order = Window.partitionBy(within, "y_start", "year").orderBy("gap", "start")
-    first = near.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    behind = F.col("start") >= F.col("y_stop")
+    gap = F.when(behind, F.col("start") - F.col("y_stop")).when(F.col("stop") <= F.col("y_start"), F.col("y_start") - F.col("stop"))
+    one = Window.partitionBy(within, "y_start", "year")
+    near = pairs.withColumn("gap", gap).withColumn("_inside", F.bool_or(F.col("gap").isNull()).over(one)).filter((F.col("gap") <= reach) & ~F.col("_inside"))
+    forward = F.col("forward") & behind if "forward" in years.columns else F.lit(False)
+    first = near.withColumn("_r", F.row_number().over(one.orderBy(forward.desc(), "gap", "start"))).filter("_r = 1")
     hints = first.groupBy(within, "pos").agg(F.when(F.count_distinct("year") == 1, F.max("year")).alias("year"))
     return figures.join(hints, [within, "pos"], "left")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from numerant.functions.numeric import shown
 from numerant.operators.calculation import displayed, evaluated, money_power, problems
+from numerant.operators.claims import amount, order_blocks
+from numerant.operators.guards import guard_problems, resolved_inputs
 from numerant.sources.tables import table
 
 FORMULAS = {
@@ -67,6 +70,24 @@ def q28_money_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f, ",".join(m), money_power(f, m, spark)) for f, m in cases], "formula string, money string, power int")
 
 
+def q49_resolved_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of orders as inputs of calculations: written rightly, with the wrong currency, scale, source and so on."""
+    orders = table(spark, sf_dir, "orders")
+    case, total = F.col("o_orderkey") % 8, shown(amount("o_totalprice"), 2)
+    block = F.concat(F.lit("D"), F.col("o_orderkey"), F.lit(":p1:b1"))
+    inputs = orders.select(
+        F.col("o_orderkey").alias("calc_id"), F.lit("total").alias("name"), F.when(case == 1, F.concat(F.lit("$"), total)).when(case == 2, F.concat(F.lit("£"), total)).when(case == 3, F.concat(total, F.lit("%"))).otherwise(total).alias("value"),
+        F.when(case == 7, "tn").alias("scale"), F.when(case == 5, "assumption").when(case == 6, F.concat(F.lit("D0:p1:b"), F.col("o_orderkey"))).when(case != 4, block).alias("source"), F.lit(None).cast("string").alias("reason"),
+    )
+    return resolved_inputs(inputs, order_blocks(orders).withColumn("raw", F.col("value").cast("string"))).select(F.col("calc_id").alias("o_orderkey"), F.round("base", 2).alias("base"), "problem")
+
+
+def q50_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = [("(a - b) / b", "pct"), ("(a - b) / b * 10 * 10", "pct"), ("a / 10 / 10 / 10", "num"), ("a - b", "num"), ("a - b", "pct"), ("(a / b) ** (1 / 3) - 1", "pct"), ("(a / b) ** (1 / 2) - 1", "pct")]
+    told = [(f, k, ",".join(guard_problems(f, k, ("a", "b"), {"a": 2024, "b": 2022}))) for f, k in cases]
+    return spark.createDataFrame(told, "formula string, kind string, problems string")
+
+
 _PCT = """CASE WHEN {0} < 0 THEN '-' ELSE '' END || CASE WHEN abs({0}) >= 0.1 OR {0} = 0 THEN format('{{:,.1f}}', round(abs({0}) * 100, 1)) WHEN abs({0}) >= 0.01 THEN format('{{:,.2f}}', round(abs({0}) * 100, 2))
  WHEN abs({0}) >= 0.001 THEN format('{{:,.3f}}', round(abs({0}) * 100, 3)) ELSE format('{{:,.4f}}', round(abs({0}) * 100, 4)) END || '%'"""
 
@@ -83,6 +104,10 @@ SQL = {
  SELECT l_returnflag, points, {_PCT.format("points")} AS shown FROM s""",
     "q27_calc_static_problems": """SELECT * FROM (VALUES ('(a - b) / b', ''), ('a * 37', 'literal'), ('a +', 'syntax'), ('a + c', 'unknown_name,unused_input'), ('import os', 'syntax'), ('2 * 3', 'unused_input,no_document_input'), ('a.b', 'syntax')) t(formula, problems)""",
     "q28_money_dim": """SELECT formula, money, CAST(power AS INTEGER) AS power FROM (VALUES ('a / b', 'a,b', 0), ('a - b', 'a,b', 1), ('a * n', 'a', 1), ('a + n', 'a', NULL), ('a * b', 'a,b', 2), ('n / a', 'a', -1)) t(formula, money, power)""",
+    "q49_resolved_inputs": """SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 2 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS base,
+ CASE o_orderkey % 8 WHEN 2 THEN 'currency' WHEN 3 THEN 'percent' WHEN 4 THEN 'no_source' WHEN 5 THEN 'no_reason' WHEN 6 THEN 'unknown_source' WHEN 7 THEN 'unknown_scale' END AS problem FROM orders""",
+    "q50_guards": """SELECT * FROM (VALUES ('(a - b) / b', 'pct', ''), ('(a - b) / b * 10 * 10', 'pct', 'pct_factor'), ('a / 10 / 10 / 10', 'num', 'rescale'), ('a - b', 'num', 'points'), ('a - b', 'pct', ''),
+ ('(a / b) ** (1 / 3) - 1', 'pct', 'span'), ('(a / b) ** (1 / 2) - 1', 'pct', '')) t(formula, kind, problems)""",
 }
 
-QUERIES = {f.__name__: f for f in (q22_calc_margin, q23_calc_growth, q24_calc_cagr, q25_calc_functions, q26_calc_pp, q27_calc_static_problems, q28_money_dim)}
+QUERIES = {f.__name__: f for f in (q22_calc_margin, q23_calc_growth, q24_calc_cagr, q25_calc_functions, q26_calc_pp, q27_calc_static_problems, q28_money_dim, q49_resolved_inputs, q50_guards)}

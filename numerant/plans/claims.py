@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerant.functions.numeric import close_enough, close_to_display
+from numerant.functions.numeric import close_enough, close_to_display, shown
 from numerant.operators.checking import checked_figures
-from numerant.operators.claims import order_blocks, order_claims, statements
+from numerant.operators.citations import expanded
+from numerant.operators.claims import amount, order_blocks, order_claims, statements
 from numerant.operators.figures import extract_figures
 from numerant.operators.matching import cited_matches, currency_fits, in_year, near_misses, sign_fits, unit_fits, where_hints
 from numerant.operators.report import verdicts
@@ -113,6 +114,24 @@ def q48_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(status_counts(_answers(spark, sf_dir), "answer_id"), "answer_id")
 
 
+def q51_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about orders with placeholders for quotes, of which every other has none for the second."""
+    orders = table(spark, sf_dir, "orders")
+    answers = orders.select(F.col("o_orderkey").alias("answer_id"), F.concat(F.lit("Total "), F.col("o_orderstatus"), F.lit(" [CITE_1], also [CITE_1, CITE_2] and [CITE_3].")).alias("text"))
+    cite = F.concat(F.lit("D"), F.col("o_orderkey"), F.lit(":p1:c"))
+    ids = orders.select(F.col("o_orderkey").alias("answer_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), cite.alias("c")).filter("n = 1 or answer_id % 2 = 0")
+    return expanded(answers, ids.select("answer_id", F.concat(F.lit("CITE_"), "n").alias("placeholder"), F.concat("c", "n").alias("cite")))
+
+
+def q52_year_pinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that put an order's total into its year, or every third into the one before, against its block."""
+    orders = table(spark, sf_dir, "orders")
+    year = F.year("o_orderdate") - F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)
+    text = F.concat(F.lit("The total was $"), shown(amount("o_totalprice"), 2), F.lit(" in "), year, F.lit(" [D"), F.col("o_orderkey"), F.lit(":p1:b1]."))
+    other = order_blocks(orders).withColumn("years", F.array(F.col("year"), F.col("year") - 1))
+    return checked_figures(orders.select(F.col("o_orderkey").alias("answer_id"), text.alias("text")), other).select("answer_id", "status")
+
+
 _CLAIMS = """
 base AS (SELECT o_orderkey AS k, o_custkey AS cust, CAST(o_totalprice AS DECIMAL(18,2)) AS p, CAST(o_orderkey % 8 AS INTEGER) AS c FROM orders),
 claims AS (SELECT k AS figure_id, cust, c, p,
@@ -152,9 +171,11 @@ SELECT o_orderkey, asked IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.o_custke
     "q48_verdicts": f"""WITH {_CLAIMS}, s AS (SELECT cust AS answer_id, {_STATUS} = 'traced' AS good FROM near),
  n AS (SELECT answer_id, count(*) AS n, count(*) FILTER (WHERE good) AS t, count(*) FILTER (WHERE NOT good) AS u FROM s GROUP BY answer_id)
  SELECT answer_id, u = 0 AS ok, n || ' figures: ' || concat_ws(', ', CASE WHEN t > 0 THEN t || ' traced' END, CASE WHEN u > 0 THEN u || ' unsupported' END) AS verdict FROM n""",
+    "q51_placeholders": """SELECT o_orderkey AS answer_id, 'Total ' || o_orderstatus || ' [D' || o_orderkey || ':p1:c1], also [D' || o_orderkey || ':p1:c1]' || CASE WHEN o_orderkey % 2 = 0 THEN '[D' || o_orderkey || ':p1:c2]' ELSE '' END || ' and .' AS text FROM orders""",
+    "q52_year_pinning": "SELECT o_orderkey AS answer_id, CASE WHEN o_orderkey % 3 = 0 THEN 'mismatch' ELSE 'traced' END AS status FROM orders",
     "q31_status_counts": f"""WITH {_CLAIMS}, s AS (SELECT cust AS answer_id, {_STATUS} AS status FROM near)
  SELECT answer_id, count(*) FILTER (WHERE status = 'traced') AS traced, count(*) FILTER (WHERE status = 'calculated' OR status = 'calculated_with_assumption') AS calculated,
   count(*) FILTER (WHERE status = 'from_question') AS from_question, count(*) FILTER (WHERE status NOT IN ('traced', 'calculated', 'calculated_with_assumption', 'from_question')) AS unsupported FROM s GROUP BY answer_id""",
 }
 
-QUERIES = {f.__name__: f for f in (q09_extract_figures, q10_close_enough, q11_close_to_display, q12_match_block, q13_sign_check, q14_currency_check, q15_unit_check, q16_year_column, q17_near_miss, q18_where_hint, q29_figure_status, q30_answer_decision, q31_status_counts, q47_check_answers, q48_verdicts)}
+QUERIES = {f.__name__: f for f in (q09_extract_figures, q10_close_enough, q11_close_to_display, q12_match_block, q13_sign_check, q14_currency_check, q15_unit_check, q16_year_column, q17_near_miss, q18_where_hint, q29_figure_status, q30_answer_decision, q31_status_counts, q47_check_answers, q48_verdicts, q51_placeholders, q52_year_pinning)}
