@@ -25,8 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays, once; blank documents stay."""
-    groups = partenum.near_groups(docs).groupBy("doc_id").agg(F.min("component_id").alias("head"), F.count(F.lit(1)).alias("rows"))
+    """Of each group of similar documents (0.8 of five-word shingles) the one with the smallest doc_id stays, once; blank
+    documents stay."""
+    groups = partenum.near_groups(docs, words=5, percent=80).groupBy("doc_id").agg(F.min("component_id").alias("head"), F.count(F.lit(1)).alias("rows"))
     groups = stored(groups.filter("doc_id <> head or rows > 1"), "groups")
     known = id_filter(groups.select("doc_id"))  # most documents are alone and need no shuffle
     alone = maybe_in(docs.filter("doc_id is not null"), "doc_id", known, inside=False)

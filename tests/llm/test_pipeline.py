@@ -58,6 +58,19 @@ def test_stages(spark, folder):
     assert fifth.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
 
 
+def test_copies_are_of_five_words_and_four_fifths(spark, folder):
+    words = [f"u{k}" for k in range(100)]
+
+    def changed(*at):
+        return " ".join("other" if k in at else w for k, w in enumerate(words))
+
+    rows = [(1, changed()), (2, changed(30, 60)), (3, changed(20, 40, 60, 80).replace("u", "v")), (4, changed(10, 50, 90).replace("u", "v"))]
+    rows += [(5, " ".join(f"z{k}" for k in range(100))), (6, " ".join("other" if k in (20, 50, 80) else f"z{k}" for k in range(100)))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], COLUMNS)
+    # 1 and 2: 86 of 106 shingles of five words, 92 of 104 of three; 5 and 6: 81 of 111 of five.
+    assert sorted(r.doc_id for r in C.drop_copies(spark, docs, folder).collect()) == [1, 3, 4, 5, 6]
+
+
 def test_stages_take_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
