@@ -4,7 +4,7 @@ The largest inner products are the nearest neighbours once every vector gets one
 equal (0 for queries): ``|q - x|^2 = |q|^2 + M - 2 q.x``. In that space
 
 1. a few pivots are drawn, and queries and data are grouped by their nearest pivot;
-2. summaries per pivot (radii, and the smallest distances of data to it) bound, for each group of queries, how far its
+2. summaries per pivot (radii, and the smallest distances of distinct ids to it) bound, for each group of queries, how far its
    k-th neighbour can be;
 3. data go, in blocks of a cell, only to groups of queries for which the triangle inequality and the bisecting plane
    leave them a chance;
@@ -62,6 +62,14 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T))
 
 
+def smallest(far: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` smallest distances, in order, of distinct ids, and these ids."""
+    order = np.argsort(far, kind="stable")
+    far, ids = far[order], ids[order]
+    first = np.sort(np.unique(ids, return_index=True)[1])[:n]
+    return far[first], ids[first]
+
+
 class Best:
     """The k best (score, id) of each query of a block so far; equal scores go to the smaller id."""
 
@@ -136,22 +144,27 @@ def inner_product_top_k(vectors: DataFrame, is_query, k: int, scale: float = 64.
     counts = {(r.query, r.cell): (r.n, r.far) for r in assigned.groupBy("query", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, np.ndarray] = {}
+        least: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            cell, far = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cell, far, ids = (b.column(c).to_numpy() for c in range(3))
             for c in np.unique(cell).tolist():
-                least[c] = np.sort(np.concatenate([least.get(c, np.zeros(0)), far[cell == c]]))[: k + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array([v.tolist() for v in least.values()], pa.list_(pa.float64()))], ["cell", "far"])
-
-    few = assigned.filter("not query").select("cell", "far").mapInArrow(nearest, "cell int, far array<double>")
-    few = few.groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("far"))), 1, k + 1).alias("far"))
-    near = {r.cell: np.array(r.far) for r in few.collect()}
+                at = cell == c
+                old = least.get(c, (np.zeros(0), np.zeros(0, np.int64)))
+                least[c] = smallest(np.concatenate([old[0], far[at]]), np.concatenate([old[1], ids[at]]), k + 1)
+        for c, (far, ids) in least.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(far), c, np.int32)), pa.array(far), pa.array(ids)], ["cell", "far", "id"])
+
+    few = assigned.filter("not query").select("cell", "far", "id").mapInArrow(nearest, "cell int, far double, id long")
+    few = few.groupBy("cell", "id").agg(F.min("far").alias("far"))
+    few = few.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "id"))), 1, k + 1).alias("few"))
+    near = {r.cell: (np.array([x.far for x in r.few]), np.array([x.id for x in r.few], np.int64)) for r in few.collect()}
     between = distances(pivots, pivots)
     slack = SLACK * (1 + float(between.max()))
     cells = sorted(c for asked, c in counts if asked)
     bound = {}
-    for i in cells:
-        reach = np.sort(np.concatenate([counts[True, i][1] + between[i, j] + far for j, far in near.items()]))
+    near_ids = np.concatenate([ids for _, ids in near.values()])
+    for i in cells:  # of k + 1 ids at most one is a query's own, however many rows it has
+        reach, _ = smallest(np.concatenate([counts[True, i][1] + between[i, j] + far for j, (far, _) in near.items()]), near_ids, k + 1)
         bound[i] = reach[k] + slack if len(reach) > k else np.inf
 
     # 3. Groups of query cells that lie together, split by a salt where one is large; blocks of data for each.

@@ -42,6 +42,23 @@ def test_top_k(spark, monkeypatch, seed):
     assert got == brute_top(rows, 6, 20)
 
 
+def test_top_k_of_a_query_with_more_than_k_rows(spark):
+    rng = random.Random(3)
+    others = [k for k in range(101, 300) if k % 20]
+    place = {r.id: r.h for r in spark.range(20_000).withColumn("h", F.xxhash64("id")).collect()}
+    first = sorted(place[k] for k in others)
+    hot = next(k for k in range(1000, 20_000, 20) if first[1] < place[k] < first[4])  # so that it is a pivot beside others
+    rows = [(hot, [50.0, 0.0, 0.0])] * 30 + [(k, [rng.gauss(0, 1), 45 + rng.gauss(0, 1), rng.gauss(0, 1)]) for k in others]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, voronoi.inner_product_top_k(table, F.col("vec_id") % 20 == 0, 6).collect()))
+    whole = [(i, [math.floor(64 * float(np.float32(c))) for c in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        ranked = sorted((-sum(a * b for a, b in zip(x, y)), j) for i, x in whole if i == q for j, y in whole if j != q)[:6]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(ranked)]
+    assert got == want and len(got) == 6
+
+
 def test_top_k_of_few(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in voronoi.inner_product_top_k(table, F.col("vec_id") == 0, 20).collect()] == [(0, 1, 1, 64 * 64 * 11)]
