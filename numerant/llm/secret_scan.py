@@ -40,7 +40,6 @@ NAMES = ("passw", "secret", "token", "apikey", "api_key")
 #: Percent escapes may be escaped again and again (``%252541``): such a chain is one escape of its last byte.
 ESCAPE = re.compile(r"((?:%(?:25)*[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|((?:\\x[0-9A-Fa-f]{2})+)|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 ONE_BYTE = re.compile(r"(?:%(?:25)*|\\x)([0-9A-Fa-f]{2})")
-RUN = re.compile(r"\S+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_TEXT = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
 
@@ -48,12 +47,20 @@ HEX_TEXT = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
 LAYER_LIMIT = 64 << 20
 
 
-def matches(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of all rules in one text, each rule leftmost and without overlaps."""
+def matches(text: str, inner: bool = False) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of all rules in one text, each rule leftmost and without overlaps.
+
+    With ``inner``, a match that is too short doesn't use up its value, which may be the name of another one.
+    """
     out = []
     low = text.lower()
     if any(n in low for n in NAMES) or not text.isascii():
-        out += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+        at = 0
+        while m := ASSIGN.search(text, at):
+            long = m.end(2) - m.start(2) >= 8
+            at = m.start(2) if inner and not long else m.end()
+            if long:
+                out.append((m.start(), m.end(), 0))
     if "AKIA" in text:
         out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
@@ -90,42 +97,41 @@ class Layer:
 
 
 def unescaped(layer: Layer) -> Iterator[Layer]:
-    """A layer for each run of other than white space that holds escapes."""
+    """The layer with all its escapes decoded, so that a match may reach over white space; none without escapes."""
     text = layer.text
     if "%" not in text and "\\" not in text and "&#" not in text:
         return
-    for run in RUN.finditer(text):
-        escapes = list(ESCAPE.finditer(text, run.start(), run.end()))
-        if not escapes:
-            continue
-        parts, lows, highs, at = [], [], [], run.start()
-
-        def plain(low: int, high: int, parts=parts, lows=lows, highs=highs) -> None:
-            parts.append(text[low:high])
-            lows.extend(range(low, high))
-            highs.extend(range(low + 1, high + 1))
-
-        for m in escapes:
-            plain(at, m.start())
-            at = m.end()
-            if m[1] or m[4]:
-                units = [(x.start(), x.end()) for x in ONE_BYTE.finditer(text, m.start(), m.end())]
-                decoded = utf8(bytes(int(text[high - 2 : high], 16) for _, high in units))
-            elif m[2]:
-                units = [(k, k + 6) for k in range(m.start(), m.end(), 6)]
-                decoded = [(c, n // 2) for c, n in utf16(bytes.fromhex(m[2].replace("\\u", "")))]
-            else:
-                units = [(m.start(), m.end())]
-                value = int(m[3] or m[6], 16) if m[3] or m[6] else int(m[5])
-                decoded = [(chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else "\ufffd", 1)]
-            k = 0
-            for c, n in decoded:
-                parts.append(c)
-                lows.append(units[k][0])
-                k += n
-                highs.append(units[k - 1][1])
-        plain(at, run.end())
-        yield Layer("".join(parts), layer, lows, highs)
+    escapes = list(ESCAPE.finditer(text))
+    if not escapes:
+        return
+    parts, lows, highs, at = [], [], [], 0
+
+    def plain(low: int, high: int) -> None:
+        parts.append(text[low:high])
+        lows.extend(range(low, high))
+        highs.extend(range(low + 1, high + 1))
+
+    for m in escapes:
+        plain(at, m.start())
+        at = m.end()
+        if m[1] or m[4]:
+            units = [(x.start(), x.end()) for x in ONE_BYTE.finditer(text, m.start(), m.end())]
+            decoded = utf8(bytes(int(text[high - 2 : high], 16) for _, high in units))
+        elif m[2]:
+            units = [(k, k + 6) for k in range(m.start(), m.end(), 6)]
+            decoded = [(c, n // 2) for c, n in utf16(bytes.fromhex(m[2].replace("\\u", "")))]
+        else:
+            units = [(m.start(), m.end())]
+            value = int(m[3] or m[6], 16) if m[3] or m[6] else int(m[5])
+            decoded = [(chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else "\ufffd", 1)]
+        k = 0
+        for c, n in decoded:
+            parts.append(c)
+            lows.append(units[k][0])
+            k += n
+            highs.append(units[k - 1][1])
+    plain(at, len(text))
+    yield Layer("".join(parts), layer, lows, highs)
 
 
 def utf8(raw: bytes) -> list[tuple[str, int]]:
@@ -229,7 +235,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
                 continue
             seen.add(mark)
             layers += 1
-            for start, end, kind in matches(new.text):
+            for start, end, kind in matches(new.text, inner=True):
+                if new.lows is not None and new.highs[end - 1] - new.lows[start] == end - start:
+                    continue  # no escape in it: the parent's own match, or none by its rules
                 low, high = new.back(start, end)
                 spans.add((low, high, kind))
             work.append(new)

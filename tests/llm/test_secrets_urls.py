@@ -78,6 +78,17 @@ def test_spans_point_at_the_encoded_stretch():
     assert urllib.parse.unquote(text[low:high]) == SECRET[:-1]
 
 
+@pytest.mark.parametrize("text", ["api_key: %61%62cdefgh1234", r'"password": "\u0068unter2hunter2"', "password%3A hunter2hunter2", "token: secret%3Ahunter2hunter2", "x\ny password &#61; hunter2hunter2"])
+def test_escapes_beside_blanks(text):
+    base, spans, *_ = S.scan(text)
+    assert not base and len(spans) == 1 and "hunter2" not in S.redacted(text, spans) and "cdefgh" not in S.redacted(text, spans)
+
+
+def test_plain_matches_keep_their_rules_beside_escapes():
+    text = "token: secret: hunter2hunter2 and %41"
+    assert S.scan(text)[1] == S.scan(text)[0] == []
+
+
 def test_odd_texts_end():
     for text in ("", "%", "%41" * 3000, "%" + "25" * 50_000, "a" * 200_000 + "%", "\\u" * 1000, "&#99999999;", "A" * 100_001, "0" * 99_999):
         base, spans, _, refused = S.scan(text)
