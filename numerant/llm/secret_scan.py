@@ -13,7 +13,6 @@ in base64 or hexadecimal to the characters that hold its bytes, and one in a com
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -40,7 +39,9 @@ NAMES = ("passw", "secret", "token", "apikey", "api_key")
 #: Percent escapes may be escaped again and again (``%252541``): such a chain is one escape of its last byte.
 ESCAPE = re.compile(r"((?:%(?:25)*[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|((?:\\x[0-9A-Fa-f]{2})+)|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 ONE_BYTE = re.compile(r"(?:%(?:25)*|\\x)([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")  # with the lines that follow, if wrapped
+STRETCH = re.compile(rb"[\t-\r\x20-~]{14,}")  # a match has 14 ASCII characters at least, an encoded one more
+STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18|\x78[\x01\x5e\x9c\xda]")
 HEX_TEXT = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
 
 #: A compressed layer that grows beyond this many bytes isn't opened; such layers are counted as refused.
@@ -157,39 +158,51 @@ def readable(raw: bytes) -> str | None:
     return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]", text) else text
 
 
-def decompressed(raw: bytes) -> tuple[bytes | None, bool]:
-    """What a compressed stream holds (None if it isn't one) and whether it was refused for its size."""
+def decompressed(raw: bytes) -> tuple[bytes | None, bool, int]:
+    """What a compressed stream holds, all its members or frames (None if it isn't one), whether it was refused for its
+    size, and how many bytes of ``raw`` it takes."""
+    parts, size, rest = [], 0, raw
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2]) % 31 == 0:
-            tool = zlib.decompressobj(47)
-            data = tool.decompress(raw, LAYER_LIMIT)
-            return (None, True) if tool.unconsumed_tail else (data, False)
-        if raw[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as f:
-                data = f.read(LAYER_LIMIT + 1)
-            return (None, True) if len(data) > LAYER_LIMIT else (data, False)
-        else:
-            return None, False
-        data = tool.decompress(raw, LAYER_LIMIT)
-        return (data, False) if tool.eof or tool.needs_input else (None, True)
+        while True:
+            if rest[:2] == b"\x1f\x8b" or rest[:1] == b"\x78" and len(rest) > 2 and int.from_bytes(rest[:2]) % 31 == 0:
+                tool = zlib.decompressobj(47)
+                data = tool.decompress(rest, LAYER_LIMIT - size + 1)
+            elif rest[:3] == b"BZh" or rest[:6] == b"\xfd7zXZ\x00":
+                tool = bz2.BZ2Decompressor() if rest[:3] == b"BZh" else lzma.LZMADecompressor()
+                data = tool.decompress(rest, LAYER_LIMIT - size + 1)
+            elif rest[:4] == b"\x28\xb5\x2f\xfd" or rest[1:4] == b"\x2a\x4d\x18" and rest[0] >> 4 == 5:
+                frames, rest = rest, b""
+                with zstandard.ZstdDecompressor().stream_reader(frames, read_across_frames=True) as f:
+                    while data := f.read(1 << 16):
+                        parts.append(data)
+                        size += len(data)
+                        if size > LAYER_LIMIT:
+                            return None, True, len(raw)
+                break
+            else:
+                break
+            size += len(data)
+            if size > LAYER_LIMIT:
+                return None, True, len(raw)
+            parts.append(data)
+            rest = tool.unused_data.lstrip(b"\0") if tool.eof else b""  # members may be padded
     except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
-        return None, False
+        pass  # what came before stays
+    return (b"".join(parts) if parts else None), False, len(raw) - len(rest)
 
 
 def opened(layer: Layer, raw: bytes, low: int, high: int, unit: tuple[int, int]) -> tuple[Layer | None, int]:
     """The layer in decoded bytes: through any number of compressed streams, then text."""
     refused, inner = 0, raw
     while True:
-        data, too_large = decompressed(inner)
+        data, too_large, _ = decompressed(inner)
         refused += too_large
         if data is None or data == inner:
             break
         inner, unit = data, (0, 0)
     text = readable(inner)
+    if text is None and not unit[0]:  # of other than text, what is text in it
+        text = "\n".join(x.decode() for x in STRETCH.findall(inner))
     if not text:
         return None, refused
     offsets = None
@@ -200,18 +213,80 @@ def opened(layer: Layer, raw: bytes, low: int, high: int, unit: tuple[int, int])
     return Layer(text, layer, low=low, high=high, unit=unit, offsets=offsets), refused
 
 
+def in_base64(layer: Layer, m: re.Match) -> Iterator[tuple[Layer | None, int]]:
+    """Layers in one base64 block, whose characters may follow others of its alphabet and go on over line ends.
+
+    If the block as a whole isn't text or a compressed stream, it is decoded in all four phases, and what is text or a
+    stream in the bytes of each is a layer.
+    """
+    chars, places = m[0].rstrip("="), None
+    if "\n" in chars:
+        places = [k for k, c in enumerate(chars, m.start()) if not c.isspace()]
+        chars = "".join(chars.split())
+    coded = chars.replace("-", "+").replace("_", "/")
+    for phase in range(4):
+        found = coded[phase:]
+        if len(found) % 4 == 1:
+            found = found[:-1]
+        raw = base64.b64decode(found + "=" * (-len(found) % 4))
+
+        def place(k: int, phase=phase) -> int:
+            """Where the group that holds byte k begins."""
+            at = phase + k // 3 * 4
+            if at >= len(chars):
+                return m.end()
+            return places[at] if places else m.start() + at
+
+        def spread(low: int, high: int, place=place) -> dict:
+            """Maps of the bytes ``low`` to ``high``, one character each."""
+            ends = [place(k // 3 * 3 + 3) for k in range(low, high)]
+            if places:  # a group ends with its last character, not after the line end
+                last = [min(len(chars), phase + k // 3 * 4 + 4) - 1 for k in range(low, high)]
+                ends = [places[x] + 1 for x in last]
+            return {"lows": [place(k) for k in range(low, high)], "highs": ends}
+
+        if not phase:
+            data, too_large, used = decompressed(raw)
+            if too_large or data and used == len(raw):
+                yield opened(layer, raw, m.start(), m.end(), (3, 4))
+                return
+            if readable(raw):
+                new, refused = opened(layer, raw, m.start(), m.end(), (3, 4))
+                if places and new and new.unit[0]:
+                    new = Layer(new.text, layer, **by_character(new.text, spread(0, len(raw))))
+                yield new, refused
+                return
+        done, taken = 0, []
+        for x in STREAM.finditer(raw):
+            if x.start() < done:
+                continue
+            data, too_large, used = decompressed(raw[x.start() :])
+            if too_large or data:
+                done = x.start() + used
+                taken.append((x.start(), done))
+                yield opened(layer, raw[x.start() : done], place(x.start()), m.end() if done >= len(raw) else place(done + 2), (0, 0))
+        for x in STRETCH.finditer(raw):
+            if not any(low <= x.start() and x.end() <= high for low, high in taken):
+                yield Layer(x[0].decode(), layer, **spread(x.start(), x.end())), 0
+
+
+def by_character(text: str, maps: dict) -> dict:
+    """Maps of bytes as maps of the characters that they hold."""
+    if text.isascii():
+        return maps
+    lows, highs, at = [], [], 0
+    for c in text:
+        lows.append(maps["lows"][at])
+        at += len(c.encode())
+        highs.append(maps["highs"][at - 1])
+    return {"lows": lows, "highs": highs}
+
+
 def encoded(layer: Layer) -> Iterator[tuple[Layer | None, int]]:
     """Layers in base64 and hexadecimal regions."""
     text = layer.text
     for m in BASE64.finditer(text):
-        found = m[0].rstrip("=")
-        if len(found) % 4 == 1:
-            found = found[:-1]
-        try:
-            raw = base64.b64decode(found.replace("-", "+").replace("_", "/") + "=" * (-len(found) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        yield opened(layer, raw, m.start(), m.end(), (3, 4))
+        yield from in_base64(layer, m)
     for m in HEX_TEXT.finditer(text):
         yield opened(layer, bytes.fromhex(m[0]), m.start(), m.end(), (1, 2))
 

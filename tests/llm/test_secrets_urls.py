@@ -89,6 +89,42 @@ def test_plain_matches_keep_their_rules_beside_escapes():
     assert S.scan(text)[1] == S.scan(text)[0] == []
 
 
+def wrapped(raw):
+    coded = base64.b64encode(raw).decode()
+    return "\n".join(coded[k : k + 76] for k in range(0, len(coded), 76))
+
+
+@pytest.mark.parametrize("glue", ["https://x.example.com/p/", "id-", "data_", "a", "ab+"])
+@pytest.mark.parametrize("kind", ["base64", "gzip", "zstd"])
+def test_base64_behind_its_own_alphabet(glue, kind):
+    packed = PACK[kind](b"password=hunter2hunter2")
+    text = f"see {glue}{packed} end"
+    _, spans, *_ = S.scan(text)
+    assert spans and packed[4:-8] not in S.redacted(text, spans) and S.redacted(text, spans).endswith(" end")
+
+
+@pytest.mark.parametrize("before", range(30, 60))
+def test_wrapped_base64(before):
+    noise = random.Random(before).randbytes(300).hex().upper().encode()
+    raw = b"x" * before + b" password=hunter2hunter2 " + b"y" * 70
+    for text in (wrapped(raw), wrapped(gzip.compress(noise + b" password=hunter2hunter2 ")), wrapped(raw).replace("\n", "\r\n")):
+        for end in ("", "\nword\nwords"):
+            full = f"key: {text}{end}"
+            spans = [s for s in S.scan(full)[1] if s[2] == 0]
+            assert spans and all(5 <= a < b <= len(full) for a, b, _ in spans), full
+    low, high, _ = [s for s in S.scan(wrapped(raw))[1] if s[2] == 0][0]
+    held = wrapped(raw)[low:high].replace("\n", "")
+    assert b"password=hunter2hunter2" in base64.b64decode(held) and len(held) <= 36
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_streams_of_several_members(pack):
+    text = base64.b64encode(pack(b"nothing here ") + pack(b"or here ") + pack(b"password=hunter2hunter2")).decode()
+    assert [s[2] for s in S.scan(text)[1]] == [0]
+    text = base64.b64encode(pack(b"password=hunter2hunter2") + b"\x80 rest").decode()
+    assert [s[2] for s in S.scan(text)[1]] == [0]
+
+
 def test_odd_texts_end():
     for text in ("", "%", "%41" * 3000, "%" + "25" * 50_000, "a" * 200_000 + "%", "\\u" * 1000, "&#99999999;", "A" * 100_001, "0" * 99_999):
         base, spans, _, refused = S.scan(text)
