@@ -174,6 +174,13 @@ def test_every_query_has_a_name_and_sql():
     assert {n for n in known if n.startswith("q")} <= set(sql)
 
 
+def test_matrix_has_every_question(spark, tmp_path):
+    rows = [(39, "view", 25.0), (40, "view", 25.0), (40, "view", 5.0), (1499, "click", 5.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = __spark_entry__.queries()["q36_arm_question_matrix"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(39, None, None, "1/1"), (40, None, None, "1/2"), (1499, "0/1", None, None)]
+
+
 def test_checked_answers(spark, values):
     from numerant.operators.checking import checked_figures, clauses, empty_citations, prepared, scopes
 
