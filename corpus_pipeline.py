@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numerant.llm import decontamination, packing, partenum, secret_scan, tokens, toxicity
-from numerant.llm.common import id_filter, maybe_in, read, stored
+from numerant.llm.common import columns, id_filter, maybe_in, read, removed, stored
 from numerant.llm.queries import END_ID, in_fold
 
 
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents (0.8 of five-word shingles) the one with the smallest doc_id stays, once; blank
-    documents stay."""
+    documents stay. A key that stays with several texts, which are one document, stays with all of them."""
     groups = partenum.near_groups(docs, words=5, percent=80).groupBy("doc_id").agg(F.min("component_id").alias("head"), F.count(F.lit(1)).alias("rows"))
     groups = stored(groups.filter("doc_id <> head or rows > 1"), "groups")
     known = id_filter(groups.select("doc_id"))  # most documents are alone and need no shuffle
@@ -35,7 +35,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows that share the key that stays are told apart by their text; blank ones are nobody's copies.
     blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == ""
     digest = F.when(blank, F.monotonically_increasing_id().cast("string")).otherwise(F.sha2("text", 256))
-    once = some.withColumn("_text", digest).dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    once = some.withColumn("_text", digest).dropDuplicates(["doc_id", "_text"]).select(columns(docs))
     return alone.union(once).union(docs.filter("doc_id is null"))
 
 
@@ -68,10 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``. Each stage's table goes once the next one is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs, name)
+            if before is not None:
+                removed(before)
+            before = docs
     return docs

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents handed to Python at once. Long texts make the usual 10,000 too many for an executor.
 DOCS_PER_BATCH = 256
+BATCH_BYTES = 16 << 20
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -21,19 +22,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = DOCS_PER_BATCH) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a batch of long texts fits a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession, rows: int = DOCS_PER_BATCH, size: int = BATCH_BYTES) -> None:
+    """Arrow batches of at most ``rows`` rows and ``size`` bytes (or one longer row), so that long texts fit a worker.
+
+    The session keeps these settings, as queries that were made with them run later; lower ones stay as they are.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests, a local folder is made and set as checkpoint folder.
+    Only a local session that names none, as in tests, gets a local folder as its checkpoint folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="numerant-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -153,35 +161,42 @@ def grouped(sizes: list[int], most: int = 500_000) -> Iterator[slice]:
         yield slice(low, len(sizes))
 
 
-def id_filter(ids: DataFrame, bits: int = 25) -> np.ndarray:
-    """A bitmap of fixed size (4 MB packed) over hashes of the integers in the first column of ``ids``: never wrong about
-    an id that is there. It spares shuffles most of the rows that they would drop."""
-    size = 1 << bits
+#: A filter of ids is made of so many at most, in 8 MB; beyond that rows are joined without it.
+MOST_IDS = 4_000_000
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(size, bool)
-        for b in batches:
-            out[id_places(b.column(0).to_numpy(), bits)] = True
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(out).tobytes()]})
 
-    known = np.zeros(size, bool)
-    for r in ids.coalesce(6).mapInArrow(marked, "bits binary").toLocalIterator():
-        known |= np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    return np.packbits(known)
+def _place(key: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.col(key).cast("long")), 64 - bits) + 1
 
 
-def id_places(ids: np.ndarray, bits: int = 25) -> np.ndarray:
-    return mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)
+def id_filter(ids: DataFrame) -> tuple[int, DataFrame] | None:
+    """A bitmap over hashes of the integers in the first column of ``ids``, with 16 to 32 bits for each: never wrong about
+    an id that is there. It spares a shuffle most of the rows that it would drop. None for more than ``MOST_IDS``.
+    """
+    n = ids.count()
+    if n > MOST_IDS:
+        return None
+    bits = max(15, (16 * n).bit_length())
+    place = _place(ids.columns[0], bits)
+    marks = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    return bits, stored(marks, "marks")
 
 
-def maybe_in(df: DataFrame, key: str, known: np.ndarray, bits: int = 25, inside: bool = True) -> DataFrame:
-    """The rows of ``df`` whose ``key`` (not null) may be in the set that ``id_filter`` made ``known``; or the others."""
-    shared = df.sparkSession.sparkContext.broadcast(known)
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names are made of."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(shared.value).astype(bool)
-        for b in batches:
-            at = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(table[id_places(at, bits)] == inside))
 
-    return df.mapInArrow(keep, ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
+def maybe_in(df: DataFrame, key: str, known: tuple[int, DataFrame] | None, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (not null) may be in the set that ``id_filter`` made ``known``; or the others.
+
+    The bitmap is a small table by its own bound, so it is broadcast. Without one, every row may be in the set.
+    """
+    if known is None:
+        return df if inside else df.filter(F.lit(False))
+    place = _place(key, known[0])
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_marks.bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    joined = df.alias("_rows").join(F.broadcast(known[1].alias("_marks")), F.bitmap_bucket_number(place) == F.col("_marks.bucket"), "left")
+    return joined.filter(hit if inside else ~hit).select("_rows.*")

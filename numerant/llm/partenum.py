@@ -1,28 +1,36 @@
 """Similar documents by word shingles: an exact Jaccard join with PartEnum signatures.
 
 Two sets of similarity at least p/q differ in few elements for their size. Sets are banded by size. For each band the
-domain of elements is cut into first-level partitions, so many that in one of them two similar sets differ little, and
-each of those into second-level ones, of which all subsets of a size are enumerated so that at least one subset holds
-no difference at all. The content of a subset of partitions, hashed, is a signature: similar sets share one.
+domain of elements is cut into partitions, and subsets of them are enumerated (pairs where few elements may differ, else
+single ones), so many that some of them hold no difference. The content of a subset, hashed, is a signature.
+
+There are more partitions than differences require, so a set may do without its emptiest subsets: if at least ``sure``
+subsets of two similar sets are equal, each signs those that are no smaller than its ``sure``-th smallest one, and an
+equal one remains that both sign. So partitions without elements, which all sets would share, sign nothing.
 
 What is wanted are the groups that links form, so links are looked for only until they join the groups:
 
-1. equal sets become one node;
+1. equal sets become one node, and so do the texts of one key;
 2. in each group of nodes with a common signature, all are compared with one hub, the member with most company over all
    its signatures; the links found are joined to components;
-3. nodes with a common signature that are still in different components are compared with each other. Nothing else can
-   be linked, so components are then exact.
+3. nodes with a common signature that are still in different components are compared with each other: in groups of up
+   to ``GROUP`` nodes by a join, in larger ones by blocks of sketches, of which only pairs that may be similar come out.
+   In a group of more than ``LARGE`` nodes, as a passage that very many documents hold can make, similar sets must also
+   share a signature in another partition of the domain: it is divided by these first. Nothing else can be linked, so
+   components are then exact.
 
 Before any text is fetched, a pair must pass the size bound and a sketch of 256 parities, which differ in no more
-places than the sets do. Signatures are grouped with partial sums, hubs and large groups are joined by sort-merge joins
-that adaptive execution splits, and no group is gathered in one task.
+places than the sets do, and before texts are joined to pairs, one of 2,048. Signatures are grouped with partial sums,
+hubs are joined by sort-merge joins that adaptive execution splits, and no group is gathered in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +45,14 @@ PERCENT = 90
 BAND = 1.35
 SKETCH = 256
 SALTS = 16
+WIDE_SKETCH = 2048
+#: Groups of up to GROUP nodes are compared by a join, larger ones in blocks of about BLOCK; groups of more than LARGE
+#: nodes are divided first, in ROUNDS rounds at most. The results are the same for any numbers.
+GROUP = 64
+BLOCK = 2048
+LARGE = 16_384
+ROUNDS = 3
+NODE = ["doc", "n", "p0", "p1", "p2", "p3", "signed"]
 _FACTORS = mixed(np.arange(1, 17, dtype=np.uint64))
 
 
@@ -54,34 +70,41 @@ def band_of(size: int) -> int:
 
 
 @cache
-def plan(k: int) -> tuple[int, int, tuple[tuple[int, ...], ...]]:
-    """For sets that differ in at most ``k`` elements: first-level partitions, second-level partitions of each, and the
-    subsets of the latter, of which at least one holds no difference in at least one first-level partition."""
+def plan(k: int) -> tuple[int, int, int]:
+    """For sets that differ in at most ``k`` elements: partitions, how many of them a subset has, and how many subsets of
+    two such sets are equal at least."""
     if k <= 3:
-        first, second, kept = 1, k + 2 if k else 1, 2 if k else 1
+        parts, kept = (k + 2, 2) if k else (1, 1)
     else:
-        first, second, kept = (k + 2) // 2, 2, 1  # at most one difference in one of them
-    return first, second, tuple(combinations(range(second), kept))
+        parts, kept = k + 1 + max(1, k // 4), 1
+    return parts, kept, comb(parts - k, kept)
+
+
+@cache
+def subsets(parts: int, kept: int) -> np.ndarray:
+    return np.array(list(combinations(range(parts), kept)), np.int64).reshape(-1, kept)
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """All signatures of a set given as sorted distinct 64-bit hashes."""
+def signatures(elements: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
+    """All signatures of a set given as sorted distinct 64-bit hashes. Other seeds cut the domain elsewhere."""
     n = len(elements)
+    if seed:
+        elements = np.sort(mixed(elements ^ _FACTORS[seed]))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(mixed(elements ^ _FACTORS[15]), out=sums[1:])
     out = []
     for band in range(band_of(-(-n * percent // 100)), band_of(n) + 1):  # where the smaller set of a pair may be
         k = (bands(1 << 40)[band + 1] - 1) * (100 - percent) // percent
-        first, second, subsets = plan(k)
-        parts = first * second
+        parts, kept, sure = plan(k)
         edges = np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts)
         cuts = np.concatenate([[0], np.searchsorted(elements, edges), [n]])
-        content = (sums[cuts[1:]] - sums[cuts[:-1]]).reshape(first, second)
-        for number, subset in enumerate(subsets):
-            held = np.full(first, band * 64 + number, np.uint64) * _FACTORS[14] + np.arange(first, dtype=np.uint64) * _FACTORS[13]
-            for slot, part in enumerate(subset):
-                held += mixed(content[:, part] + _FACTORS[slot])
-            out.append(mixed(held))
+        content, sizes = sums[cuts[1:]] - sums[cuts[:-1]], np.diff(cuts)
+        chosen = subsets(parts, kept)
+        held = np.full(len(chosen), band, np.uint64) * _FACTORS[14] + np.arange(len(chosen), dtype=np.uint64) * _FACTORS[13]
+        for slot in range(kept):
+            held += mixed(content[chosen[:, slot]] + _FACTORS[slot])
+        size = sizes[chosen].sum(axis=1)
+        out.append(mixed(held[size >= np.partition(size, sure - 1)[sure - 1]]))
     return np.concatenate(out)
 
 
@@ -110,6 +133,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
+def parities(elements: np.ndarray, size: int) -> np.ndarray:
+    """Of ``size`` classes of elements, whether the set holds an odd number of each, as bits of 64-bit integers."""
+    return np.packbits((np.bincount((elements & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.uint64)
+
+
 def described(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """doc, n, the set's 128-bit identity (h1, h2), its sketch (p0 to p3) and its signatures."""
 
@@ -117,18 +145,21 @@ def described(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
         for b in batches:
             rows, signed = [], []
             for s in shingle_sets(b.column(1).to_pylist(), words):
-                parity = np.packbits((np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).view("<i8")
+                parity = parities(s, SKETCH).view("<i8")
                 ident = [int(mixed(s ^ _FACTORS[k]).sum(dtype=np.uint64).view(np.int64)) for k in (10, 11)]
                 rows.append((len(s), *ident, *parity.tolist()))
                 signed.append(signatures(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in signed])]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signed) if signed else np.zeros(0, np.int64)))
             cols = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, flat], ["doc", "n", "h1", "h2", "p0", "p1", "p2", "p3", "signed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, lists(signed)], ["doc", "n", "h1", "h2", "p0", "p1", "p2", "p3", "signed"])
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(describe, "doc long, n long, h1 long, h2 long, p0 long, p1 long, p2 long, p3 long, signed array<long>")
 
 
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
     """What sizes and sketches say: False only if the sets under these prefixes cannot be similar."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -136,81 +167,199 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (flips * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents that are similar. ``pairs`` is a stored table; only texts in it are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    base = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).filter("doc is not null")
-    texts = maybe_in(base, "doc", id_filter(ids)).join(ids, "doc", "left_semi")
-    texts = stored(texts, "texts")
-    both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+@dataclass(frozen=True)
+class Texts:
+    """The documents of a join: their texts by key, and whether a key has several rows."""
+
+    docs: DataFrame
+    key: str
+    text: str
+    words: int
+    percent: int
+    repeated: bool
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """doc and text of the keys in ``ids`` (column doc); equal rows are one. Only these texts are shuffled."""
+        base = self.docs.select(F.col(self.key).cast("long").alias("doc"), F.col(self.text).cast("string").alias("text")).filter("doc is not null")
+        found = maybe_in(base, "doc", id_filter(ids)).join(ids, "doc", "left_semi")
+        return found.distinct() if self.repeated else found
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of documents that are similar. ``pairs`` is a stored table."""
+        words, percent = self.words, self.percent
+
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = shingle_sets(b.column(1).to_pylist(), words)
+                wide = [parities(s, WIDE_SKETCH).tobytes() for s in found]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(wide, pa.binary())], ["doc", "text", "n", "wide"])
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WIDE_SKETCH // 64) for c in (3, 5))
+                yield b.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) * (100 + percent) <= (n + m) * (100 - percent)))
+
+        texts = stored(self.of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()).mapInArrow(sketch, "doc long, text string, n long, wide binary"), "texts")
+        x, y = (texts.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab")
+        close = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "wide_a", "n_b", "wide_b").mapInArrow(near, "a long, b long").distinct()
+        close = stored(close, "close")
+        both = close.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hub, known = None, None
+            for b in batches:
+                left, right, x, y = (b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
+                found = []
+                for k, s in enumerate(shingle_sets(x, words)):
+                    if y[k] != hub:  # hubs come many times in a row
+                        hub, known = y[k], shingle_sets([y[k]], words)[0]
+                    if similar(s, known, percent):
+                        found.append(k)
+                yield pa.RecordBatch.from_arrays([pa.array([left[k] for k in found], pa.int64()), pa.array([right[k] for k in found], pa.int64())], ["a", "b"])
+
+        links = stored(both.mapInArrow(check, "a long, b long").distinct(), "links")
+        removed(texts)
+        removed(close)
+        return links
+
+    def divided(self, large: DataFrame, seed: int) -> DataFrame:
+        """Groups (sig, doc) divided by the signatures of another partition of the domain."""
+        words, percent = self.words, self.percent
+
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [signatures(s, percent, seed).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in shingle_sets(b.column(1).to_pylist(), words)]
+                yield pa.RecordBatch.from_arrays([b.column(0), lists(found)], ["doc", "signed"])
+
+        again = self.of(large.select("doc").distinct()).mapInArrow(sign, "doc long, signed array<long>")
+        return large.join(again, "doc").select(F.explode("signed").alias("other"), "sig", "doc").select(F.xxhash64("sig", "other").alias("sig"), "doc").distinct()
+
+
+def grouped_nodes(signed: DataFrame) -> DataFrame:
+    """sig, doc and company (how many nodes have the signature), of signatures with company."""
+    shared = stored(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("company")).filter("company > 1"), "shared")
+    return maybe_in(signed, "sig", id_filter(shared.select("sig"))).join(shared, "sig").select("sig", "doc", "company")
+
+
+def with_hubs(company: DataFrame) -> DataFrame:
+    """``company`` with the hub of each signature: the node with most company over all its signatures, then the smallest.
+
+    Of many copies of one text with changes of their own, that is the text that they were made from, if it is there.
+    """
+    marks = company.groupBy("doc").agg(F.sum("company").alias("mark"))
+    best = company.join(marks, "doc").groupBy("sig").agg(F.max(F.struct("mark", (-F.col("doc")).alias("minus"))).alias("m"))
+    return company.join(best.select("sig", (-F.col("m.minus")).alias("hub")), "sig")
+
+
+def still_apart(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """The groups that have nodes in different components (doc, part; a node that isn't there is alone), with part."""
+    placed = groups.join(parts, "doc", "left").select("sig", "doc", "company", F.coalesce("part", "doc").alias("part"))
+    apart = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("sig")
+    return placed.join(apart, "sig", "left_semi")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, known = None, None
-        for b in batches:
-            left, right, x, y = (b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            found = []
-            for k, s in enumerate(shingle_sets(x, words)):
-                if y[k] != hub:  # hubs come many times in a row
-                    hub, known = y[k], shingle_sets([y[k]], words)[0]
-                if similar(s, known, percent):
-                    found.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([left[k] for k in found], pa.int64()), pa.array([right[k] for k in found], pa.int64())], ["a", "b"])
 
-    return stored(both.mapInArrow(check, "a long, b long").distinct(), "links")
+def joined_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes of a group, in different components, that may link."""
+    x, y = members.alias("x"), members.alias("y")
+    found = x.join(y, F.expr("x.sig = y.sig and x.doc < y.doc and x.part <> y.part") & may_link("x", "y", percent))
+    return found.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_shingles, component_id.
+def block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """The same for large groups: their nodes are dealt into blocks, and blocks meet each other."""
+    fields = ["doc", "part", "n", "p0", "p1", "p2", "p3"]
+
+    def block(table: pa.Table) -> pa.Table:
+        """The nodes of a block, of which a salt bounds the number, as one row."""
+        data = np.stack([table[c].to_numpy() for c in fields]).astype("<i8")
+        return pa.table({"sig": table["sig"].slice(0, 1), "block": table["block"].slice(0, 1), "data": pa.array([data.tobytes()], pa.binary())})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one, other in zip(*(b.column(c).to_pylist() for c in range(2)), strict=True):
+                x, y = (np.frombuffer(d, "<i8").reshape(len(fields), -1) for d in (one, other))
+                for low in range(0, x.shape[1], 256):
+                    u = x[:, low : low + 256, None]
+                    v = y[:, None, :]
+                    fits = (u[1] != v[1]) & ((u[0] < v[0]) if one == other else (u[0] != v[0]))
+                    fits &= np.minimum(u[2], v[2]) * 100 >= np.maximum(u[2], v[2]) * percent
+                    flips = sum(np.bitwise_count(u[k] ^ v[k]).astype(np.int64) for k in range(3, 7))
+                    at, to = np.nonzero(fits & (flips * (100 + percent) <= (u[2] + v[2]) * (100 - percent)))
+                    left, right = x[0, low + at], y[0, to]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
+
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("company") / BLOCK)).cast("int"))
+    blocks = dealt.select("sig", "block", *fields).groupBy("sig", "block").applyInArrow(block, "sig long, block int, data binary")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    met = x.join(y, F.expr("x.sig = y.sig and x.block <= y.block")).select(F.col("x.data").alias("one"), F.col("y.data").alias("other"))
+    return met.mapInArrow(compare, "a long, b long")
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", group: int = GROUP, large: int = LARGE) -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, component_id.
 
     A document's set is its distinct shingles of ``words`` words (lower-cased A-Z, cut at ASCII white space); with fewer
     words, the whole sequence. Documents link when 100 * intersection >= percent * union; component_id is the smallest
     key that links lead to, the document's own included. Null, empty and blank texts have no shingles and link with
-    nothing. Rows with equal keys are one document with several texts. Rows with a null key link with nothing and have a
-    null component_id. An empty table gives no rows; other columns are not read.
+    nothing. Rows with equal keys are one document with several texts, which are all in one component. Rows with a null
+    key link with nothing and have a null component_id. An empty table gives no rows; other columns are not read.
+    ``group`` and ``large`` only decide how much work it takes.
     """
     small_batches(docs.sparkSession)
     sets = stored(described(docs, key, text, words, percent), "sets")
     full = sets.filter("n > 0 and doc is not null")
-    heads = full.groupBy("h1", "h2").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("copies"))
-    nodes = full.join(heads.select("h1", "h2", F.col("head").alias("doc")), ["h1", "h2", "doc"], "left_semi")
+    heads = full.groupBy("h1", "h2").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    heads = stored(heads, "heads")
 
-    # Nodes with company: every signature that two nodes share.
-    signed = nodes.select(F.explode(F.array_distinct("signed")).alias("sig"), "doc")
-    shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("company")).filter("company > 1")
-    company = stored(signed.join(shared, "sig"), "company")
+    # Equal sets are one node. Most sets have no copy and are nodes as they are, without a shuffle.
+    known = id_filter(heads.select("h1"))
+    copied = maybe_in(full, "h1", known).groupBy("h1", "h2").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in NODE[1:]])
+    copied = stored(copied.select(*NODE), "copied")
+    nodes = maybe_in(full, "h1", known, inside=False).select(*NODE).union(copied)
+    facts = nodes.drop("signed")
 
-    # One hub for each signature.
-    marks = company.groupBy("doc").agg(F.sum("company").alias("mark"))
-    ranked = company.join(marks, "doc")
-    hubs = ranked.groupBy("sig").agg(F.max(F.struct("mark", (-F.col("doc")).alias("minus"))).alias("m"))
-    pairs = company.join(hubs.select("sig", (-F.col("m.minus")).alias("hub")), "sig").filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    facts = nodes.select("doc", "n", "p0", "p1", "p2", "p3").join(marks.select("doc"), "doc", "left_semi")
-    facts = stored(facts, "facts")
+    # Of sets with copies, which may be very many, every share finds its head in one of SALTS places.
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS))
+    many = heads.select("h1", "h2", "head", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    headed = full.select("doc", "n", "h1", "h2", salt.alias("salt")).join(many, ["h1", "h2", "salt"], "left").select("doc", "n", F.coalesce("head", "doc").alias("head"))
+
+    # Keys with several texts are in all their groups.
+    keys = full.groupBy("doc").agg(F.count(F.lit(1)).alias("rows"), (F.min(F.struct("h1", "h2")) != F.max(F.struct("h1", "h2"))).alias("differ")).filter("rows > 1")
+    keys = stored(keys, "keys")
+    own = headed.join(keys.filter("differ").select("doc"), "doc", "left_semi").filter("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct()
+    own = stored(own, "own")
+    texts = Texts(docs, key, text, words, percent, repeated=not keys.isEmpty())
+
+    # All nodes with a common signature meet its hub.
+    company = stored(grouped_nodes(nodes.select(F.explode("signed").alias("sig"), "doc")), "company")
+    pairs = with_hubs(company).filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     x, y = facts.alias("x"), facts.alias("y")
     near = pairs.join(x, F.col("a") == F.col("x.doc")).join(y, F.col("b") == F.col("y.doc")).filter(may_link("x", "y", percent)).select("a", "b")
-    near = stored(near, "pairs")
-    links = verified(near, docs, key, text, words, percent)
-    joined = stored(connected_components(links), "joined")
+    near = stored(near.distinct(), "pairs")
+    links = texts.verified(near)
+    parts = connected_components(links.union(own)).select(F.col("node").alias("doc"), F.col("component").alias("part"))
+    parts = stored(parts, "joined")
 
     # Nodes with a common signature that are still apart.
-    placed = company.join(joined.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("part"))
-    apart = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("sig")
-    open_ = placed.join(apart, "sig", "left_semi").join(facts, "doc")
-    open_ = stored(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, F.expr("x.sig = y.sig and x.doc < y.doc and x.part <> y.part") & may_link("x", "y", percent))
-    cross = cross.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    tables = [stored(still_apart(company, parts), "open")]
+    for seed in range(1, ROUNDS + 1):
+        hot = tables[-1].filter(F.col("company") > large).select("sig", "doc")
+        if hot.isEmpty():
+            break
+        tables.append(stored(still_apart(grouped_nodes(texts.divided(hot, seed)), parts), "open"))
+    cross = near.limit(0)
+    for k, members in enumerate(tables):
+        members = members.join(facts, "doc")
+        some = (F.col("company") > group) & (F.col("company") <= large if k < ROUNDS else F.lit(True))
+        cross = cross.union(joined_pairs(members.filter(F.col("company") <= group), percent)).union(block_pairs(members.filter(some), percent))
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = stored(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = verified(cross, docs, key, text, words, percent)
-    component = stored(connected_components(links.union(more)), "components")
-    for done in (company, facts, near, open_, cross, joined, links, more):
+    cross = stored(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = texts.verified(cross)
+    component = stored(connected_components(links.union(own).union(more)), "components")
+    for done in (company, near, *tables, cross, parts, links, more, own, keys, copied):
         removed(done)
 
-    # Of sets with copies, which may be very many, every share finds its head in one of SALTS places.
-    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS))
-    many = heads.filter("copies > 1").select("h1", "h2", "head", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    headed = full.select("doc", "n", "h1", "h2", salt.alias("salt")).join(many, ["h1", "h2", "salt"], "left").select("doc", "n", F.coalesce("head", "doc").alias("head"))
     result = headed.join(component, F.col("head") == F.col("node"), "left")
     result = result.select("doc", "n", F.coalesce("component", "head").alias("component_id"))
     rest = sets.filter("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
