@@ -1,10 +1,14 @@
 """Secret scan: rules over every whole text, and over every layer that can be unwrapped from it.
 
 A worklist holds layers. Each layer is scanned, then searched for encoded regions: percent escapes, Unicode and byte
-escapes, character references, base64 (plain and URL-safe), hexadecimal, and, within decoded bytes, gzip, zlib, bzip2,
-xz and zstandard streams. What a region decodes to is a new layer with a map back to its parent, so that a match in it
-has a span in the original text. A layer's content is looked at once (cycle detection by digest of the content and its
-place), so the worklist ends when nothing new can be unwrapped.
+escapes, character references, base64 (plain and URL-safe), hexadecimal, and, within the bytes that any of these gives,
+gzip, zlib, bzip2, xz and zstandard streams and UTF-16 text. What a region decodes to is a new layer with a map back to
+its parent, so that a match in it has a span in the original text. A layer's content is looked at once (cycle detection
+by digest of the content and its place), so the worklist ends when nothing new can be unwrapped.
+
+Layers are unwrapped one by one, the innermost first, and a stream that grows beyond ``LAYER_LIMIT`` is one layer after
+the other, each of them with the last ``OVERLAP`` bytes of the one before. Only matches and streams inside such a
+stream that are themselves longer than the overlap may be seen in part.
 
 Spans count code points, end exclusive. A match in percent or Unicode escapes maps to exactly the escaped stretch, one
 in base64 or hexadecimal to the characters that hold its bytes, and one in a compressed stream to the whole region.
@@ -18,7 +22,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -44,8 +49,11 @@ STRETCH = re.compile(rb"[\t-\r\x20-~]{14,}")  # a match has 14 ASCII characters
 STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18|\x78[\x01\x5e\x9c\xda]")
 HEX_TEXT = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
 
-#: A compressed layer that grows beyond this many bytes isn't opened; such layers are counted as refused.
-LAYER_LIMIT = 64 << 20
+WIDE = re.compile(rb"(?:[\t-\r\x20-~]\x00){14,}|(?:\x00[\t-\r\x20-~]){14,}")  # the same in UTF-16
+
+#: A compressed stream is unwrapped in layers of at most so many bytes, which overlap.
+LAYER_LIMIT = 32 << 20
+OVERLAP = 1 << 20
 
 
 def matches(text: str, inner: bool = False) -> list[tuple[int, int, int]]:
@@ -133,6 +141,42 @@ def unescaped(layer: Layer) -> Iterator[Layer]:
             highs.append(units[k - 1][1])
     plain(at, len(text))
     yield Layer("".join(parts), layer, lows, highs)
+    yield from escaped_bytes(layer, escapes)
+
+
+def escaped_bytes(layer: Layer, escapes: list[re.Match]) -> Iterator[Layer]:
+    """Layers in compressed streams and UTF-16 text whose bytes are partly escaped, partly written as they are."""
+    text, parts, marks, size, at = layer.text, [], [], 0, 0  # marks: byte, first character, characters for each byte
+
+    def put(data: bytes, low: int, step: int) -> None:
+        nonlocal size
+        if data:
+            parts.append(data)
+            marks.append((size, low, step))
+            size += len(data)
+
+    for m in escapes:
+        plain = text[at : m.start()]
+        put(plain.encode("latin-1", "replace"), at, 1)
+        at = m.end()
+        if m[1] or m[4]:
+            for x in ONE_BYTE.finditer(text, m.start(), m.end()):
+                put(bytes([int(x[1], 16)]), x.start(), x.end() - x.start())
+        elif m[2]:
+            put(bytes(min(255, int(text[k + 2 : k + 6], 16)) for k in range(m.start(), m.end(), 6)), m.start(), 6)
+        else:
+            put(bytes([min(255, int(m[3] or m[6], 16) if m[3] or m[6] else int(m[5]))]), m.start(), m.end() - m.start())
+    put(text[at:].encode("latin-1", "replace"), at, 1)
+
+    def place(k: int) -> int:
+        begin, low, step = marks[bisect(marks, k, key=lambda x: x[0]) - 1]
+        return low + (k - begin) * step
+
+    def stop(k: int) -> int:
+        begin, low, step = marks[bisect(marks, k - 1, key=lambda x: x[0]) - 1]
+        return low + (k - begin) * step
+
+    yield from in_bytes(layer, b"".join(parts), place, stop, plain=False)
 
 
 def utf8(raw: bytes) -> list[tuple[str, int]]:
@@ -158,62 +202,118 @@ def readable(raw: bytes) -> str | None:
     return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]", text) else text
 
 
-def decompressed(raw: bytes) -> tuple[bytes | None, bool, int]:
-    """What a compressed stream holds, all its members or frames (None if it isn't one), whether it was refused for its
-    size, and how many bytes of ``raw`` it takes."""
-    parts, size, rest = [], 0, raw
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """What a compressed stream holds, all its members or frames, a mebibyte at a time; returns how many bytes of ``raw``
+    it takes (0 if it isn't one). Of a broken one, what comes before the fault."""
+    rest, most = raw, 1 << 20
     try:
-        while True:
+        while rest:
             if rest[:2] == b"\x1f\x8b" or rest[:1] == b"\x78" and len(rest) > 2 and int.from_bytes(rest[:2]) % 31 == 0:
                 tool = zlib.decompressobj(47)
-                data = tool.decompress(rest, LAYER_LIMIT - size + 1)
+                data, fresh = tool.decompress(rest, most), True
+                while data or fresh and tool.unconsumed_tail:
+                    yield data
+                    data = tool.decompress(tool.unconsumed_tail, most) if not tool.eof else b""
+                    fresh = False
             elif rest[:3] == b"BZh" or rest[:6] == b"\xfd7zXZ\x00":
                 tool = bz2.BZ2Decompressor() if rest[:3] == b"BZh" else lzma.LZMADecompressor()
-                data = tool.decompress(rest, LAYER_LIMIT - size + 1)
+                data = tool.decompress(rest, most)
+                while data:
+                    yield data
+                    data = tool.decompress(b"", most) if not tool.eof and not tool.needs_input else b""
             elif rest[:4] == b"\x28\xb5\x2f\xfd" or rest[1:4] == b"\x2a\x4d\x18" and rest[0] >> 4 == 5:
-                frames, rest = rest, b""
-                with zstandard.ZstdDecompressor().stream_reader(frames, read_across_frames=True) as f:
-                    while data := f.read(1 << 16):
-                        parts.append(data)
-                        size += len(data)
-                        if size > LAYER_LIMIT:
-                            return None, True, len(raw)
-                break
+                tool = zstandard.ZstdDecompressor().decompressobj()
+                for k in range(0, len(rest), 256):  # what a few bytes grow to is bounded
+                    if data := tool.decompress(rest[k : k + 256]):
+                        yield data
+                    if tool.eof:
+                        rest = tool.unused_data + rest[k + 256 :]
+                        break
+                else:
+                    rest = b""
+                continue
             else:
                 break
-            size += len(data)
-            if size > LAYER_LIMIT:
-                return None, True, len(raw)
-            parts.append(data)
             rest = tool.unused_data.lstrip(b"\0") if tool.eof else b""  # members may be padded
     except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
-        pass  # what came before stays
-    return (b"".join(parts) if parts else None), False, len(raw) - len(rest)
+        pass
+    return len(raw) - len(rest)
 
 
-def opened(layer: Layer, raw: bytes, low: int, high: int, unit: tuple[int, int]) -> tuple[Layer | None, int]:
-    """The layer in decoded bytes: through any number of compressed streams, then text."""
-    refused, inner = 0, raw
+def extent(raw: bytes) -> int:
+    """How many bytes of ``raw`` a compressed stream takes; 0 if it isn't one or holds nothing."""
+    found, some = pieces(raw), False
     while True:
-        data, too_large, _ = decompressed(inner)
-        refused += too_large
-        if data is None or data == inner:
-            break
-        inner, unit = data, (0, 0)
-    text = readable(inner)
+        try:
+            some = bool(next(found)) or some
+        except StopIteration as end:
+            return (end.value or len(raw)) if some else 0
+
+
+def unpacked(raw: bytes) -> Iterator[bytes]:
+    """What a compressed stream holds, in one or, beyond ``LAYER_LIMIT``, in parts that overlap."""
+    held = bytearray()
+    for data in pieces(raw):
+        held += data
+        if len(held) >= LAYER_LIMIT:
+            yield bytes(held)
+            del held[:-OVERLAP]
+    if held:
+        yield bytes(held)
+
+
+def opened(layer: Layer, raw: bytes, low: int, high: int, unit: tuple[int, int]) -> Iterator[Layer]:
+    """The layers in decoded bytes: through any number of compressed streams, then text."""
+    if extent(raw):
+        for data in unpacked(raw):
+            if data != raw:
+                yield from opened(layer, data, low, high, (0, 0))
+        return
+    text = readable(raw)
     if text is None and not unit[0]:  # of other than text, what is text in it
-        text = "\n".join(x.decode() for x in STRETCH.findall(inner))
+        found = [x.decode() for x in STRETCH.findall(raw)]
+        text = "\n".join(found + [wide_text(x) for x in WIDE.findall(raw)])
+        yield from streams_in(layer, raw, lambda k: low, lambda k: high)
     if not text:
-        return None, refused
+        return
     offsets = None
     if unit[0] and not text.isascii():
         offsets = [0]
         for c in text:
             offsets.append(offsets[-1] + len(c.encode()))
-    return Layer(text, layer, low=low, high=high, unit=unit, offsets=offsets), refused
+    yield Layer(text, layer, low=low, high=high, unit=unit, offsets=offsets)
+
+
+def wide_text(raw: bytes) -> str:
+    return raw.replace(b"\0", b"").decode("ascii")
+
 
+def streams_in(layer: Layer, raw: bytes, place: Callable[[int], int], stop: Callable[[int], int], taken: list | None = None) -> Iterator[Layer]:
+    """Layers in compressed streams anywhere in ``raw``; ``place`` and ``stop`` tell where the character of a byte begins,
+    and where the one before it ends. ``taken`` gets the bytes that streams take."""
+    done = 0
+    for x in STREAM.finditer(raw):
+        if x.start() >= done and (used := extent(raw[x.start() :])):
+            done = x.start() + used
+            if taken is not None:
+                taken.append((x.start(), done))
+            yield from opened(layer, raw[x.start() : done], place(x.start()), stop(done), (0, 0))
+
+
+def in_bytes(layer: Layer, raw: bytes, place: Callable[[int], int], stop: Callable[[int], int], plain: bool = True) -> Iterator[Layer]:
+    """Layers in bytes that aren't text as a whole: compressed streams, and what is text (``plain`` or UTF-16) beside
+    them."""
+    taken: list[tuple[int, int]] = []
+    yield from streams_in(layer, raw, place, stop, taken)
+    for x in STRETCH.finditer(raw) if plain else ():
+        if not any(low <= x.start() and x.end() <= high for low, high in taken):
+            yield Layer(x[0].decode(), layer, [place(k) for k in range(x.start(), x.end())], [stop(k + 1) for k in range(x.start(), x.end())])
+    for x in WIDE.finditer(raw):
+        if not any(low <= x.start() and x.end() <= high for low, high in taken):
+            yield Layer(wide_text(x[0]), layer, [place(k) for k in range(x.start(), x.end(), 2)], [stop(k + 2) for k in range(x.start(), x.end(), 2)])
 
-def in_base64(layer: Layer, m: re.Match) -> Iterator[tuple[Layer | None, int]]:
+
+def in_base64(layer: Layer, m: re.Match) -> Iterator[Layer]:
     """Layers in one base64 block, whose characters may follow others of its alphabet and go on over line ends.
 
     If the block as a whole isn't text or a compressed stream, it is decoded in all four phases, and what is text or a
@@ -233,41 +333,25 @@ def in_base64(layer: Layer, m: re.Match) -> Iterator[tuple[Layer | None, int]]:
         def place(k: int, phase=phase) -> int:
             """Where the group that holds byte k begins."""
             at = phase + k // 3 * 4
-            if at >= len(chars):
-                return m.end()
             return places[at] if places else m.start() + at
 
-        def spread(low: int, high: int, place=place) -> dict:
-            """Maps of the bytes ``low`` to ``high``, one character each."""
-            ends = [place(k // 3 * 3 + 3) for k in range(low, high)]
-            if places:  # a group ends with its last character, not after the line end
-                last = [min(len(chars), phase + k // 3 * 4 + 4) - 1 for k in range(low, high)]
-                ends = [places[x] + 1 for x in last]
-            return {"lows": [place(k) for k in range(low, high)], "highs": ends}
+        def stop(k: int, phase=phase) -> int:
+            """Where the group that holds the byte before k ends: with its last character, not after a line end."""
+            last = min(len(chars), phase + (k - 1) // 3 * 4 + 4) - 1
+            return places[last] + 1 if places else m.start() + last + 1
 
         if not phase:
-            data, too_large, used = decompressed(raw)
-            if too_large or data and used == len(raw):
-                yield opened(layer, raw, m.start(), m.end(), (3, 4))
+            if extent(raw) == len(raw):
+                yield from opened(layer, raw, m.start(), m.end(), (3, 4))
                 return
-            if readable(raw):
-                new, refused = opened(layer, raw, m.start(), m.end(), (3, 4))
-                if places and new and new.unit[0]:
-                    new = Layer(new.text, layer, **by_character(new.text, spread(0, len(raw))))
-                yield new, refused
+            if (text := readable(raw)) is not None:
+                if places:
+                    maps = {"lows": [place(k) for k in range(len(raw))], "highs": [stop(k + 1) for k in range(len(raw))]}
+                    yield Layer(text, layer, **by_character(text, maps))
+                else:
+                    yield from opened(layer, raw, m.start(), m.end(), (3, 4))
                 return
-        done, taken = 0, []
-        for x in STREAM.finditer(raw):
-            if x.start() < done:
-                continue
-            data, too_large, used = decompressed(raw[x.start() :])
-            if too_large or data:
-                done = x.start() + used
-                taken.append((x.start(), done))
-                yield opened(layer, raw[x.start() : done], place(x.start()), m.end() if done >= len(raw) else place(done + 2), (0, 0))
-        for x in STRETCH.finditer(raw):
-            if not any(low <= x.start() and x.end() <= high for low, high in taken):
-                yield Layer(x[0].decode(), layer, **spread(x.start(), x.end())), 0
+        yield from in_bytes(layer, raw, place, stop)
 
 
 def by_character(text: str, maps: dict) -> dict:
@@ -282,41 +366,51 @@ def by_character(text: str, maps: dict) -> dict:
     return {"lows": lows, "highs": highs}
 
 
-def encoded(layer: Layer) -> Iterator[tuple[Layer | None, int]]:
+def encoded(layer: Layer) -> Iterator[Layer]:
     """Layers in base64 and hexadecimal regions."""
     text = layer.text
     for m in BASE64.finditer(text):
         yield from in_base64(layer, m)
     for m in HEX_TEXT.finditer(text):
-        yield opened(layer, bytes.fromhex(m[0]), m.start(), m.end(), (1, 2))
+        raw = bytes.fromhex(m[0])
+        if readable(raw) is not None or extent(raw):
+            yield from opened(layer, raw, m.start(), m.end(), (1, 2))
+        else:
+            yield from in_bytes(layer, raw, lambda k, m=m: m.start() + 2 * k, lambda k, m=m: m.start() + 2 * k)
+
 
+def unwrapped(layer: Layer) -> Iterator[Layer]:
+    """The layers directly below one."""
+    yield from unescaped(layer)
+    yield from encoded(layer)
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base spans, all spans (both sorted by start, then kind, then end), layers unwrapped and layers refused."""
+
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
+    """Base spans, all spans (both sorted by start, then kind, then end) and layers unwrapped."""
     base = sorted(matches(text), key=lambda s: (s[0], s[2], s[1]))
-    spans, seen, layers, refused = set(base), set(), 0, 0
-    work = [Layer(text)]
+    spans, seen, layers = set(base), set(), 0
+    work = [(text, unwrapped(Layer(text)))]  # a layer's own layers are unwrapped before the next beside it
     while work:
-        layer = work.pop()
-        found = [(x, 0) for x in unescaped(layer)]
-        found += encoded(layer)
-        for new, no in found:
-            refused += no
-            if new is None or new.text == layer.text:
-                continue
-            place = new.back(0, len(new.text))
-            mark = (place, hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            if mark in seen:
-                continue
-            seen.add(mark)
-            layers += 1
-            for start, end, kind in matches(new.text, inner=True):
-                if new.lows is not None and new.highs[end - 1] - new.lows[start] == end - start:
-                    continue  # no escape in it: the parent's own match, or none by its rules
-                low, high = new.back(start, end)
-                spans.add((low, high, kind))
-            work.append(new)
-    return base, sorted(spans, key=lambda s: (s[0], s[2], s[1])), layers, refused
+        above, found = work[-1]
+        new = next(found, None)
+        if new is None:
+            work.pop()
+            continue
+        if new.text == above:
+            continue
+        place = new.back(0, len(new.text)) if new.text else (0, 0)
+        mark = (place, hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        if mark in seen:
+            continue
+        seen.add(mark)
+        layers += 1
+        for start, end, kind in matches(new.text, inner=True):
+            if new.lows is not None and new.highs[end - 1] - new.lows[start] == end - start:
+                continue  # no escape in it: the parent's own match, or none by its rules
+            low, high = new.back(start, end)
+            spans.add((low, high, kind))
+        work.append((new.text, unwrapped(new)))
+    return base, sorted(spans, key=lambda s: (s[0], s[2], s[1])), layers
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -348,23 +442,23 @@ def _in_batches(df: DataFrame, row, schema: str, text: str) -> DataFrame:
 
 
 def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_assign, n_access, n_hex, base_sha256, spans, n_spans, n_layers, n_refused.
+    """One row per document: key, n_assign, n_access, n_hex, base_sha256, spans, n_spans, n_layers.
 
     Null and empty texts have no spans (the digest of the empty string). Repeated rows stay repeated, null keys stay
     null, an empty table gives no rows; other columns are not read.
     """
     kind = dict(docs.dtypes)[key]
-    schema = f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long, n_layers long, n_refused long"
+    schema = f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long, n_layers long"
 
     def row(b: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
         rows = []
         for t in texts:
-            base, spans, layers, refused = scan(t or "")
+            base, spans, layers = scan(t or "")
             n = [sum(s[2] == k for s in base) for k in range(3)]
-            rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), layers, refused))
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 3
-        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([b.column(0), *cols], [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans", "n_layers", "n_refused"])
+            rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), layers))
+        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(0), *cols], [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans", "n_layers"])
 
     return _in_batches(docs.select(F.col(key), F.col(text).cast("string").alias(text)), row, schema, text)
 
@@ -372,7 +466,7 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def redact_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the secrets of every text, encoded ones included, replaced by ``[secret]``; nulls stay null.
 
-    Rows and all other columns stay as they are.
+    Rows and all other columns stay as they are: repeated rows, null keys and empty texts too. An empty table stays empty.
     """
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
