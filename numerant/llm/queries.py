@@ -12,8 +12,6 @@ END_ID = 2
 
 #: The rules of the URL filter (action, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Globs that judge URLs which no rule fits.
-URL_GLOBS = ["*spam-farm*/**", "*cheap-pills*/**", "*casino*/**"]
 
 
 def in_fold(modulus: int, rest: int) -> Column:
@@ -78,12 +76,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_rules.host_rule(*r) for r in URL_RULES]
-    junk = [url_rules.Rule(g, "block", g, -1 - k) for k, g in enumerate(URL_GLOBS)]
-    judged = url_rules.judge_urls(read(spark, sf_dir, "pages"), rules + junk)
+    judged = url_rules.judge_urls(read(spark, sf_dir, "pages"), rules + url_rules.junk_globs())
     by_rule = F.col("rule").isin([r.name for r in rules])
     return judged.select("page_id", "host", "path", F.when(by_rule, F.col("rule")).alias("rule"), "verdict", F.when(~by_rule, F.col("rule")).alias("pattern"))
 
 
+_JUNK = "\n    ".join(f"WHEN contains(host, '{w}') THEN '*{w}*/**'" for w in url_rules.JUNK_WORDS)
 OP10_SQL = r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -100,12 +98,11 @@ ruled AS (
          WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM urls),
 globbed AS (
   SELECT *, CASE WHEN rule IS NOT NULL OR NOT starts_with(path, '/') THEN NULL
-    WHEN contains(host, 'spam-farm') THEN '*spam-farm*/**' WHEN contains(host, 'cheap-pills') THEN '*cheap-pills*/**'
-    WHEN contains(host, 'casino') THEN '*casino*/**' END AS pattern FROM ruled)
+    {JUNK} END AS pattern FROM ruled)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern
 FROM globbed
-"""
+""".replace("{JUNK}", _JUNK)
 
 
 def queries() -> dict:
