@@ -12,7 +12,9 @@ equal (0 for queries): ``|q - x|^2 = |q|^2 + M - 2 q.x``. In that space
 
 Scores are integer inner products and exact; bounds are floating point with a margin and only ever keep too much. Cells
 and groups of any size are dealt out by a salt, so a vector or cell that a third of all rows share spreads over tasks.
-The driver sees the pivots and the summaries per pivot, of which there are at most ``MOST_PIVOTS``.
+The driver sees the pivots, of which there are at most ``MOST_PIVOTS``, the summaries per pivot, and for every pair of
+pivots whether data of one go to the queries of the other: a table of at most ``MOST_PIVOTS`` squared rows, 262,144,
+whatever the number of vectors. It is broadcast; how many parts the queries of a group are in stands beside it.
 """
 
 from __future__ import annotations
@@ -182,7 +184,7 @@ def inner_product_top_k(vectors: DataFrame, is_query, k: int, scale: float = 64.
     of_cell = {c: g for g, members in enumerate(groups) for c in members}
     parts = [max(1, -(-sum(counts[True, c][0] for c in members) // QUERIES_PER_BLOCK)) for members in groups]
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // sum(parts))  # shares of the data, solved apart
-    wanted = []  # (cell of data, group of queries, part, least and greatest distance of use)
+    wanted = []  # (cell of data, group of queries, its parts, least and greatest distance of use)
     for j in near:
         for g, members in enumerate(groups):
             lows, highs = [], []
@@ -190,8 +192,8 @@ def inner_product_top_k(vectors: DataFrame, is_query, k: int, scale: float = 64.
                 if between[i, j] / 2 - counts[True, i][1] <= bound[i] + slack or i == j:
                     lows.append(between[i, j] - counts[True, i][1] - bound[i] - slack)
                     highs.append(between[i, j] + counts[True, i][1] + bound[i] + slack)
-            wanted += [(j, g, p, float(min(lows)), float(max(highs))) for p in range(parts[g]) if lows]
-    targets = spark.createDataFrame(wanted, "cell int, grp int, part int, low double, high double")
+            wanted += [(j, g, parts[g], float(min(lows)), float(max(highs)))] if lows else []
+    targets = spark.createDataFrame(wanted, "cell int, grp int, parts int, low double, high double")
 
     rows_per_block = int(min(ROWS_PER_BLOCK, max(256, 2 * n / n_pivots)))
     salts = {(False, c): -(-m // rows_per_block) for (asked, c), (m, _) in counts.items() if not asked}
@@ -217,7 +219,7 @@ def inner_product_top_k(vectors: DataFrame, is_query, k: int, scale: float = 64.
     asked = asked.select("grp", "part", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"))
     asked = asked.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     sent = data.join(F.broadcast(targets), "cell").filter((F.col("most") >= F.col("low")) & (F.col("least") <= F.col("high")))
-    sent = sent.withColumn("share", F.pmod(F.hash("cell", "salt"), F.lit(spread)))
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("share", F.pmod(F.hash("cell", "salt"), F.lit(spread)))
     pairs = sent.join(asked, ["grp", "part", "share"]).select("grp", "part", "share", "cell", "n", "least", "most", "ids", "xs", "q_n", "q_ids", "q_xs")
 
     # 4. Local search.
