@@ -141,7 +141,9 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Learns from at most ``rows`` rows with a language and letters, chosen by a hash of the key.
+    """Learns from at most ``rows`` rows with a language and letters, chosen by a hash of the key. A repeated key counts
+    once, with its smallest text; rows without key, language or text are left out. From no rows at all comes a model
+    that knows no language.
 
     Subwords are counted where the texts are; one task, whose input the bound keeps small, trains.
     """
@@ -149,6 +151,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     known = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     chosen = known.select(F.col(key).alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(rows)
     picked = known.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.col(lang).alias("_lang")).join(F.broadcast(chosen), "_key")
+    picked = picked.groupBy("_key").agg(F.min(F.struct("_text", "_lang")).alias("one")).select("_key", "one.*")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +162,6 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             cols = [pa.array(c, pa.binary()) for c in (zip(*out, strict=True) if out else ([], []))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *cols], ["id", "lang", "found", "counts"])
 
-
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         got.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) % (1 << 64), r[2]))  # the same order every time

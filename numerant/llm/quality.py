@@ -93,7 +93,7 @@ def scores(model: Model, texts: list[str | None], sizes: Sizes | None = None) ->
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", rows: int = TRAIN_ROWS) -> Model:
     """Learns from at most ``rows`` rows of ``labels`` (key, label 0 or 1; other values are left out), in one task whose
-    input that bound keeps small."""
+    input that bound keeps small. A repeated key counts once; without rows every text scores 0.5."""
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]

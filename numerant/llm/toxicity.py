@@ -88,11 +88,16 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int, key: str = "doc_id", text: str = "text", label: str = "label") -> DataFrame:
-    """At most ``rows`` labelled texts, chosen by a hash of the key: (key, label, text)."""
+    """At most ``rows`` labelled texts, chosen by a hash of the key: (key, label, text).
+
+    A repeated key counts once, with its largest label and its smallest text (null only if it has no other), so that
+    the bound is one of rows. Rows without a key or with other labels than 0 and 1 are left out.
+    """
     small_batches(docs.sparkSession)
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64(key), key).limit(rows)  # integers, few; broadcast as bounded by ``rows``
-    return docs.select(F.col(key), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), key).select(key, "_label", "_text")
+    found = docs.select(F.col(key), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), key)
+    return found.groupBy(key, "_label").agg(F.min("_text").alias("_text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", rows: int = TRAIN_ROWS) -> Model:
@@ -135,7 +140,11 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
 
 
 def clean_documents(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    A score equal to the threshold goes. Null and empty texts score as texts without words do; rows with a null key and
+    repeated rows are judged like all others. An empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
