@@ -7,8 +7,9 @@ into the open bin with the least room that still holds it, found in a segment tr
 that are alike are moved together, so its result is a short list of runs (length, rank of the first piece, first bin,
 pieces per bin, offset). Every piece then finds its place from its rank among pieces of its length.
 
-Ranks are made in two levels (length and a salt of the key, then offsets of salts), so that a length that a third of all
-pieces have is dealt out over many tasks. The driver sees counts by length and salt only.
+Ranks are made in two levels (length and a salt of the key, then offsets of salts), so that a length that most pieces
+have, as the full one in a large corpus, is dealt out over as many tasks as its count asks for. The driver sees counts by
+length and salt only: one for each length, and one more for every ``PER_SALT`` pieces.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from numerant.llm.common import small_batches, stored
 from numerant.llm.tokens import encoder
 
-SALTS = 64
+#: Pieces of a length and salt, which one task ranks, in expectation.
+PER_SALT = 50_000
 
 
 class RoomTree:
@@ -123,30 +125,34 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, key:
 
 def placed(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     """``pieces`` (a stored table, as it is read twice) with sequence_id and offset."""
-    salt = F.pmod(F.xxhash64(F.col(key), F.col("piece"), F.col("start")), F.lit(SALTS)).cast("int")
-    salted = pieces.withColumn("_salt", salt)
-    table = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect():  # capacity x SALTS rows at most
-        table[r.length, r._salt] = r.n
-    before = np.cumsum(table, axis=1) - table
-    runs = best_fit_decreasing({k: int(n) for k, n in enumerate(table.sum(axis=1)) if n}, capacity)
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # ``capacity`` rows at most
+    salts = [-(-counts.get(k, 1) // PER_SALT) for k in range(capacity + 1)]
+    salt_of = F.get(F.array(*map(F.lit, salts)), F.col("length").cast("int"))
+    own = pieces.columns
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(F.col(key), F.col("piece"), F.col("start")), salt_of.cast("long")).cast("int"))
+    first = np.cumsum([0, *salts])  # of the salts of each length
+    table = np.zeros(first[-1], np.int64)
+    for r in salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect():
+        table[first[r.length] + r._salt] = r.n
+    ahead_of = np.cumsum(table) - table
+    before = ahead_of - np.repeat(ahead_of[first[:-1]], salts)  # pieces of smaller salts of the same length
+    runs = best_fit_decreasing(counts, capacity)
     runs = np.array(sorted(runs), np.int64).reshape(-1, 6)
     begins = runs[:, 0] << 44 | runs[:, 1]
     window = Window.partitionBy("length", "_salt").orderBy(F.col(key), "piece", "ids_crc32")
     ranked = salted.withColumn("_rank", F.row_number().over(window) - 1)
-    own = [c for c in ranked.columns if not c.startswith("_")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, salt, rank = (b.column(c).to_numpy().astype(np.int64) for c in ("length", "_salt", "_rank"))
-            rank = rank + before[length, salt]
+            rank = rank + before[first[length] + salt]
             at = np.searchsorted(begins, length << 44 | rank, "right") - 1
             ahead = rank - runs[at, 1]
             sequence = runs[at, 3] + ahead // runs[at, 4]
             offset = runs[at, 5] + ahead % runs[at, 4] * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(sequence), pa.array(offset)], [*own, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in ranked.select(own).dtypes)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 

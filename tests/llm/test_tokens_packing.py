@@ -99,7 +99,9 @@ def test_runs_are_best_fit_decreasing(case):
     assert len(bins) == plain_best_fit(lengths, capacity)
 
 
-def test_packing_of_documents(spark):
+@pytest.mark.parametrize("per_salt", [packing.PER_SALT, 3])
+def test_packing_of_documents(spark, monkeypatch, per_salt):
+    monkeypatch.setattr(packing, "PER_SALT", per_salt)
     rng = random.Random(3)
     rows = [(k, " ".join(rng.choice(["the", "and", "of", "thing"]) for _ in range(rng.choice([0, 3, 20, 70, 300]))), k) for k in range(150)] + [(7, None, 1), (None, "x", 2), (9, "the " * 50, 3), (9, "the " * 50, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, offset int")
