@@ -61,8 +61,3 @@ def currency_code(text: Column) -> Column:
 def shown(value: Column, decimals: int) -> Column:
     """With thousands separators; halves are rounded away from zero."""
     return F.format_number(F.round(value, decimals), decimals)
-
-
-def bucket(size: Column, ratio: float = 1.05) -> Column:
-    """A logarithmic bucket: sizes within 2 % of each other are in the same or neighbouring ones; 0 has its own."""
-    return F.when(size == 0, F.lit(-(1 << 40))).otherwise(F.floor(F.ln(size.cast("double")) / F.ln(F.lit(ratio))))

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from numerant.lexicon import BLOCK_TAGS, LOOSE_NUMBER, NUMBER, SKIPPED_TAGS, WORD
+from numerant.lexicon import BLOCK_TAGS, FOOTNOTE_MARKS, INLINE_FORMULA, LOOSE_NUMBER, NUMBER, PAGE_HEADS, SKIPPED_TAGS, WORD
 
 
 def normalised(text: Column) -> Column:
     """Markup of answers and tables taken off: bold, footnote marks, escapes, LaTeX, superscripts, odd blanks."""
     t = F.replace(text, F.lit("**"), F.lit(""))
-    t = F.regexp_replace(t, r"\$\s*\{\s*\}\s*\^\{[^}]*\}\s*\$", "")
-    t = F.regexp_replace(t, r"\^\{[^}]*\}", "")
+    for mark in FOOTNOTE_MARKS:
+        t = F.regexp_replace(t, mark, "")
     t = F.replace(t, F.lit("\\$"), F.lit("$"))
-    t = F.regexp_replace(t, r"\$([^$\n]*\\[^$\n]*)\$", "$1")
+    t = F.regexp_replace(t, INLINE_FORMULA, "$1")
     t = F.replace(F.replace(t, F.lit("\\%"), F.lit("%")), F.lit("\\times"), F.lit("x"))
     t = F.replace(F.replace(t, F.lit("m³"), F.lit("m3")), F.lit("m²"), F.lit("m2"))
     t = F.translate(t, "    −¹²³⁴⁵⁶⁷⁸⁹⁰", "    -")
@@ -94,7 +94,5 @@ def safe_url(url: Column) -> Column:
 
 def printed_page(line: Column) -> Column:
     """The page number of a running header ("140 Annual Report 2024 | ..." or "... | Governance 57"), else null."""
-    start = F.regexp_extract(line, r"^\s*(\d{1,4})\s+\S[^|\n]{2,120}\|", 1)
-    end = F.regexp_extract(line, r"\|[^|\n]*?\s(\d{1,4})\s*$", 1)
-    return F.when(start != "", start).when(end != "", end).cast("int")
-
+    found = [F.regexp_extract(line, p, 1) for p in PAGE_HEADS]
+    return F.coalesce(*[F.when(f != "", f.cast("int")) for f in found])

@@ -18,6 +18,9 @@ UNITS = {
     "x": "x", "×": "x", "p": "p", "pence": "p", "c": "c", "cent": "c", "cents": "c", "¢": "c", "kg": "kg", "kgs": "kg", "t": "t", "teu": "TEU", "m3": "m3", "m2": "m2", "pcs": "pcs",
 }
 PERCENT_UNITS = ["%", "pp", "bps"]
+PERCENT_WORDS = ["%", "pct", "percent"]
+RESULT_UNITS = {"x": "multiples (x)", "p": "pence", "c": "cents", "kg": "kilograms", "t": "tonnes", "TEU": "TEU", "m3": "cubic metres", "m2": "square metres", "pcs": "pieces", "pp": "percentage points"}
+SYMBOLS = {"GBP": "£", "USD": "$", "EUR": "€"}
 HEADER_SCALES = {"m": 6, "mn": 6, "million": 6, "millions": 6, "bn": 9, "billion": 9, "billions": 9, "k": 3, "thousand": 3, "thousands": 3, "'000": 3, "'000s": 3, "000s": 3}
 
 # Patterns.
@@ -27,3 +30,12 @@ WORD = r"[a-z][a-z&'-]+"
 CITATION_ID = r"(?:D\d+:p\d+:[bc]\d+|D\d+:s\d+:[A-Z]{1,3}\d+|[CWL]\d+)"
 SKIPPED_TAGS = ["script", "style", "nav", "header", "footer", "noscript", "svg", "form"]
 BLOCK_TAGS = ["p", "li", "td", "th", "h1", "h2", "h3", "h4", "div", "tr", "br", "section", "article"]
+
+# Lines that state a unit for what follows, and page numbers in running heads.
+UNIT_LINE = r"(?i)(?:GBP|USD|EUR|CHF|£|\$|€)\s?(?:m|bn|k|million|billion|thousand)s?\b|\bin (?:millions|billions|thousands)\b"
+PAGE_HEADS = [r"^\s*(\d{1,4})\s+\S[^|\n]{2,120}\|", r"\|[^|\n]*?\s(\d{1,4})\s*$"]
+BARE_PAGE = r"^[\s<>|]*(\d{1,4})[\s<>|]*$"
+
+# Markup in texts that were read from pages.
+FOOTNOTE_MARKS = [r"\$\s*\{\s*\}\s*\^\{[^}]*\}\s*\$", r"\^\{[^}]*\}"]
+INLINE_FORMULA = r"\$([^$\n]*\\[^$\n]*)\$"
