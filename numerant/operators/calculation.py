@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,16 +161,14 @@ def evaluated(inputs: DataFrame, formulas: dict[str, str], formula: str = "formu
     return inputs.withColumn(result, out)
 
 
-def money_power(formula: str, money: list[str], spark: SparkSession) -> int | None:
-    """The power of money of a formula's result: 0 for ratios, 1 for amounts; None if it has none, as where amounts are
-    added to numbers. It is read off from how results grow when all amounts double."""
-    names = sorted({t for t in tokens_of(formula) or [] if re.match(r"[A-Za-z_]", t)} - set(CALLS))
-    trials = spark.range(3).select("id", *[(F.col("id") * (2.0 + k) + 3.0 + k * 1.37).alias(n) for k, n in enumerate(names)])
-    once = trials.select("id", compiled(formula).alias("once"))
-    twice = trials.select("id", *[(F.col(n) * 2 if n in money else F.col(n)).alias(n) for n in names]).select("id", compiled(formula).alias("twice"))
-    power = F.round(F.log2(F.try_divide(F.col("twice"), F.col("once"))), 9)
-    low, high = once.join(twice, "id").agg(F.min(F.coalesce(power, F.lit(-99.0))), F.max(F.coalesce(power, F.lit(99.0)))).first()
-    return int(low) if low == high and low == int(low) else None
+def formula_problems(formula: Column, names: Column, documents: Column) -> Column:
+    """``problems`` of each row's formula, joined by commas; null for a null formula. ``names`` and ``documents`` are arrays
+    of the inputs' names, and of those that come from documents."""
+
+    def told(formulas: pd.Series, names: pd.Series, documents: pd.Series) -> pd.Series:
+        return pd.Series([None if f is None else ",".join(problems(f, list(n), list(d))) for f, n, d in zip(formulas, names, documents, strict=True)], dtype="string")
+
+    return F.pandas_udf(told, "string")(formula, names, documents)
 
 
 def displayed(value: Column, kind: str = "num", currency: str = "", suffix: str = "") -> Column:

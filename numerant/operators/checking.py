@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from numerant.functions.numeric import SIZE, close_to_display, is_percent, power_of_ten
 from numerant.functions.text import is_separator_row, normalised, row_cells
-from numerant.lexicon import CITATION_ID
+from numerant.lexicon import CITATION_ID, DERIVED_WORDS
 from numerant.operators.figures import extract_figures
 from numerant.operators.matching import in_year, matches
 from numerant.operators.status import best_status
@@ -37,7 +37,7 @@ def clauses(line: Column) -> Column:
 def scopes(answers: DataFrame, key: str = "answer_id", text: str = "text") -> DataFrame:
     """One row per scope: key, segment_id, scope_id (of a table, the row), text (without citations), cites, is_row; and
     for years clause_id, clause, offset (of the text in the clause) and fallback_year (of the clause, or of the cell's
-    column header, else of its row's label).
+    column header, else of its row's label); header is the cell's column header in lower case, empty elsewhere.
 
     In prose a run of citations closes the scope of the text since the one before; what follows the last has none. In a
     table every cell is a scope and the row's citations cover it; separator rows are left out. Null and empty answers
@@ -53,7 +53,7 @@ def scopes(answers: DataFrame, key: str = "answer_id", text: str = "text") -> Da
     prose = prose.withColumn("pieces", F.split(F.regexp_replace("t", f"({CITATION_RUN})", f"$1{_CUT}"), _CUT)).withColumn("clause", F.array_join(F.transform("pieces", bare), " "))
     prose = prose.select(key, "line", "clause_no", "clause", clause_year(F.col("clause")).alias("fallback_year"), F.posexplode("pieces").alias("piece", "t"))
     ahead = Window.partitionBy(key, "line", "clause_no").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    prose = prose.withColumn("offset", F.coalesce(F.sum(F.length(bare(F.col("t"))) + 1).over(ahead), F.lit(0))).withColumn("is_row", F.lit(False)).withColumn("cited", F.col("t"))
+    prose = prose.withColumn("offset", F.coalesce(F.sum(F.length(bare(F.col("t"))) + 1).over(ahead), F.lit(0))).withColumn("is_row", F.lit(False)).withColumn("cited", F.col("t")).withColumn("header", F.lit(""))
 
     rows = lines.filter(in_table).withColumn("is_sep", is_separator_row(F.col("t")))
     rows = rows.withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy(key).orderBy("line")))
@@ -64,7 +64,8 @@ def scopes(answers: DataFrame, key: str = "answer_id", text: str = "text") -> Da
     rows = rows.select(key, "line", F.lit(0).alias("clause_no"), F.lit(0).alias("offset"), F.col("t").alias("cited"), "cells", "heads", "headed", F.posexplode("cells").alias("piece", "t"))
     of_row = F.when(F.col("piece") > 0, single_year(F.element_at("cells", 1)))
     year = F.when(~F.coalesce("headed", F.lit(False)), F.coalesce(single_year(F.try_element_at("heads", F.col("piece") + 1)), of_row))
-    rows = rows.withColumn("fallback_year", year).withColumn("clause", bare(F.col("t"))).withColumn("is_row", F.lit(True)).drop("cells", "heads", "headed")
+    header = F.when(F.coalesce("headed", F.lit(False)), F.lit("")).otherwise(F.coalesce(F.lower(F.try_element_at("heads", F.col("piece") + 1)), F.lit("")))
+    rows = rows.withColumn("fallback_year", year).withColumn("header", header).withColumn("clause", bare(F.col("t"))).withColumn("is_row", F.lit(True)).drop("cells", "heads", "headed")
 
     every = prose.unionByName(rows)
     ids = F.regexp_extract_all("cited", F.lit(f"({CITATION_ID})(?=[^\\[\\]]*\\])"), 1)
@@ -73,7 +74,7 @@ def scopes(answers: DataFrame, key: str = "answer_id", text: str = "text") -> Da
     scope = F.when(F.col("is_row"), F.concat_ws(".", F.col(key).cast("string"), "line")).otherwise(place)
     out = every.select(
         key, place.alias("segment_id"), scope.alias("scope_id"), bare(F.col("t")).alias("text"), ids.alias("cites"), "is_row",
-        F.when(F.col("is_row"), place).otherwise(clause).alias("clause_id"), "clause", "offset", "fallback_year",
+        F.when(F.col("is_row"), place).otherwise(clause).alias("clause_id"), "clause", "offset", "fallback_year", "header",
     )
     return out.filter((F.trim("text") != "") | (F.size("cites") > 0))
 
@@ -95,40 +96,96 @@ def calculation_fits(f: str = "f", c: str = "c") -> Column:
     return (percent == calc("is_percent")) & unit & currency & ((said == 0) | (sign == 0) | (said == sign)) & near
 
 
-def checked_figures(answers: DataFrame, blocks: DataFrame, calculations: DataFrame | None = None, key: str = "answer_id", text: str = "text") -> DataFrame:
-    """One row per figure of each answer: key, figure_id, raw, and its status over all citations of its scope.
+def stated_sign(side: str) -> Column:
+    """-1 or 1 for a figure that states a sign: a minus or brackets, or a direction word before a change; else 0."""
+    return F.when(F.col(f"{side}.neg") | (F.col(f"{side}.direction") < 0), -1).when(F.col(f"{side}.direction") > 0, 1).otherwise(0)
+
+
+def directions_agree(f: str = "f", b: str = "b") -> Column:
+    """A figure that states no sign fits any value; one that does fits values of the same sign, of which those that state
+    none are positive."""
+    return (stated_sign(f) == 0) | (stated_sign(f) == F.when(stated_sign(b) < 0, -1).otherwise(1))
+
+
+def near_derived_word(f: str = "f") -> Column:
+    """Whether one of the four words before the figure, or a word of its column's header, is that of a derived figure."""
+    heads = F.regexp_extract_all(F.col(f"{f}.header"), F.lit("[a-z]+"), 0)
+    return F.arrays_overlap(F.concat(F.col(f"{f}.words"), heads), F.array(*map(F.lit, DERIVED_WORDS)))
+
+
+def asked_figures(answers: DataFrame, key: str, question: str) -> DataFrame:
+    """The figures of each question as key and ``asked``: value, scale, whether a percentage, unit."""
+    found = extract_figures(answers.select(key, question).distinct(), key, question)
+    return found.select(key, _as_asked(found).alias("asked")).distinct()
+
+
+def _as_asked(figures: DataFrame) -> Column:
+    return F.struct(F.col("value"), F.col("scale"), is_percent(F.col("unit")).alias("percent"), F.coalesce("unit", F.lit("")).alias("unit"))
+
+
+def checked_figures(answers: DataFrame, blocks: DataFrame, calculations: DataFrame | None = None, key: str = "answer_id", text: str = "text", question: str | None = None, valid: DataFrame | None = None) -> DataFrame:
+    """One row per figure of each answer: key, figure_id, raw, the citation that decides, its status over all citations
+    of its scope, and for a mismatch with a block why: ``opposite`` (the sign), ``year`` (another column) or ``absent``.
 
     The first citation that passes counts, else the worst failure. ``blocks`` has a row per value (see
     ``block_values``); where it has year and years, figures with a year only fit that year's column, if there is one.
-    ``calculations`` calc_id, result, is_percent, unit, currency, scale, change_sign, has_assumption.
+    ``calculations`` calc_id, result, is_percent, unit, currency, scale, change_sign, has_assumption; of those only the
+    ones in ``valid`` (key, calc_id: made in this turn) may be cited, if it is given. Uncited figures that the
+    ``question`` (a column of ``answers``) states too are ``from_question``.
+
+    Answers without figures have no rows; null and empty ones have none. A figure that cites nothing meets no block, so
+    that the many without a citation are no common key.
     """
     parts = scopes(answers, key, text)
-    found = extract_figures(parts, "segment_id", keep=(key, "cites", "clause_id", "offset", "fallback_year"))
+    found = extract_figures(parts, "segment_id", keep=(key, "cites", "clause_id", "offset", "fallback_year", "header"))
     found = found.withColumn("figure_id", F.concat_ws("#", "segment_id", F.col("pos").cast("string")))
-    fit = matches()
+    if "direction" not in blocks.columns:
+        blocks = blocks.withColumn("direction", F.lit(0))
+    in_column = F.lit(True)
     if {"year", "years"} <= set(blocks.columns):
         found = pinned(found, parts.select("clause_id", "clause"))
-        fit = fit & in_year()
-    cites = F.when(F.size("cites") > 0, F.col("cites")).otherwise(F.array(F.lit(None).cast("string")))
-    each = found.select("*", F.posexplode(cites).alias("at", "cite"))
-    joined = each.alias("f").join(blocks.withColumn("_there", F.lit(True)).alias("b"), F.col("f.cite") == F.col("b.block"), "left")
-    known, fits = F.bool_or("b._there"), F.bool_or(fit)
-    if calculations is not None:
-        joined = joined.join(calculations.alias("c"), F.col("f.cite") == F.col("c.calc_id"), "left")
-        calculated = F.max(F.when(calculation_fits(), F.when(F.col("c.has_assumption"), "calculated_with_assumption").otherwise("calculated")))
-        there = F.max("c.calc_id").isNotNull()
+        in_column = in_year()
+
+    loose = found.filter(F.col("unparsed") | (F.size("cites") == 0))
+    if question is not None:
+        asked = asked_figures(answers, key, question).withColumn("_known", F.lit(True))
+        loose = loose.withColumn("asked", _as_asked(loose)).join(asked, [key, "asked"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
     else:
-        calculated, there = F.lit(None).cast("string"), F.lit(False)
-    first = F.any_value
+        loose = loose.withColumn("_known", F.lit(False))
+    status = F.when(F.col("unparsed"), "unparsed").when(F.col("_known"), "from_question").otherwise("untraced")
+    loose = loose.select(key, "figure_id", "raw", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("cite"), status.alias("status"), F.lit(None).cast("string").alias("why"))
+
+    each = found.filter(~F.col("unparsed")).select("*", F.posexplode("cites").alias("at", "cite"))
+    by_block, by_calculation = each.filter(~F.col("cite").rlike(r"^C\d+$")), each.filter(F.col("cite").rlike(r"^C\d+$"))
+    joined = by_block.alias("f").join(blocks.withColumn("_there", F.lit(True)).alias("b"), F.col("f.cite") == F.col("b.block"), "left")
+    fit = F.coalesce(matches() & in_column, F.lit(False))
+    signed = fit & directions_agree()
+    exact = signed & (F.col("f.value") == F.col("b.value"))
+    one = F.any_value
     checks = joined.groupBy(f"f.{key}", "f.figure_id", "f.raw", "f.at").agg(
-        first("f.cite").alias("cite"), first("f.unparsed").alias("unparsed"), first("f.explicit_change").alias("change"), known.alias("known"), fits.alias("fits"), calculated.alias("calculated"), there.alias("there")
+        one("f.cite").alias("cite"), one("f.explicit_change").alias("change"), one(near_derived_word()).alias("derived"), F.coalesce(F.bool_or("b._there"), F.lit(False)).alias("known"),
+        F.bool_or(fit).alias("fits"), F.bool_or(signed).alias("signed"), F.bool_or(exact).alias("exact"), F.bool_or(matches()).alias("any_year"),
     )
     status = (
-        F.when(F.col("unparsed"), "unparsed").when(F.col("cite").isNull(), "untraced")
-        .when(F.col("cite").rlike(r"^C\d+$"), F.when(F.col("there"), F.coalesce("calculated", F.lit("mismatch"))).otherwise("phantom"))
-        .when(F.col("known").isNull(), "phantom").when(F.col("change"), "derived_needs_calc").when(F.col("fits"), "traced").otherwise("mismatch")
+        F.when(~F.col("known"), "phantom").when(F.col("change"), "derived_needs_calc").when(F.col("exact"), "traced")
+        .when(F.col("derived") & (F.col("signed") | ~F.col("fits")), "derived_needs_calc").when(F.col("signed"), "traced").otherwise("mismatch")
     )
-    return best_status(checks.withColumn("status", status).withColumnRenamed("at", "pos"), key, "figure_id", "raw")
+    why = F.when(F.col("fits"), "opposite").when(F.col("any_year"), "year").otherwise("absent")
+    block_checks = checks.select(key, "figure_id", "raw", F.col("at").alias("pos"), "cite", status.alias("status"), F.when(status == "mismatch", why).alias("why"))
+
+    if calculations is None:
+        calculated = by_calculation.withColumn("status", F.lit("phantom"))
+    else:
+        made = calculations
+        on = F.col("f.cite") == F.col("c.calc_id")
+        if valid is not None:
+            made = calculations.join(valid.select(key, "calc_id").distinct(), "calc_id").withColumnRenamed(key, "_answer")
+            on = on & (F.col(f"f.{key}") == F.col("c._answer"))
+        fits = F.coalesce(calculation_fits(), F.lit(False))
+        status = F.when(F.col("c.calc_id").isNull(), "phantom").when(~fits, "mismatch").when(F.col("c.has_assumption"), "calculated_with_assumption").otherwise("calculated")
+        calculated = by_calculation.alias("f").join(made.alias("c"), on, "left").select("f.*", status.alias("status"))
+    calculated = calculated.select(key, "figure_id", "raw", F.col("at").alias("pos"), "cite", "status", F.when(F.col("status") == "mismatch", "calculation").alias("why"))
+    return best_status(loose.unionByName(block_checks).unionByName(calculated), key, "figure_id", "raw", also=("cite", "why"))
 
 
 def empty_citations(answers: DataFrame, key: str = "answer_id", text: str = "text") -> DataFrame:

@@ -2,27 +2,142 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIGURE = ["value", "scale", "unit", "currency", "neg"]
+from numerant.functions.numeric import SIZE, close_to_display, is_percent
+from numerant.operators.checking import _as_asked, asked_figures, stated_sign
+from numerant.operators.figures import extract_figures
+from numerant.operators.matching import matches
+from numerant.operators.status import PASSING
 
+# Arithmetic in a line of working.
+OPERATORS = r"[/×÷^]|\d\s*[*x]\s*\d"
+FACTS = ["value", "neg", "scale", "unit", "currency", "size", "step"]
+OPTIONAL = {"direction": 0, "unparsed": False, "raw": ""}
 
-def _keyed(rows: DataFrame, key: str) -> DataFrame:
-    """Figures as comparable columns: nothing stays null."""
-    return rows.select(key, F.col("value").cast("decimal(24,6)").alias("value"), F.col("scale").cast("int").alias("scale"), F.coalesce("unit", F.lit("")).alias("unit"), F.coalesce("currency", F.lit("")).alias("currency"), "neg").distinct()
+
+def claim_lines(text: Column) -> tuple[Column, Column]:
+    """The claims of an answer, and the results of its lines of working: a line with "=" and an operator claims nothing,
+    but what stands after its last "=" may supply a figure that is expected."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    working = lambda x: x.contains("=") & x.rlike(OPERATORS)
+    results = F.transform(F.filter(lines, working), lambda x: F.element_at(F.split(x, "="), -1))
+    return F.array_join(F.filter(lines, lambda x: ~working(x)), "\n"), F.array_join(results, "\n")
+
+
+def same_figure(a: str = "a", e: str = "e") -> Column:
+    """Whether a stated figure says an expected one, at any rounding of half a unit of its last digit and 25 % at most."""
+    stated, want = (lambda n: F.col(f"{a}.{n}")), (lambda n: F.col(f"{e}.{n}"))
+    percent = is_percent(stated("unit"))
+    bare = stated("currency").isNull() & (stated("scale") == 0) & stated("unit").isNull()
+    unit = percent | stated("unit").eqNullSafe(want("unit")) | bare
+    currency = stated("currency").isNull() | want("currency").isNull() | (stated("currency") == want("currency"))
+    sign = (stated_sign(a) == 0) | (stated_sign(a) == F.when(want("neg"), -1).otherwise(1))
+    near = close_to_display(stated("size"), stated("step"), want("size")) | (bare & close_to_display(stated("size"), stated("step"), want("value").cast(SIZE)))
+    return ~stated("unparsed") & (percent == is_percent(want("unit"))) & unit & currency & sign & F.coalesce(near, F.lit(False))
+
+
+def with_asides(figures: DataFrame) -> DataFrame:
+    """The figures, and once more, without its sign, each bracketed one, which may be an aside instead of a minus."""
+    aside = figures.filter(F.col("neg") & F.trim("raw").startswith("(") & F.trim("raw").endswith(")"))
+    return figures.unionByName(aside.withColumn("neg", F.lit(False)))
+
+
+def _known(figures: DataFrame, key: str) -> DataFrame:
+    """Figures with all columns that are compared; where optional ones are missing, with what says nothing."""
+    return figures.select(key, *FACTS, *[F.col(c) if c in figures.columns else F.lit(v).alias(c) for c, v in OPTIONAL.items()], *[c for c in ("figure_id",) if c in figures.columns])
+
+
+def missing_figures(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """The expected figures (key, and the columns of a figure) that no found one says."""
+    numbered = _known(expected, key).withColumn("_no", F.monotonically_increasing_id())
+    met = numbered.alias("e").join(with_asides(_known(found, key)).alias("a"), F.col(f"e.{key}") == F.col(f"a.{key}"), "left")
+    lost = met.groupBy("e._no").agg(F.any_value(f"e.{key}").alias(key), F.any_value("e.raw").alias("raw"), F.bool_or(same_figure()).alias("said"))
+    return lost.filter(~F.coalesce("said", F.lit(False))).select(key, "raw")
+
+
+def wrong_figures(stated: DataFrame, expected: DataFrame, key: str, asked: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """The stated figures (with figure_id) that no key expects or allows, no block of the question's documents holds and
+    the question doesn't ask about. ``asked``: key, asked; ``blocks``: key and the columns of values. Unparsed ones are
+    never wrong."""
+    figures = stated.filter(~F.col("unparsed")) if "unparsed" in stated.columns else stated
+    if asked is not None:
+        figures = figures.withColumn("asked", _as_asked(figures)).join(asked, [key, "asked"], "left_anti")
+    readings = with_asides(_known(figures, key))
+    right = readings.alias("a").join(_known(expected, key).alias("e"), F.col(f"a.{key}") == F.col(f"e.{key}")).filter(same_figure()).select("a.figure_id")
+    if blocks is not None:
+        held = with_asides(figures).alias("f").join(blocks.alias("b"), F.col(f"f.{key}") == F.col(f"b.{key}")).filter(matches())
+        right = right.union(held.select("f.figure_id"))
+    return figures.join(right.distinct(), "figure_id", "left_anti").select(key, "figure_id", *[c for c in ("raw",) if c in figures.columns])
 
 
 def missing_and_wrong(stated: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """Per question, how many distinct expected figures no answer states, and how many stated ones no key expects."""
-    s, e = _keyed(stated, key), _keyed(expected, key)
-    on = [key, *FIGURE]
-    missing = e.join(s, on, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("missing"))
-    wrong = s.join(e, on, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("wrong"))
-    every = s.select(key).union(e.select(key)).distinct()
+    """Per question of either side, how many expected figures no answer states, and how many stated ones no key expects."""
+    numbered = stated if "figure_id" in stated.columns else stated.withColumn("figure_id", F.monotonically_increasing_id())
+    missing = missing_figures(stated, expected, key).groupBy(key).agg(F.count(F.lit(1)).alias("missing"))
+    wrong = wrong_figures(numbered, expected, key).groupBy(key).agg(F.count(F.lit(1)).alias("wrong"))
+    every = stated.select(key).union(expected.select(key)).distinct()
     return every.join(missing, key, "left").join(wrong, key, "left").select(key, F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("wrong", F.lit(0)).alias("wrong"))
 
 
+def key_figures(keys: DataFrame, key: str, column: str) -> DataFrame:
+    """The figures of an array of key entries, each of which must be one figure; one row per entry, with bad_key."""
+    entries = keys.select(key, F.posexplode(column).alias("entry", "text")).withColumn("_entry", F.concat_ws("#", F.col(key).cast("string"), "entry"))
+    found = extract_figures(entries, "_entry", exempt=False, keep=(key,))
+    one = found.groupBy("_entry").agg(F.count(F.lit(1)).alias("n"))
+    every = entries.select(key, "_entry", F.col("text").alias("raw")).join(one, "_entry", "left").join(found.drop(key, "raw"), "_entry", "left")
+    return every.filter("pos is null or pos = 0").withColumn("bad_key", ~F.coalesce(F.col("n") == 1, F.lit(False))).drop("_entry", "n")
+
+
+def score_answers(answers: DataFrame, keys: DataFrame, key: str = "qid", text: str = "text", question: str | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """One row per answer: key, correct, missing, wrong, unsaid (counts) and bad_key.
+
+    ``answers``: key (one answer each), text and optionally the question; ``keys``: key, and arrays expect, allow (of
+    figures as text) and must_say (of patterns). An answer is correct that isn't blank, says every expected figure and
+    every pattern, and no wrong figure. Answers without a key are left out. Null and empty answers say nothing; null
+    arrays ask for nothing.
+    """
+    claims, results = claim_lines(F.col(text))
+    judged = answers.join(keys.select(key), key, "left_semi")
+    figures = extract_figures(judged.select(key, claims.alias("said")), key, "said").withColumn("figure_id", F.concat_ws("#", F.col(key).cast("string"), "pos"))
+    supplied = figures.drop("figure_id").unionByName(extract_figures(judged.select(key, results.alias("said")), key, "said"))
+    expect, allow = (key_figures(keys, key, c) for c in ("expect", "allow"))
+    both = expect.unionByName(allow)
+    asked = asked_figures(judged, key, question) if question else None
+    missing = missing_figures(supplied, expect, key).groupBy(key).agg(F.count(F.lit(1)).alias("missing"))
+    wrong = wrong_figures(figures, both, key, asked, blocks).groupBy(key).agg(F.count(F.lit(1)).alias("wrong"))
+    bad = both.groupBy(key).agg(F.bool_or("bad_key").alias("bad_key"))
+    out = judged.join(keys.select(key, "must_say"), key).join(missing, key, "left").join(wrong, key, "left").join(bad, key, "left")
+    said = F.coalesce(F.col(text), F.lit(""))
+    unsaid = F.size(F.filter(F.coalesce("must_say", F.array().cast("array<string>")), lambda p: ~F.regexp_like(said, F.concat(F.lit("(?i)"), p))))
+    out = out.select(key, said.alias("_said"), F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("wrong", F.lit(0)).alias("wrong"), unsaid.cast("long").alias("unsaid"), F.coalesce("bad_key", F.lit(False)).alias("bad_key"))
+    return out.select(key, ((F.trim("_said") != "") & (F.col("missing") + F.col("wrong") + F.col("unsaid") == 0)).alias("correct"), "missing", "wrong", "unsaid", "bad_key")
+
+
+def traced_coverage(figures: DataFrame, key: str) -> DataFrame:
+    """Per answer: how many figures pass, of how many that are not the question's own."""
+    own = figures.filter(F.col("status") != "from_question")
+    return own.groupBy(key).agg(F.count_if(F.col("status").isin(PASSING)).alias("passing"), F.count(F.lit(1)).alias("figures"))
+
+
+def drafts(messages: DataFrame, session: str = "conv_id", pos: str = "turn") -> DataFrame:
+    """One row per denial (an injected message of the user): session, pos, and the draft it denied: the last answer with
+    text since the denial before, null if there is none. Only messages after the last real question count."""
+    real = messages.filter((F.col("role") == "user") & ~F.coalesce("injected", F.lit(False))).groupBy(session).agg(F.max(pos).alias("_asked"))
+    rows = messages.join(real, session, "left").filter(F.col(pos) > F.coalesce("_asked", F.lit(-1)))
+    denial = (F.col("role") == "user") & F.coalesce("injected", F.lit(False))
+    ahead = Window.partitionBy(session).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_denial", denial).withColumn("_round", F.coalesce(F.count_if(denial).over(ahead), F.lit(0)))
+    said = F.when((F.col("role") == "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != ""), F.struct(pos, "text"))
+    return rows.groupBy(session, "_round").agg(F.max(F.when(F.col("_denial"), F.col(pos))).alias(pos), F.max(said)["text"].alias("draft")).filter(F.col(pos).isNotNull()).drop("_round")
+
+
+def caught(wrong_in_drafts: DataFrame, final: DataFrame, key: str) -> DataFrame:
+    """Wrong figures of denied drafts (key, raw) that the final answer (key, raw) no longer states."""
+    return wrong_in_drafts.select(key, "raw").distinct().join(final.select(key, "raw"), [key, "raw"], "left_anti")
+
+
 def arm_summary(runs: DataFrame) -> DataFrame:
     """Per arm: runs, correct ones, exact median and largest seconds, and the number of questions."""
     return runs.groupBy("arm").agg(

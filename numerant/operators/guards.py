@@ -9,7 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from numerant.functions.numeric import is_percent
@@ -99,6 +100,22 @@ def guard_problems(formula: str, kind: str = "num", percents: tuple[str, ...] =
     return out
 
 
+def guarded(formula: Column, kind: Column, percents: Column, years: Column) -> Column:
+    """``guard_problems`` of each row's formula, joined by commas; null for what is no formula. ``percents`` is an array of
+    names, ``years`` a map of them to the year of their column."""
+
+    def told(formulas: pd.Series, kinds: pd.Series, percents: pd.Series, years: pd.Series) -> pd.Series:
+        out = []
+        for f, k, p, y in zip(formulas, kinds, percents, years, strict=True):
+            try:
+                out.append(",".join(guard_problems(f, k, tuple(p), {n: int(v) for n, v in dict(y).items()})))
+            except (ValueError, TypeError):
+                out.append(None)
+        return pd.Series(out, dtype="string")
+
+    return F.pandas_udf(told, "string")(formula, kind, percents, years)
+
+
 def resolved_inputs(inputs: DataFrame, values: DataFrame) -> DataFrame:
     """Inputs of calculations against the blocks they cite: calc_id, name, base, problem, unit, is_percent, currency,
     scale, year, matched. One row per input; base is null where there is a problem, which is the first that applies:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,3 +37,45 @@ def captions(rows: DataFrame, within: str, order: list[Column], is_table: Column
     rows = rows.withColumn("_island", F.coalesce(F.sum(is_table.cast("int")).over(before), F.lit(0)))
     island = Window.partitionBy(within, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("caption", F.when(is_table, F.last(F.when(states_scale & ~is_table, text), ignorenulls=True).over(island))).drop("_island")
+
+
+# How many pages one request may ask for.
+MOST_PAGES = 30
+
+
+def read_problems(requests: DataFrame) -> DataFrame:
+    """``requests`` (path, pages as an array or null for all, n_pages of the file or null if there is none) with problem:
+    relative_path, no_document, too_many_pages or out_of_range; null for those that may be read. Repeated pages count once."""
+    wanted = F.array_distinct("pages")
+    asked = F.coalesce(F.size(wanted), F.lit(0)) > 0
+    problem = (
+        F.when(~F.coalesce(F.col("path").startswith("/"), F.lit(False)), "relative_path").when(F.col("n_pages").isNull() | ~F.lower("path").endswith(".pdf"), "no_document")
+        .when(~asked & (F.col("n_pages") > MOST_PAGES), "too_many_pages").when(asked & (F.size(wanted) > MOST_PAGES), "too_many_pages")
+        .when(asked & F.exists(wanted, lambda p: p.isNull() | (p < 1) | (p > F.col("n_pages"))), "out_of_range")
+    )
+    return requests.withColumn("problem", problem)
+
+
+def pages_to_read(requests: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The pages (doc, page from 1) that requests (doc, pages, n_pages) need and no stored block is on."""
+    pages = F.when(F.coalesce(F.size("pages"), F.lit(0)) > 0, F.array_distinct("pages")).otherwise(F.sequence(F.lit(1), F.col("n_pages")))
+    wanted = requests.select(doc, F.explode(pages).alias("page")).distinct()
+    return missing(wanted, blocks.select(doc, (F.col("page_index") + 1).alias("page")), [doc, "page"])
+
+
+def with_sources(blocks: DataFrame, sources: DataFrame, prefix: str, order: list[Column]) -> DataFrame:
+    """``blocks`` and one new block for each of ``sources`` (title, text and the columns they share), with ids that go on
+    from the largest of the prefix: W3 after W2."""
+    last = blocks.select(F.max(F.regexp_extract("block_id", rf"^{prefix}(\d+)$", 1).try_cast("int")).alias("_last"))
+    # Sources of one search are few; numbers over all rows of a large table would meet in one task.
+    fresh = sources.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).crossJoin(F.broadcast(last))  # one row, broadcast
+    fresh = fresh.withColumn("block_id", F.concat(F.lit(prefix), (F.col("_n") + F.coalesce("_last", F.lit(0))).cast("string"))).drop("_n", "_last")
+    return blocks.unionByName(fresh, allowMissingColumns=True)
+
+
+def saved(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` as a new version of the table at ``path``, read back: versions are written beside each other and the one
+    that is whole and newest counts, so that readers never see half of one. Columns stay as they are."""
+    version = f"{path}/version={uuid.uuid4().hex}"
+    rows.write.parquet(version)
+    return rows.sparkSession.read.schema(rows.schema).parquet(version)

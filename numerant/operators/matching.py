@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from numerant.functions.numeric import SIZE, bucket, close_enough, is_percent, last_digit, power_of_ten
+from numerant.functions.numeric import SIZE, close_enough, is_percent, last_digit, power_of_ten
 
 #: What ``matches`` needs of a figure (f) and of a value in a block (b).
 FIGURE_COLUMNS = ["value", "neg", "scale", "unit", "currency", "decimals", "size", "step"]
 SHIFTS = [3, -3, 6, -6, 9, -9, 12, -12]
+#: Units of the last digit that figures may have: 7 numbers of decimals, 5 scales and basis points make 42.
+MOST_STEPS = 64
 
 
 def _col(side: str, name: str) -> Column:
@@ -58,11 +60,14 @@ def cited_matches(figures: DataFrame, blocks: DataFrame, by: str, condition: Col
     ``figures`` has figure_id, ``by`` (the cited block) and the figure's columns; ``blocks`` a row per value. The join
     is on the block, so what it costs grows with what is cited; counts are summed before they are brought together.
     """
-    f, b = figures.alias("f"), blocks.withColumn("_there", F.lit(True)).alias("b")
+    b = blocks.withColumn("_there", F.lit(True)).alias("b")
     fits = matches() if condition is None else matches() & condition
-    joined = f.join(b, F.col(f"f.{by}") == F.col(f"b.{by}"), "left")
-    hits = joined.groupBy("f.figure_id").agg(F.coalesce(F.bool_or("b._there"), F.lit(False)).alias("known"), F.count_if(fits).alias("hits"))
-    return figures.join(hits, "figure_id", "left")
+    # Figures that cite nothing, which may be very many, have no part in the join; the others' columns come out of it.
+    joined = figures.filter(F.col(by).isNotNull()).alias("f").join(b, F.col(f"f.{by}") == F.col(f"b.{by}"), "left")
+    others = [F.any_value(f"f.{c}").alias(c) for c in figures.columns if c != "figure_id"]
+    hits = joined.groupBy("f.figure_id").agg(*others, F.coalesce(F.bool_or("b._there"), F.lit(False)).alias("known"), F.count_if(fits).alias("hits"))
+    bare = figures.filter(F.col(by).isNull()).withColumns({"known": F.lit(False), "hits": F.lit(0).cast("long")})
+    return hits.unionByName(bare)
 
 
 def near_misses(figures: DataFrame, blocks: DataFrame, by: str) -> DataFrame:
@@ -101,24 +106,30 @@ def near_misses(figures: DataFrame, blocks: DataFrame, by: str) -> DataFrame:
     return found.groupBy("f.figure_id").agg(F.min(row).alias("m")).select("figure_id", F.col("m.kinds").alias("kinds"), F.col("m.value").alias("near"))
 
 
-def band_join(left: DataFrame, right: DataFrame, left_size: str, right_size: str, ratio: float = 1.05) -> DataFrame:
-    """Pairs whose sizes are within 2 % of each other, as an equi-join on logarithmic buckets (``left`` goes to three).
+def where_hints(figures: DataFrame, blocks: DataFrame, k: int = 3) -> DataFrame:
+    """figure_id and ``found``: the first k blocks (by block order) that hold a value the figure may stand for.
 
-    A condition on a range alone would be a nested loop over all pairs; here a bucket's rows meet only each other.
+    A figure fits values within half a unit of its own last digit, and there are few different units (``step``): a
+    value is met in its place at each of them, so the join is an equi-join whose rows grow with what fits, not with
+    pairs of like size. What is said the same way is looked for once. Figures that fit nothing have no row; null sizes
+    fit nothing.
     """
-    near = left.withColumn("_bucket", F.explode(F.array(*[bucket(F.abs(F.col(left_size)), ratio) + k for k in (-1, 0, 1)])))
-    other = right.withColumn("_bucket", bucket(F.abs(F.col(right_size)), ratio))
-    a, b = F.abs(F.col(left_size)), F.abs(F.col(right_size))
-    return near.join(other, "_bucket").filter(F.abs(a - b) <= (b * F.lit("0.02").cast("decimal(3,2)"))).drop("_bucket")
-
-
-def where_hints(figures: DataFrame, blocks: DataFrame, k: int = 3) -> DataFrame:
-    """figure_id and ``found``: the first k blocks (by block order) that hold a value the figure may stand for."""
-    f = figures.select("figure_id", *[F.col(c).alias(f"f_{c}") for c in FIGURE_COLUMNS])
-    b = blocks.select("block_no", *[F.col(c).alias(f"b_{c}") for c in FIGURE_COLUMNS])
-    pairs = band_join(f, b, "f_size", "b_size")
-    pairs = pairs.select("figure_id", "block_no", F.struct(*[F.col(f"f_{c}").alias(c) for c in FIGURE_COLUMNS]).alias("f"), F.struct(*[F.col(f"b_{c}").alias(c) for c in FIGURE_COLUMNS]).alias("b"))
-    found = pairs.filter(matches("f", "b")).select("figure_id", "block_no").distinct()
-    rank = F.row_number().over(Window.partitionBy("figure_id").orderBy("block_no"))
-    first = found.withColumn("_rank", rank).filter(F.col("_rank") <= k)
-    return first.groupBy("figure_id").agg(F.sort_array(F.collect_list("block_no")).alias("found"))
+    facts = [F.col(c) for c in FIGURE_COLUMNS]
+    asked = figures.filter("size is not null").select("figure_id", F.struct(*facts).alias("f"))
+    steps = [r.step for r in figures.filter("step is not null and step > 0").select("step").distinct().limit(MOST_STEPS + 1).collect()]
+    if len(steps) > MOST_STEPS:
+        raise ValueError(f"figures have more than {MOST_STEPS} different last digits")
+    said = asked.select("f").distinct()
+    reach = F.floor(F.abs(F.col("f.size")) / F.col("f.step"))
+    said = said.select("f", F.col("f.step").alias("step"), F.explode(F.array(reach - 1, reach, reach + 1)).alias("place"))
+
+    # The sizes a value may stand for: as scaled, and as written.
+    held = blocks.select("block_no", F.struct(*facts).alias("b"))
+    sizes = F.array_distinct(F.array(F.abs(F.col("b.size")), F.col("b.value").cast(SIZE)))
+    each = held.filter("b.size is not null").select("block_no", "b", F.explode(sizes).alias("size"))
+    each = each.withColumn("step", F.explode(F.array(*[F.lit(s).cast(SIZE) for s in steps])) if steps else F.lit(None).cast(SIZE))
+    each = each.withColumn("place", F.floor(F.col("size") / F.col("step")))
+    found = said.join(each, ["step", "place"]).filter((F.abs(block_size("f", "b")) == F.col("size")) & matches("f", "b")).select("f", "block_no")
+    rank = F.dense_rank().over(Window.partitionBy("f").orderBy("block_no"))  # a limit of ranks is kept before rows are shuffled
+    first = found.withColumn("_rank", rank).filter(F.col("_rank") <= k).groupBy("f").agg(F.sort_array(F.collect_set("block_no")).alias("found"))
+    return asked.join(first, "f").select("figure_id", "found")

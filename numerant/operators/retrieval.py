@@ -9,6 +9,10 @@ from numerant.functions.text import loose_numbers, quoted_numbers, word_set
 from numerant.lexicon import LOOSE_NUMBER, STOP_WORDS
 
 
+#: A line that may hold a quote shares at least so many of its rarest words.
+RARE_MEETINGS = 5
+
+
 def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, line (from 0), text of every line that isn't blank."""
     rows = docs.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line", "text"))
@@ -36,16 +40,21 @@ def verified_quotes(quotes: DataFrame, lines: DataFrame, quote_key: str, key: st
     """For each quote (quote_key, text) the line that holds it best: all its numbers but years, and most of its words.
 
     quote_key, key, line, score; ties go to the smaller key, then the earlier line; quotes found nowhere have no row. A
-    line that holds a share of the words holds at least one of the rarest of them, so only those are joined.
+    line that holds a share of the words holds at least some of the rarest of them, so only those are joined, as ids, and
+    only with lines of as many words; lines come back in where enough of them meet. Null and empty quotes are found
+    nowhere.
     """
     told = lines.select(key, "line", word_set(F.col("text")).alias("words"), loose_numbers(F.col("text")).alias("numbers"))
     asked = quotes.select(quote_key, word_set(F.col("text")).alias("asked"), quoted_numbers(F.col("text")).alias("wanted")).filter(F.size("asked") > 0)
-    each = asked.select(quote_key, F.size("asked").alias("n"), F.explode("asked").alias("word"))
-    spoken = told.select(F.explode("words").alias("word")).join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    asked = asked.withColumn("need", F.ceil(F.size("asked") * share)).withColumn("least", F.least(F.lit(RARE_MEETINGS), F.col("need")))
+    each = asked.select(quote_key, "need", "least", (F.size("asked") - F.col("need") + F.col("least")).alias("probes"), F.explode("asked").alias("word"))
+    few = F.size("words") >= F.coalesce(F.lit(asked.agg(F.min("need")).first()[0]), F.lit(0))
+    spoken = told.filter(few).select(key, "line", F.size("words").alias("size"), F.explode("words").alias("word"))
+    often = spoken.join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("often"))
     rarity = F.row_number().over(Window.partitionBy(quote_key).orderBy(F.coalesce("often", F.lit(0)), "word"))
-    probes = each.join(spoken, "word", "left").withColumn("_r", rarity).filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select(quote_key, "word")
-    met = told.withColumn("word", F.explode("words")).join(probes, "word").select(quote_key, key, "line", "words", "numbers").dropDuplicates([quote_key, key, "line"])
-    scored = met.join(asked, quote_key).filter(F.size(F.array_except("wanted", "numbers")) == 0)
+    probes = each.join(often, "word", "left").withColumn("_r", rarity).filter(F.col("_r") <= F.col("probes")).select(quote_key, "need", "least", "word")
+    met = spoken.join(probes, "word").filter(F.col("size") >= F.col("need")).groupBy(quote_key, key, "line").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).filter("n >= least")
+    scored = met.select(quote_key, key, "line").join(told, [key, "line"]).join(asked, quote_key).filter(F.size(F.array_except("wanted", "numbers")) == 0)
     scored = scored.withColumn("score", F.size(F.array_intersect("asked", "words")) / F.size("asked")).filter(F.col("score") >= share)
     order = Window.partitionBy(quote_key).orderBy(F.desc("score"), key, "line")
     return scored.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(quote_key, key, "line", F.round("score", 6).alias("score"))

@@ -25,10 +25,12 @@ def figure_statuses(figures: DataFrame, blocks: DataFrame) -> DataFrame:
     return checked.withColumn("status", status)
 
 
-def best_status(checks: DataFrame, *keys: str) -> DataFrame:
-    """Of a figure's citations (keys, pos, status) the first that passes, else the worst failure, the first of equals."""
+def best_status(checks: DataFrame, *keys: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Of a figure's citations (keys, pos, status) the first that passes, else the worst failure, the first of equals;
+    with the columns ``also`` of that citation."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p])[F.col("status")], F.when(F.col("status").isin(PASSING), 9).otherwise(0))
-    return checks.groupBy(*keys).agg(F.max_by("status", F.struct(rank, -F.col("pos"))).alias("status"))
+    best = checks.groupBy(*keys).agg(F.max_by(F.struct("status", *also), F.struct(rank, -F.col("pos"))).alias("_best"))
+    return best.select(*keys, "_best.*")
 
 
 def answer_decisions(figures: DataFrame, key: str) -> DataFrame:

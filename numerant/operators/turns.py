@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from numerant.lexicon import CITATION_ID
+from numerant.operators.figures import extract_figures
+
+CITATION = rf"\[\s*{CITATION_ID}(?:\s*[,;]\s*{CITATION_ID})*\s*\]"
+
 
 def selected_answers(messages: DataFrame, session: str = "conv_id", pos: str = "turn") -> DataFrame:
     """Per session: the last real question of the user (q_pos, question) and the last answer after it that isn't empty.
@@ -20,6 +25,36 @@ def selected_answers(messages: DataFrame, session: str = "conv_id", pos: str = "
     return asked.join(last, session, "left")
 
 
+def answers_with_figures(messages: DataFrame, session: str = "conv_id", pos: str = "turn") -> DataFrame:
+    """``selected_answers``, but where the last answer states no figure and the turn's answers together do, all of them
+    joined by line ends: a closing remark after the figures. The turn begins after the last message of the user, written
+    or injected."""
+    chosen = selected_answers(messages, session, pos)
+    begins = messages.filter(F.col("role") == "user").groupBy(session).agg(F.max(pos).alias("_begin"))
+    said = messages.filter((F.col("role") == "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != "")).join(begins, session).filter(F.col(pos) > F.col("_begin"))
+    texts = said.groupBy(session).agg(F.max_by("text", pos).alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, "text"))), lambda x: x["text"]), "\n").alias("joined"))
+    plain = lambda c: F.regexp_replace(c, CITATION, " ")
+    with_figures = texts.select(session, F.posexplode(F.array(plain(F.col("last")), plain(F.col("joined")))).alias("_which", "_said")).withColumn("_id", F.concat_ws("#", F.col(session).cast("string"), "_which"))
+    found = extract_figures(with_figures, "_id", "_said", keep=(session, "_which")).groupBy(session).agg(F.min("_which").alias("_first"))
+    told = texts.join(found, session, "left").select(session, F.when(F.col("_first") == 1, F.col("joined")).otherwise(F.col("last")).alias("answer"))
+    return chosen.drop("answer", "a_pos").join(told, session, "left")
+
+
+def valid_calculations(messages: DataFrame, session: str = "conv_id", pos: str = "turn") -> DataFrame:
+    """session and calc_id of the results that tools gave after the last real question: those that may be cited."""
+    real = (F.col("role") == "user") & (~F.col("injected") if "injected" in messages.columns else F.lit(True))
+    asked = messages.filter(real).groupBy(session).agg(F.max(pos).alias("_asked"))
+    told = messages.filter(F.col("role") == "tool").join(asked, session).filter(F.col(pos) > F.col("_asked"))
+    return told.select(session, F.explode(F.regexp_extract_all("text", F.lit(r"\b(C\d+) = [^\n]*\(write it as:"), 1)).alias("calc_id")).distinct()
+
+
+def since(checks: DataFrame, session: str, at: list[str], before: str) -> DataFrame:
+    """The last check of each session beyond the first ``before`` ones, a column of numbers; none where there are no more."""
+    place = F.row_number().over(Window.partitionBy(session).orderBy(*at)) - 1
+    later = checks.withColumn("_place", place).filter(F.col("_place") >= F.col(before))
+    return later.groupBy(session).agg(F.count(F.lit(1)).alias("new"), F.max_by(F.struct(*[c for c in checks.columns if c != session]), "_place").alias("_last")).select(session, "new", "_last.*")
+
+
 def attempts(checks: DataFrame, question: str, at: list) -> DataFrame:
     """``checks`` with attempt: 1 and the number of earlier checks of the same question."""
     return checks.withColumn("attempt", F.row_number().over(Window.partitionBy(question).orderBy(*at)))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numerant.functions.numeric import close_enough, close_to_display, shown
+from numerant.operators.blocks import block_values
 from numerant.operators.checking import checked_figures
 from numerant.operators.citations import expanded
 from numerant.operators.claims import amount, order_blocks, order_claims, statements
+from numerant.operators.evaluation import score_answers
 from numerant.operators.figures import extract_figures
 from numerant.operators.matching import cited_matches, currency_fits, in_year, near_misses, sign_fits, unit_fits, where_hints
 from numerant.operators.report import verdicts
@@ -79,8 +81,8 @@ def q17_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q18_where_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For exact claims that cite nothing: the first three orders with such a total."""
-    found = where_hints(_claims(spark, sf_dir).filter("case = 7"), _blocks(spark, sf_dir))
+    """For all claims: the first three orders with a total that fits."""
+    found = where_hints(_claims(spark, sf_dir), _blocks(spark, sf_dir))
     return found.select("figure_id", F.array_join(F.transform("found", lambda x: x.cast("string")), ",").alias("found"))
 
 
@@ -110,6 +112,46 @@ def q47_check_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_decisions(checked_figures(answers, _blocks(spark, sf_dir)), "answer_id")
 
 
+def _charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a charge of 1 % to 11 %, as written to two decimals and to one."""
+    cents = F.pmod((amount("o_totalprice") * 100).cast("long"), F.lit(1000))
+    charge = (cents / 100 + 1).cast("decimal(6,2)")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("answer_id"), charge.alias("charge"), shown(charge, 2).alias("x"), shown(charge, 1).alias("y"))
+
+
+def q53_block_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that say of a falling charge that it falls, rises or stands, exactly or rounded, near words of derived
+    figures, or with the question's own number, against blocks read from text."""
+    rows = _charges(spark, sf_dir)
+    cite = F.concat(F.lit(" [D"), F.col("answer_id"), F.lit(":p1:b1]."))
+    said = [
+        ("The charge fell by ", "x"), ("There was a charge of ", "x"), ("The charge went up, at ", "x"), ("The charge rose again ", "x"),
+        ("The charge fell again ", "x"), ("The margin was ", "y"), ("The charge was ", "y"),
+    ]
+    text = F.concat(F.lit("I take the "), "x", F.lit("% as given."))
+    for k, (words, number) in enumerate(said):
+        text = F.when(F.col("answer_id") % 8 == k, F.concat(F.lit(words), number, F.lit("%"), cite)).otherwise(text)
+    question = F.concat(F.lit("Is it "), F.when(F.col("answer_id") % 16 == 7, F.col("x")).otherwise("99.5"), F.lit("%?"))
+    blocks = rows.select(F.concat(F.lit("D"), "answer_id", F.lit(":p1:b1")).alias("block"), F.concat(F.lit("The charge, after two years, fell again "), "x", F.lit("%.")).alias("text"))
+    return checked_figures(rows.select("answer_id", text.alias("text"), question.alias("question")), block_values(blocks), question="question").select("answer_id", "status", "why")
+
+
+def q54_score_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with working, brackets, asides and rounded figures, scored against keys."""
+    rows = _charges(spark, sf_dir)
+    k = F.col("answer_id") % 6
+    exact, rounded = F.concat("x", F.lit("%")), F.concat("y", F.lit("%"))
+    text = (
+        F.when(k == 0, F.concat(F.lit("The charge is "), exact, F.lit(", as asked.")))
+        .when(k == 1, F.concat(F.lit("The charge is "), rounded, F.lit(".")))
+        .when(k == 2, F.concat(F.lit("Working: 2 * 3 / 4 = "), exact, F.lit("\nThis was asked."))).when(k == 3, F.concat(F.lit("The charge stands ("), exact, F.lit(") as asked.")))
+        .when(k == 4, F.concat(F.lit("It is "), exact, F.lit(" and not 77.25%, as asked."))).otherwise(F.lit("Asked, but not found."))
+    )
+    answers = rows.select(F.col("answer_id").alias("qid"), text.alias("text"), F.when(F.col("answer_id") % 12 == 4, "Is it 77.25%?").otherwise("What is it?").alias("question"))
+    keys = rows.select(F.col("answer_id").alias("qid"), F.array(exact).alias("expect"), F.array().cast("array<string>").alias("allow"), F.array(F.lit("asked")).alias("must_say"))
+    return score_answers(answers, keys, question="question").select("qid", "correct", "missing", "wrong", "unsaid")
+
+
 def q48_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(status_counts(_answers(spark, sf_dir), "answer_id"), "answer_id")
 
@@ -141,6 +183,12 @@ claims AS (SELECT k AS figure_id, cust, c, p,
 sized AS (SELECT *, CAST(v AS DOUBLE) * f AS size, d * f / 2 AS half, abs(CAST(v AS DOUBLE) * f - CAST(p AS DOUBLE)) AS apart FROM claims),
 near AS (SELECT *, round(apart, 4) = 0 OR (round(apart, 4) <= half AND round(apart, 4) <= 0.02 * CAST(p AS DOUBLE)) AS close FROM sized)
 """
+_CHARGES = """
+o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS c8, CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) % 1000 AS DECIMAL(18,2)) AS cents FROM orders),
+n AS (SELECT *, CAST(cents * CAST(0.01 AS DECIMAL(3,2)) + 1 AS DECIMAL(18,2)) AS x FROM o),
+m AS (SELECT *, CAST(round(x, 1) AS DECIMAL(18,2)) AS y FROM n),
+r AS (SELECT *, abs(x - y) <= 0.05 AND abs(x - y) <= CAST(0.02 AS DECIMAL(3,2)) * x AS fits, abs(x - y) <= 0.05 AND abs(x - y) <= CAST(0.25 AS DECIMAL(3,2)) * x AS near FROM m)
+"""
 _STATUS = """CASE WHEN c = 7 THEN 'untraced' WHEN c = 6 THEN 'phantom' WHEN c IN (0, 1, 2) AND close THEN 'traced' ELSE 'mismatch' END"""
 
 _Q30 = f"""WITH {_CLAIMS}, s AS (SELECT cust AS answer_id, {_STATUS} AS status FROM near)
@@ -163,7 +211,8 @@ SELECT o_orderkey, asked IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.o_custke
  WHERE c IN (3, 4) OR (c = 2 AND NOT close AND length(CAST(CAST(v * 10 AS BIGINT) AS VARCHAR)) >= 3
    AND abs(CAST(v AS DOUBLE) * 1000 - CAST(p AS DOUBLE)) <= least(50, 0.02 * CAST(p AS DOUBLE)) + 1e-6)""",
     "q18_where_hint": f"""WITH {_CLAIMS}, r AS (SELECT a.figure_id, b.figure_id AS other, row_number() OVER (PARTITION BY a.figure_id ORDER BY b.figure_id) AS r
-  FROM near a JOIN near b ON abs(a.p - b.p) <= 0.005 WHERE a.c = 7)
+  FROM near a JOIN near b ON CAST(b.p AS DOUBLE) BETWEEN a.size - a.half - 0.0001 AND a.size + a.half + 0.0001 AND round(abs(a.size - CAST(b.p AS DOUBLE)), 4) <= a.half AND round(abs(a.size - CAST(b.p AS DOUBLE)), 4) <= 0.02 * CAST(b.p AS DOUBLE)
+  WHERE a.c NOT IN (3, 4, 5))
  SELECT figure_id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS found FROM r WHERE r <= 3 GROUP BY figure_id""",
     "q29_figure_status": f"WITH {_CLAIMS} SELECT figure_id, {_STATUS} AS status FROM near",
     "q30_answer_decision": _Q30,
@@ -171,6 +220,14 @@ SELECT o_orderkey, asked IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.o_custke
     "q48_verdicts": f"""WITH {_CLAIMS}, s AS (SELECT cust AS answer_id, {_STATUS} = 'traced' AS good FROM near),
  n AS (SELECT answer_id, count(*) AS n, count(*) FILTER (WHERE good) AS t, count(*) FILTER (WHERE NOT good) AS u FROM s GROUP BY answer_id)
  SELECT answer_id, u = 0 AS ok, n || ' figures: ' || concat_ws(', ', CASE WHEN t > 0 THEN t || ' traced' END, CASE WHEN u > 0 THEN u || ' unsupported' END) AS verdict FROM n""",
+    "q53_block_check": f"""WITH {_CHARGES}
+ SELECT k AS answer_id, CASE c8 WHEN 0 THEN 'derived_needs_calc' WHEN 1 THEN 'traced' WHEN 2 THEN 'traced' WHEN 3 THEN 'mismatch' WHEN 4 THEN 'traced' WHEN 5 THEN CASE WHEN y = x THEN 'traced' ELSE 'derived_needs_calc' END
+   WHEN 6 THEN CASE WHEN fits THEN 'traced' ELSE 'mismatch' END ELSE CASE WHEN k % 16 = 7 THEN 'from_question' ELSE 'untraced' END END AS status,
+  CASE WHEN c8 = 3 THEN 'opposite' WHEN c8 = 6 AND NOT fits THEN 'absent' END AS why FROM r""",
+    "q54_score_answers": f"""WITH {_CHARGES}, s AS (SELECT k AS qid, k % 6 AS c,
+   CASE WHEN k % 6 = 1 THEN CASE WHEN near THEN 0 ELSE 1 END WHEN k % 6 = 5 THEN 1 WHEN k % 6 = 3 THEN 0 ELSE 0 END AS missing,
+   CASE WHEN k % 6 = 1 THEN CASE WHEN near THEN 0 ELSE 1 END WHEN k % 6 = 4 AND k % 12 <> 4 THEN 1 ELSE 0 END AS wrong, CASE WHEN k % 6 = 1 THEN 1 ELSE 0 END AS unsaid FROM r)
+ SELECT qid, missing + wrong + unsaid = 0 AS correct, CAST(missing AS BIGINT) AS missing, CAST(wrong AS BIGINT) AS wrong, CAST(unsaid AS BIGINT) AS unsaid FROM s""",
     "q51_placeholders": """SELECT o_orderkey AS answer_id, 'Total ' || o_orderstatus || ' [D' || o_orderkey || ':p1:c1], also [D' || o_orderkey || ':p1:c1]' || CASE WHEN o_orderkey % 2 = 0 THEN '[D' || o_orderkey || ':p1:c2]' ELSE '' END || ' and .' AS text FROM orders""",
     "q52_year_pinning": "SELECT o_orderkey AS answer_id, CASE WHEN o_orderkey % 3 = 0 THEN 'mismatch' ELSE 'traced' END AS status FROM orders",
     "q31_status_counts": f"""WITH {_CLAIMS}, s AS (SELECT cust AS answer_id, {_STATUS} AS status FROM near)
@@ -178,4 +235,4 @@ SELECT o_orderkey, asked IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.o_custke
   count(*) FILTER (WHERE status = 'from_question') AS from_question, count(*) FILTER (WHERE status NOT IN ('traced', 'calculated', 'calculated_with_assumption', 'from_question')) AS unsupported FROM s GROUP BY answer_id""",
 }
 
-QUERIES = {f.__name__: f for f in (q09_extract_figures, q10_close_enough, q11_close_to_display, q12_match_block, q13_sign_check, q14_currency_check, q15_unit_check, q16_year_column, q17_near_miss, q18_where_hint, q29_figure_status, q30_answer_decision, q31_status_counts, q47_check_answers, q48_verdicts, q51_placeholders, q52_year_pinning)}
+QUERIES = {f.__name__: f for f in (q09_extract_figures, q10_close_enough, q11_close_to_display, q12_match_block, q13_sign_check, q14_currency_check, q15_unit_check, q16_year_column, q17_near_miss, q18_where_hint, q29_figure_status, q30_answer_decision, q31_status_counts, q47_check_answers, q48_verdicts, q51_placeholders, q52_year_pinning, q53_block_check, q54_score_answers)}

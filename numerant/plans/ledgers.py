@@ -78,7 +78,7 @@ def q37_missing_and_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     stated = order_claims(orders).join(orders.select(F.col("o_orderkey").alias("figure_id"), F.col("o_custkey").alias("qid")), "figure_id")
     expected = order_blocks(orders).join(orders.select(F.col("o_orderkey").alias("block_no"), F.col("o_custkey").alias("qid")), "block_no")
-    return missing_and_wrong(stated.select("qid", "value", "scale", "unit", "currency", "neg"), expected.select("qid", "value", "scale", "unit", "currency", "neg"), "qid")
+    return missing_and_wrong(stated, expected, "qid")
 
 
 def q38_select_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,14 +158,11 @@ SELECT i.clause, i.pos, h.year FROM i LEFT JOIN h ON i.clause = h.clause AND i.p
     "q33_latest_per_question": f"WITH {_CHECKS}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY ts DESC, event_id DESC) AS r FROM c) SELECT question, event_id, decision FROM r WHERE r = 1 ORDER BY ts DESC, event_id DESC LIMIT 12",
     "q34_evidence_join": "SELECT l_orderkey, string_agg(l_linenumber || ': ' || p_brand, '; ' ORDER BY l_linenumber, p_brand) AS evidence FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey",
     "q35_arm_summary": "SELECT event_type AS arm, count(*) AS runs, count(*) FILTER (WHERE value >= 20) AS correct, round(median(value), 6) AS median_seconds, round(max(value), 6) AS most_seconds, count(DISTINCT user_id) AS questions FROM events GROUP BY ALL",
-    "q36_arm_question_matrix": """SELECT user_id AS qid, """ + ", ".join(f"CASE WHEN count(*) FILTER (WHERE event_type = '{a}') > 0 THEN count(*) FILTER (WHERE event_type = '{a}' AND value >= 20) || '/' || count(*) FILTER (WHERE event_type = '{a}') END AS {a}" for a in ("click", "purchase", "view")) + " FROM events WHERE user_id < 40 GROUP BY ALL",
-    "q37_missing_and_wrong": """WITH b AS (SELECT o_custkey AS qid, CAST(o_totalprice AS DECIMAL(18,2)) AS p, o_orderkey % 8 AS c, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.001 AS DECIMAL(4,3)), 1) AS DECIMAL(18,2)) AS k FROM orders),
-s AS (SELECT qid, CASE WHEN c IN (1, 2) THEN k ELSE p END AS v, CASE c WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 0 END AS sc, CASE WHEN c = 5 THEN '%' ELSE '' END AS u, CASE WHEN c = 4 THEN 'GBP' WHEN c = 5 THEN '' ELSE 'USD' END AS cur, c = 3 AS neg FROM b),
-e AS (SELECT DISTINCT qid, p AS v, 0 AS sc, '' AS u, 'USD' AS cur, p < 0 AS neg FROM b), d AS (SELECT DISTINCT * FROM s),
-q AS (SELECT DISTINCT qid FROM b),
-m AS (SELECT qid, count(*) AS missing FROM e WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.qid = e.qid AND d.v = e.v AND d.sc = e.sc AND d.u = e.u AND d.cur = e.cur AND d.neg = e.neg) GROUP BY qid),
-w AS (SELECT qid, count(*) AS wrong FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE d.qid = e.qid AND d.v = e.v AND d.sc = e.sc AND d.u = e.u AND d.cur = e.cur AND d.neg = e.neg) GROUP BY qid)
-SELECT q.qid, coalesce(missing, 0) AS missing, coalesce(wrong, 0) AS wrong FROM q LEFT JOIN m ON q.qid = m.qid LEFT JOIN w ON q.qid = w.qid""",
+    "q36_arm_question_matrix": """SELECT user_id AS qid, """ + ", ".join(f"CASE WHEN count(*) FILTER (WHERE event_type = '{a}') > 0 THEN count(*) FILTER (WHERE event_type = '{a}' AND value >= 20) || '/' || count(*) FILTER (WHERE event_type = '{a}') END AS {a}" for a in ("click", "purchase", "view")) + " FROM events GROUP BY ALL",
+    "q37_missing_and_wrong": """WITH b AS (SELECT o_orderkey AS k, o_custkey AS qid, CAST(o_totalprice AS DECIMAL(18,2)) AS p, o_orderkey % 8 AS c, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.001 AS DECIMAL(4,3)), 1) AS DECIMAL(18,2)) AS r FROM orders),
+s AS (SELECT *, CASE c WHEN 1 THEN CAST(r * 1000 AS DOUBLE) WHEN 2 THEN CAST(r * 1000000 AS DOUBLE) ELSE CAST(p AS DOUBLE) END AS size, CASE c WHEN 1 THEN 50 WHEN 2 THEN 50000 ELSE 0.005 END AS half FROM b),
+t AS (SELECT a.k AS stated, e.k AS expected FROM s a JOIN b e ON a.qid = e.qid AND a.c NOT IN (3, 4, 5) AND round(abs(a.size - CAST(e.p AS DOUBLE)), 4) <= a.half AND round(abs(a.size - CAST(e.p AS DOUBLE)), 4) <= 0.25 * CAST(e.p AS DOUBLE))
+SELECT qid, count(*) FILTER (WHERE k NOT IN (SELECT expected FROM t)) AS missing, count(*) FILTER (WHERE k NOT IN (SELECT stated FROM t)) AS wrong FROM b GROUP BY qid""",
     "q38_select_answer": """WITH q AS (SELECT conv_id, max(turn) AS q_pos, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
 a AS (SELECT c.conv_id, max(turn) AS a_pos, arg_max(text, turn) AS answer FROM conversations c JOIN q ON c.conv_id = q.conv_id AND turn > q_pos WHERE role = 'assistant' AND trim(coalesce(text, '')) <> '' GROUP BY c.conv_id)
 SELECT q.conv_id, q_pos, md5(question) AS question, a_pos, md5(answer) AS answer FROM q LEFT JOIN a ON q.conv_id = a.conv_id""",

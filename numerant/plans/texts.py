@@ -45,8 +45,7 @@ def q06_passages_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q07_quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines_of(table(spark, sf_dir, "documents"), "doc_id")
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("text"))
-    return verified_quotes(quotes, lines, "item_id", "doc_id")
+    return verified_quotes(table(spark, sf_dir, "benchmark").select("item_id", "text"), lines, "item_id", "doc_id")
 
 
 def q08_passage_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +97,7 @@ SELECT * FROM r WHERE rank <= 6""",
     "q07_quote_verify": rf"""
 WITH l AS ({_LINES.format(key="doc_id", table="documents")}),
 t AS (SELECT doc_id, CAST(line AS INTEGER) AS line, {_WORDS.format("text")} AS words, list_transform(regexp_extract_all(text, '{LOOSE_NUMBER}'), lambda x: replace(x, ',', '')) AS numbers FROM l),
-q AS (SELECT item_id, {_WORDS.format("substr(text, 1, 60)")} AS asked, list_transform(regexp_extract_all(substr(text, 1, 60), '{LOOSE_NUMBER}'), lambda x: replace(x, ',', '')) AS wanted FROM benchmark),
+q AS (SELECT item_id, {_WORDS.format("text")} AS asked, list_transform(regexp_extract_all(text, '{LOOSE_NUMBER}'), lambda x: replace(x, ',', '')) AS wanted FROM benchmark),
 s AS (SELECT item_id, doc_id, line, len(list_intersect(asked, words)) / len(asked) AS score FROM q, t WHERE len(asked) > 0 AND list_has_all(numbers, wanted)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, line) AS r FROM s WHERE score >= 0.6)
 SELECT item_id, doc_id, line, round(score, 6) AS score FROM r WHERE r = 1""",

@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from numerant.functions.numeric import close_enough, close_to_display, currency_code, size_of, step_of
-from numerant.operators.matching import band_join, cited_matches, near_misses, where_hints
+from numerant.operators.matching import cited_matches, matches, near_misses, where_hints
 from numerant.operators.status import best_status, figure_statuses
 
 SCHEMA = "figure_id int, block string, value decimal(24,6), neg boolean, scale int, unit string, currency string, decimals int"
@@ -49,13 +49,22 @@ def test_statuses_and_near_misses(spark):
     assert near == {2: (["currency"], 20269.0), 3: (["scale"], 20269.0), 4: (["unit"], 173.2), 7: (["sign"], 20269.0)}
 
 
-def test_band_join_is_the_nested_loop(spark):
+def test_hints_are_those_of_the_nested_loop(spark):
     rng = random.Random(5)
-    a = [(k, Decimal(f"{10 ** rng.uniform(-2, 6):.4f}")) for k in range(300)] + [(-1, Decimal(0))]
-    b = [(k, Decimal(f"{10 ** rng.uniform(-2, 6):.4f}")) for k in range(300)] + [(-1, Decimal(0))]
-    left, right = spark.createDataFrame(a, "i int, x decimal(38,6)"), spark.createDataFrame(b, "j int, y decimal(38,6)")
-    got = sorted((r.i, r.j) for r in band_join(left, right, "x", "y").collect())
-    assert got == sorted((i, j) for i, x in a for j, y in b if abs(x - y) <= y * Decimal("0.02"))
+
+    def row():
+        d = rng.randint(0, 2)
+        unit = rng.choice([None, None, "%", "bps", "p"])
+        return (f"{rng.choice([0, 1.25, 9.5, 20.25, 202.5, 2025]) + rng.choice([0, 0.01, 0.04, 0.3]):.{d}f}", rng.random() < 0.2, rng.choice([0, 0, 3, 6]) if unit is None else 0, unit, rng.choice([None, "USD", "GBP"]) if unit is None else None, d)
+
+    asked = figures(spark, [(None, *row()) for _ in range(120)])
+    held = blocks(spark, [(f"B{k}", k, 0, *row()) for k in range(150)])
+    pairs = asked.alias("f").crossJoin(held.alias("b")).filter(matches()).select("f.figure_id", "b.block_no").distinct().collect()
+    want = {}
+    for f, b in sorted(map(tuple, pairs)):
+        want.setdefault(f, []).append(b)
+    got = {r.figure_id: r.found for r in where_hints(asked, held).collect()}
+    assert got == {f: b[:3] for f, b in want.items()} and len(got) > 50
 
 
 def test_hints_name_the_first_three_blocks(spark):

@@ -9,7 +9,9 @@ import __spark_entry__
 from numerant.functions.text import domain, html_paragraphs
 from numerant.operators import ledger, turns
 from numerant.operators.blocks import block_values
-from numerant.operators.calculation import compiled, displayed, evaluated, money_power, problems
+from numerant.functions.numeric import size_of, step_of
+from numerant.operators.results import power
+from numerant.operators.calculation import tree, compiled, displayed, evaluated, problems
 from numerant.operators.evaluation import arm_matrix, arm_summary, missing_and_wrong
 from numerant.operators.matching import cited_matches
 from numerant.operators.retrieval import lines_of, page_holding, top_passages, verified_quotes
@@ -98,7 +100,7 @@ def test_problems_and_catalogue(spark):
     assert problems("a + a", ["a", "a"], ["a"]) == ["duplicate_name"]
     rows = spark.createDataFrame([("m", 4.0, 1.0), ("g", 4.0, 1.0), ("?", 4.0, 1.0), ("m", None, 1.0)], "formula string, a double, b double")
     assert [r.result for r in evaluated(rows, {"m": "a - b", "g": "a / b"}).collect()] == [3.0, 4.0, None, None]
-    assert [money_power(f, ["a"], spark) for f in ("a / 2", "a / a", "a + 1", "a * a")] == [1, 0, None, 2]
+    assert [power(tree(f), {"a": 1}) for f in ("a / 2", "a / a", "a + 1", "a * a", "a + b", "round(a, 2)", "-a")] == [1, 0, None, 2, None, 1, 1]
 
 
 def test_display(spark):
@@ -141,8 +143,13 @@ def test_turns(spark):
 
 def test_evaluation(spark):
     kind = "q int, value double, scale int, unit string, currency string, neg boolean"
-    stated = spark.createDataFrame([(1, 5.0, 6, None, "GBP", False), (1, 7.0, 0, None, None, False), (2, 1.0, 0, "%", None, False)], kind)
-    expected = spark.createDataFrame([(1, 5.0, 6, None, "GBP", False), (2, 2.0, 0, "%", None, False), (3, 1.0, 0, None, None, False)], kind)
+
+    def sized(rows):
+        df = spark.createDataFrame(rows, kind).withColumn("value", F.col("value").cast("decimal(24,6)"))
+        return df.withColumns({"size": size_of(F.col("value"), F.col("scale"), F.col("unit")), "step": step_of(F.lit(0), F.col("scale"), F.col("unit"))})
+
+    stated = sized([(1, 5.0, 6, None, "GBP", False), (1, 7.0, 0, None, None, False), (2, 1.0, 0, "%", None, False)])
+    expected = sized([(1, 5.0, 6, None, "GBP", False), (2, 2.0, 0, "%", None, False), (3, 1.0, 0, None, None, False)])
     assert sorted(map(tuple, missing_and_wrong(stated, expected, "q").collect())) == [(1, 0, 1), (2, 1, 1), (3, 1, 0)]
     runs = spark.createDataFrame([("full", 1, 2.0, True), ("full", 1, 4.0, False), ("read", 2, 1.0, True)], "arm string, qid int, seconds double, correct boolean")
     assert sorted(map(tuple, arm_summary(runs).collect())) == [("full", 2, 1, 3.0, 4.0, 1), ("read", 1, 1, 1.0, 1.0, 1)]
