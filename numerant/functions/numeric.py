@@ -11,14 +11,20 @@ from numerant.lexicon import CURRENCIES, PERCENT_UNITS
 SIZE = "decimal(38,6)"
 
 
+def literal_map(table: dict) -> Column:
+    """A map of constants, of text or whole numbers, as one expression."""
+    told = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(told(x) for pair in table.items() for x in pair) + ")")
+
+
 def power_of_ten(exponent: Column) -> Column:
     """10 to a whole power from 0 to 12, exactly."""
-    return F.get(F.array(*[F.lit(str(10**n)).cast("decimal(13,0)") for n in range(13)]), exponent)
+    return F.get(F.expr("array(" + ", ".join(f"CAST({10**n} AS DECIMAL(13, 0))" for n in range(13)) + ")"), exponent)
 
 
 def last_digit(decimals: Column) -> Column:
     """One unit of the last of so many decimals, of which 6 count at most."""
-    return F.get(F.array(*[F.lit(f"{10**-n:.6f}").cast("decimal(7,6)") for n in range(7)]), F.least(decimals, F.lit(6)))
+    return F.get(F.expr("array(" + ", ".join(f"CAST('{10**-n:.6f}' AS DECIMAL(7, 6))" for n in range(7)) + ")"), F.least(decimals, F.lit(6)))
 
 
 def is_percent(unit: Column) -> Column:
@@ -53,7 +59,7 @@ def close_to_display(mine: Column, step: Column, target: Column) -> Column:
 
 def currency_code(text: Column) -> Column:
     """The ISO code of a symbol or code as written; null for null or empty."""
-    symbols = F.create_map(*[F.lit(x) for pair in CURRENCIES.items() for x in pair])
+    symbols = literal_map(CURRENCIES)
     t = F.trim(text)
     return F.when(t != "", F.coalesce(symbols[F.lower(t)], F.upper(t)))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from numerant.functions.numeric import currency_code, size_of, step_of
+from numerant.functions.numeric import currency_code, literal_map, size_of, step_of
 from numerant.functions.text import is_separator_row, normalised, row_cells
 from numerant.lexicon import CODES, HEADER_SCALES
 from numerant.operators.figures import extract_figures
@@ -23,16 +23,12 @@ UNIT_CELL = rf"(?i)^(?:({CODE_RX})|(US\$|[£$€]))?\s?('000|thousands?|millions
 PER_SHARE = {"c": "c", "cent": "c", "cents": "c", "us cents": "c", "¢": "c", "p": "p", "pence": "p"}
 
 
-def _map(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-
-
 def stated_scale(text: Column) -> Column:
     """The power of ten that a header or caption states first; 0 if none."""
     out = F.lit(0)
     for pattern in reversed(HEADER_SCALE):
         word = F.lower(F.regexp_extract(text, pattern, 1))
-        out = F.when(word != "", F.coalesce(_map(HEADER_SCALES)[word], F.lit(3))).otherwise(out)
+        out = F.when(word != "", F.coalesce(literal_map(HEADER_SCALES)[word], F.lit(3))).otherwise(out)
     return out
 
 
@@ -45,10 +41,10 @@ def stated_currency(text: Column) -> Column:
 
 def unit_of_cell(cell: Column) -> Column:
     """struct(unit, scale, currency) of a cell that holds only a unit; null for any other."""
-    share = _map(PER_SHARE)[F.lower(cell)]
+    share = literal_map(PER_SHARE)[F.lower(cell)]
     code, symbol, word = (F.regexp_extract(cell, UNIT_CELL, k) for k in (1, 2, 3))
     only = cell.rlike(UNIT_CELL) & ((code != "") | (symbol != "") | (word != ""))
-    scale = F.coalesce(_map(HEADER_SCALES)[F.lower(word)], F.lit(0))
+    scale = F.coalesce(literal_map(HEADER_SCALES)[F.lower(word)], F.lit(0))
     amount = F.struct(F.lit(None).cast("string").alias("unit"), scale.alias("scale"), currency_code(F.concat(code, symbol)).alias("currency"))
     per = F.struct(share.alias("unit"), F.lit(0).alias("scale"), F.lit(None).cast("string").alias("currency"))
     return F.when(share.isNotNull(), per).when((cell != "") & only, amount)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from numerant.operators.claims import order_blocks, order_claims, statements
 from numerant.operators.figures import extract_figures
 from numerant.operators.status import figure_statuses
-from numerant.plans import calculations, claims, ledgers, texts
+from numerant.plans import calculations, claims, ledgers, store, texts
 from numerant.sources.tables import table
 
-MODULES = (texts, claims, calculations, ledgers)
+MODULES = (texts, claims, calculations, ledgers, store)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
