@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from numerant.llm import common
 from numerant.llm import decontamination as D
 from numerant.llm import partenum as P
 from numerant.llm import voronoi
@@ -122,6 +123,25 @@ def test_groups_of_keys_with_several_texts(spark):
     assert got == sorted((d, len(shingles(t)), 40 if d == 40 else 21 if d == 21 else 3) for d, t in rows)
 
 
+def test_groups_without_bitmaps(spark, monkeypatch):
+    """More ids than a bitmap takes: rows are joined without one."""
+    monkeypatch.setattr(common, "MOST_IDS", 0)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words, "x"])), (4, "other words stand here"), (5, None), (5, " ".join(words[:20]))]
+    assert common.id_filter(spark.range(1)) is None
+    got = sorted(map(tuple, P.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 38, 1), (2, 38, 1), (3, 39, 1), (4, 2, 4), (5, 0, 5), (5, 18, 5)]
+
+
+def test_bitmaps_hold_their_ids(spark):
+    ids = spark.createDataFrame([(k * 7919 - 10**6,) for k in range(500)], "id long")
+    known = common.id_filter(ids)
+    every = spark.range(-(10**6), 3 * 10**6, 997).union(ids).selectExpr("id", "id as bits", "id as bucket").distinct()
+    inside, outside = common.maybe_in(every, "id", known), common.maybe_in(every, "id", known, inside=False)
+    assert inside.columns == every.columns and inside.join(ids, "id").count() == 500 and outside.join(ids, "id").count() == 0
+    assert inside.count() + outside.count() == every.count() and inside.count() < 1000
+
+
 @pytest.mark.parametrize(("group", "large", "seed"), [(64, 1000, 5), (2, 1000, 6), (2, 6, 7)])
 def test_groups_of_a_passage_that_many_share(spark, monkeypatch, group, large, seed):
     """Texts that are alike for the most part, but mostly not enough to link: large groups are divided, no link is lost."""
