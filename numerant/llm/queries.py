@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerant.llm import decontamination, language, merkle, packing, partenum, periodic, quality, secret_scan, token_files, tokens, toxicity, url_rules, voronoi
+from numerant.llm import debruijn, decontamination, language, merkle, packing, partenum, periodic, quality, secret_scan, token_files, tokens, toxicity, url_rules, voronoi
 from numerant.llm.common import ASCII_UPPER, fold, fresh_path, read, small_batches
 
 END_ID = 2
@@ -226,10 +226,26 @@ FROM fold_u_{_ROOT_LEVELS - 1}, (SELECT h FROM u_n{_ROOT_LEVELS}) r
 """
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.without_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 20], ' ')) AS x FROM (SELECT *, unnest(range(len(w) - 19)) AS i FROM w WHERE len(w) >= 20)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM ranked WHERE k > 1),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    named = (op1_secret_scan, op2_decontamination, op3_language_id, op4_voronoi_top_k, op5_token_files, op6_toxicity, op7_best_fit_packing, op8_ngram_jaccard, op9_quality, op10_url_rules, op11_periodic_runs, op12_merkle_manifest)
+    named = (op1_secret_scan, op2_decontamination, op3_language_id, op4_voronoi_top_k, op5_token_files, op6_toxicity, op7_best_fit_packing, op8_ngram_jaccard, op9_quality, op10_url_rules, op11_periodic_runs, op12_merkle_manifest, op13_substring_dedup)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_voronoi_top_k": OP4_SQL, "op10_url_rules": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op4_voronoi_top_k": OP4_SQL, "op10_url_rules": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_substring_dedup": OP13_SQL}
