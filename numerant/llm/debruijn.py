@@ -29,7 +29,6 @@ from numerant.llm.common import NOT_SPACE, grouped, hashed_words, id_filter, may
 WINDOW = 20
 SEED = 6  # words whose least hash is a window's bucket
 _SALT = np.uint64(0xD6E8FEB86659FD93)
-_TEXT_BYTES = 4 << 20
 
 
 def rolling(values: np.ndarray, n: int) -> np.ndarray:
@@ -81,7 +80,7 @@ class Pieces:
 
 def _in_parts(batch: pa.RecordBatch, window: int, seed: int) -> Iterator[tuple[slice, Pieces]]:
     texts = [t.encode() for t in batch.column("_text").to_pylist()]
-    for part in grouped([len(t) for t in texts], _TEXT_BYTES):
+    for part in grouped([len(t) for t in texts]):
         yield part, Pieces(texts[part], window, seed)
 
 

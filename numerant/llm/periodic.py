@@ -130,7 +130,7 @@ def _as_rows(runs: list[list[tuple[int, int, int]]]) -> pa.Array:
 
 
 def _in_texts(texts: list[bytes], least: int, exponent: int) -> Iterator[list]:
-    for part in grouped([len(t) for t in texts], 4 << 20):
+    for part in grouped([len(t) for t in texts]):
         words, bounds, *_ = hashed_words(texts[part], NOT_SPACE)
         yield from find_runs(words, bounds, 1, None, least, exponent)
 

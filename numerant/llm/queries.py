@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numerant.llm import debruijn, decontamination, language, merkle, packing, partenum, periodic, quality, secret_scan, token_files, tokens, toxicity, url_rules, voronoi
-from numerant.llm.common import ASCII_UPPER, fold, fresh_path, read, small_batches
+from numerant.llm.common import ASCII_UPPER, fold, fresh_path, read
 
 END_ID = 2
 
@@ -108,28 +105,16 @@ FROM globbed
 """.replace("{JUNK}", _JUNK)
 
 
-def planted(text: str, h: int) -> str:
-    """``text`` as the contract changes it: from word a on, its words repeat."""
-    words, g = text.encode().split(), h // 10
-    if h % 10 or not words:
-        return text
-    a = g % len(words)
-    period = 1 + (len(words) - a) // (3 + g % 8)
-    turned = words[a : a + period]
-    return b" ".join(words[:a] + (turned * (-(-(len(words) - a) // period)))[: len(words) - a]).decode()
-
-
 def planted_periods(docs: DataFrame) -> DataFrame:
-    """doc_id and text, changed in one of ten documents as the contract says."""
-
-    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t if t is None or h is None else planted(t, h) for t, h in rows], pa.string())], ["doc_id", "text"])
-
-    small_batches(docs.sparkSession)
-    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    return docs.select("doc_id", "text", h).mapInArrow(plant, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
+    """doc_id and text, changed as the contract says where crc32(doc_id) ends in 0: from word a on, the words repeat."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h"))
+    n, g = F.size(words), F.expr("_h div 10")
+    a = (g % n).cast("int")
+    period = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, period), F.ceil((n - a) / period).cast("int")))
+    turned = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return rows.select("doc_id", F.when((F.col("_h") % 10 == 0) & (n > 0), turned).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

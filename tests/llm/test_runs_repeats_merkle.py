@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from hashlib import sha256
 
 import numpy as np
@@ -97,16 +98,20 @@ def test_periodic_runs_of_text_keys(spark):
     assert periodic.periodic_runs(table.withColumnRenamed("my`key", "name"), key="name").collect()[0].runs[0].length == 30
 
 
-def test_planted_periods_follow_the_contract():
+def test_planted_periods_follow_the_contract(spark):
     text = " ".join(map(str, range(50)))
-    for h in range(0, 4000, 37):
-        w, g = text.split(), h // 10
-        if h % 10 == 0:
-            a = g % 50
-            p = 1 + (50 - a) // (3 + g % 8)
-            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(50)]
-        assert queries.planted(text, h).split() == w
-    assert queries.planted(" \t", 10) == " \t"
+    rows = [(k, text) for k in range(200)] + [(k, "one  two") for k in range(200, 260)] + [(k, t) for k in range(260, 300) for t in ("", None, " \t")] + [(None, text)]
+    changed = 0
+    for r, (k, t) in zip(queries.planted_periods(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect(), rows, strict=True):
+        w, x = words_of(t), zlib.crc32(str(k).encode())
+        if k is not None and x % 10 == 0 and w:
+            n, g = len(w), x // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+            changed += 1
+        assert words_of(r.text) == w and (r.text is None) == (t is None)
+    assert changed > 10
 
 
 # --- repeated spans ---
