@@ -9,9 +9,9 @@ from numerant.functions.numeric import SIZE, close_to_display, is_percent, power
 from numerant.functions.text import is_separator_row, normalised, row_cells
 from numerant.lexicon import CITATION_ID, DERIVED_WORDS
 from numerant.operators.figures import extract_figures
-from numerant.operators.matching import in_year, matches
+from numerant.operators.matching import in_year, kinds_of, matches, nearest
 from numerant.operators.status import best_status
-from numerant.operators.years import clause_year, pinned, single_year
+from numerant.operators.years import clause_year, pinned, single_year, years_in
 
 # Citations, runs of them, and abbreviations that end no sentence.
 CITATION = rf"\[\s*{CITATION_ID}(?:\s*[,;]\s*{CITATION_ID})*\s*\]"
@@ -98,7 +98,11 @@ def calculation_fits(f: str = "f", c: str = "c") -> Column:
 
 def stated_sign(side: str) -> Column:
     """-1 or 1 for a figure that states a sign: a minus or brackets, or a direction word before a change; else 0."""
-    return F.when(F.col(f"{side}.neg") | (F.col(f"{side}.direction") < 0), -1).when(F.col(f"{side}.direction") > 0, 1).otherwise(0)
+    return sign_of(F.col(f"{side}.neg"), F.col(f"{side}.direction"))
+
+
+def sign_of(neg: Column, direction: Column) -> Column:
+    return F.when(neg | (direction < 0), -1).when(direction > 0, 1).otherwise(0)
 
 
 def directions_agree(f: str = "f", b: str = "b") -> Column:
@@ -107,25 +111,21 @@ def directions_agree(f: str = "f", b: str = "b") -> Column:
     return (stated_sign(f) == 0) | (stated_sign(f) == F.when(stated_sign(b) < 0, -1).otherwise(1))
 
 
-def near_derived_word(f: str = "f") -> Column:
-    """Whether one of the four words before the figure, or a word of its column's header, is that of a derived figure."""
-    heads = F.regexp_extract_all(F.col(f"{f}.header"), F.lit("[a-z]+"), 0)
-    return F.arrays_overlap(F.concat(F.col(f"{f}.words"), heads), F.array(*map(F.lit, DERIVED_WORDS)))
-
+def near_derived_word() -> Column:
+    """Whether one of the four words before a figure, or a word of its column's header, is that of a derived figure."""
+    heads = F.regexp_extract_all("header", F.lit("[a-z]+"), 0)
+    return F.arrays_overlap(F.concat("words", heads), F.array(*map(F.lit, DERIVED_WORDS)))
 
-def asked_figures(answers: DataFrame, key: str, question: str) -> DataFrame:
-    """The figures of each question as key and ``asked``: value, scale, whether a percentage, unit."""
-    found = extract_figures(answers.select(key, question).distinct(), key, question)
-    return found.select(key, _as_asked(found).alias("asked")).distinct()
 
-
-def _as_asked(figures: DataFrame) -> Column:
+def as_asked() -> Column:
+    """What makes a figure the same as one that the question states."""
     return F.struct(F.col("value"), F.col("scale"), is_percent(F.col("unit")).alias("percent"), F.coalesce("unit", F.lit("")).alias("unit"))
 
 
 def checked_figures(answers: DataFrame, blocks: DataFrame, calculations: DataFrame | None = None, key: str = "answer_id", text: str = "text", question: str | None = None, valid: DataFrame | None = None) -> DataFrame:
     """One row per figure of each answer: key, figure_id, raw, the citation that decides, its status over all citations
-    of its scope, and for a mismatch with a block why: ``opposite`` (the sign), ``year`` (another column) or ``absent``.
+    of its scope, and for a mismatch why: ``opposite`` (the sign), ``year`` (another column), what a value with the same
+    digits differs in (``unit``, ``currency``, ``sign``, ``scale``, joined by +), ``absent``, or ``calculation``.
 
     The first citation that passes counts, else the worst failure. ``blocks`` has a row per value (see
     ``block_values``); where it has year and years, figures with a year only fit that year's column, if there is one.
@@ -133,59 +133,73 @@ def checked_figures(answers: DataFrame, blocks: DataFrame, calculations: DataFra
     ones in ``valid`` (key, calc_id: made in this turn) may be cited, if it is given. Uncited figures that the
     ``question`` (a column of ``answers``) states too are ``from_question``.
 
-    Answers without figures have no rows; null and empty ones have none. A figure that cites nothing meets no block, so
-    that the many without a citation are no common key.
+    Scopes and questions are read once, together. Answers without figures have no rows; null and empty ones have none. A
+    figure that cites nothing meets no block, so that the many without a citation are no common key.
     """
     parts = scopes(answers, key, text)
-    found = extract_figures(parts, "segment_id", keep=(key, "cites", "clause_id", "offset", "fallback_year", "header"))
-    found = found.withColumn("figure_id", F.concat_ws("#", "segment_id", F.col("pos").cast("string")))
-    if "direction" not in blocks.columns:
-        blocks = blocks.withColumn("direction", F.lit(0))
-    in_column = F.lit(True)
-    if {"year", "years"} <= set(blocks.columns):
-        found = pinned(found, parts.select("clause_id", "clause"))
-        in_column = in_year()
-
-    loose = found.filter(F.col("unparsed") | (F.size("cites") == 0))
+    carried = ["scope_id", "cites", "clause_id", "clause", "offset", "fallback_year", "header"]
+    texts = parts.select(key, "segment_id", "text", *carried, F.lit(False).alias("asking"))
     if question is not None:
-        asked = asked_figures(answers, key, question).withColumn("_known", F.lit(True))
-        loose = loose.withColumn("asked", _as_asked(loose)).join(asked, [key, "asked"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-    else:
-        loose = loose.withColumn("_known", F.lit(False))
-    status = F.when(F.col("unparsed"), "unparsed").when(F.col("_known"), "from_question").otherwise("untraced")
-    loose = loose.select(key, "figure_id", "raw", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("cite"), status.alias("status"), F.lit(None).cast("string").alias("why"))
-
-    each = found.filter(~F.col("unparsed")).select("*", F.posexplode("cites").alias("at", "cite"))
-    by_block, by_calculation = each.filter(~F.col("cite").rlike(r"^C\d+$")), each.filter(F.col("cite").rlike(r"^C\d+$"))
-    joined = by_block.alias("f").join(blocks.withColumn("_there", F.lit(True)).alias("b"), F.col("f.cite") == F.col("b.block"), "left")
-    fit = F.coalesce(matches() & in_column, F.lit(False))
-    signed = fit & directions_agree()
-    exact = signed & (F.col("f.value") == F.col("b.value"))
-    one = F.any_value
-    checks = joined.groupBy(f"f.{key}", "f.figure_id", "f.raw", "f.at").agg(
-        one("f.cite").alias("cite"), one("f.explicit_change").alias("change"), one(near_derived_word()).alias("derived"), F.coalesce(F.bool_or("b._there"), F.lit(False)).alias("known"),
-        F.bool_or(fit).alias("fits"), F.bool_or(signed).alias("signed"), F.bool_or(exact).alias("exact"), F.bool_or(matches()).alias("any_year"),
+        empty = [F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in carried]
+        texts = texts.unionByName(answers.select(key, F.lit("?").alias("segment_id"), F.col(question).alias("text"), *empty, F.lit(True).alias("asking")))
+    pins = {"year", "years"} <= set(blocks.columns)
+    beside = {"years_in": years_in(F.col("clause"))} if pins else None
+    found = extract_figures(texts, "segment_id", keep=(key, "cites", "clause_id", "offset", "fallback_year", "header", "asking"), beside=beside)
+    found = found.withColumn("_known", F.lit(False))
+    if question is not None:
+        asked = F.collect_set(F.when(F.col("asking"), as_asked())).over(Window.partitionBy(key))
+        found = found.withColumn("_known", F.array_contains(asked, as_asked())).filter("not asking")
+    found = found.withColumn("figure_id", F.concat_ws("#", "segment_id", F.col("pos").cast("string")))
+    if pins:
+        found = pinned(found)
+
+    # One row per citation, or one for a figure without any; each meets a calculation or a block's values.
+    each = found.withColumn("derived", near_derived_word())
+    each = each.select("*", F.posexplode_outer(F.when(~F.col("unparsed"), F.col("cites"))).alias("at", "cite")).drop("words", "header", "cites")
+    each = each.withColumn("calculated", F.coalesce(F.col("cite").rlike(r"^C\d+$"), F.lit(False)))
+    each = each.withColumn("_by", F.coalesce("cite", F.concat(F.lit("-"), "figure_id")))
+    each = _with_calculations(each, calculations, valid, key)
+    for name, default in (("direction", 0), ("pos", 0)):
+        if name not in blocks.columns:
+            blocks = blocks.withColumn(name, F.lit(default))
+    joined = each.alias("f").join(blocks.withColumn("_there", F.lit(True)).alias("b"), F.col("f._by") == F.col("b.block"), "left")
+    in_column = in_year() if pins else F.lit(True)
+    rows = joined.select(
+        *[F.col(f"f.{c}") for c in (key, "figure_id", "raw", "at", "cite", "unparsed", "_known", "calculated", "of_calculation", "explicit_change", "derived")],
+        F.col("f.year").isNotNull().alias("has_year") if pins else F.lit(False).alias("has_year"), F.coalesce("b._there", F.lit(False)).alias("there"), matches().alias("fits"), F.coalesce(in_column, F.lit(True)).alias("in_column"),
+        directions_agree().alias("agrees"), (F.col("f.value") == F.col("b.value")).alias("same"), nearest().alias("near"),
     )
-    status = (
-        F.when(~F.col("known"), "phantom").when(F.col("change"), "derived_needs_calc").when(F.col("exact"), "traced")
+    fits = F.coalesce(F.col("fits") & F.col("in_column"), F.lit(False))
+    signed = fits & F.col("agrees")
+    checks = rows.groupBy(key, "figure_id", "raw", "at", "cite", "unparsed", "_known", "calculated", "of_calculation", "explicit_change", "derived", "has_year").agg(
+        F.bool_or("there").alias("there"), F.bool_or(fits).alias("fits"), F.bool_or(signed).alias("signed"), F.bool_or(signed & F.col("same")).alias("exact"), F.bool_or("fits").alias("any_year"),
+        F.min(F.when(F.col("in_column"), F.col("near"))).alias("near"), F.min("near").alias("near_any_year"),
+    )
+    by_block = (
+        F.when(~F.col("there"), "phantom").when(F.col("explicit_change"), "derived_needs_calc").when(F.col("exact"), "traced")
         .when(F.col("derived") & (F.col("signed") | ~F.col("fits")), "derived_needs_calc").when(F.col("signed"), "traced").otherwise("mismatch")
     )
-    why = F.when(F.col("fits"), "opposite").when(F.col("any_year"), "year").otherwise("absent")
-    block_checks = checks.select(key, "figure_id", "raw", F.col("at").alias("pos"), "cite", status.alias("status"), F.when(status == "mismatch", why).alias("why"))
+    uncited = F.when(F.col("_known"), "from_question").otherwise("untraced")
+    status = F.when(F.col("unparsed"), "unparsed").when(F.col("cite").isNull(), uncited).when(F.col("calculated"), F.col("of_calculation")).otherwise(by_block)
+    near = F.coalesce("near", F.when(F.col("has_year"), F.col("near_any_year")))
+    kinds = F.when(near.isNotNull(), F.array_join(kinds_of(near.bitwiseAND(15)), "+"))
+    why = F.when(F.col("calculated"), "calculation").when(F.col("fits"), "opposite").when(F.col("has_year") & F.col("any_year"), "year").otherwise(F.coalesce(kinds, F.lit("absent")))
+    checks = checks.withColumn("status", status).withColumn("why", F.when(F.col("status") == "mismatch", why))
+    return best_status(checks.withColumnRenamed("at", "pos"), key, "figure_id", "raw", also=("cite", "why"))
+
 
+def _with_calculations(each: DataFrame, calculations: DataFrame | None, valid: DataFrame | None, key: str) -> DataFrame:
+    """``each`` with of_calculation: the status by the calculation that is cited."""
     if calculations is None:
-        calculated = by_calculation.withColumn("status", F.lit("phantom"))
-    else:
-        made = calculations
-        on = F.col("f.cite") == F.col("c.calc_id")
-        if valid is not None:
-            made = calculations.join(valid.select(key, "calc_id").distinct(), "calc_id").withColumnRenamed(key, "_answer")
-            on = on & (F.col(f"f.{key}") == F.col("c._answer"))
-        fits = F.coalesce(calculation_fits(), F.lit(False))
-        status = F.when(F.col("c.calc_id").isNull(), "phantom").when(~fits, "mismatch").when(F.col("c.has_assumption"), "calculated_with_assumption").otherwise("calculated")
-        calculated = by_calculation.alias("f").join(made.alias("c"), on, "left").select("f.*", status.alias("status"))
-    calculated = calculated.select(key, "figure_id", "raw", F.col("at").alias("pos"), "cite", "status", F.when(F.col("status") == "mismatch", "calculation").alias("why"))
-    return best_status(loose.unionByName(block_checks).unionByName(calculated), key, "figure_id", "raw", also=("cite", "why"))
+        return each.withColumn("of_calculation", F.lit("phantom"))
+    made = calculations.withColumn("_made", F.lit(True))
+    on = F.col("f._by") == F.col("c.calc_id")
+    if valid is not None:
+        made = made.join(valid.select(F.col(key).alias("_answer"), "calc_id").distinct(), "calc_id")
+        on = on & (F.col(f"f.{key}") == F.col("c._answer"))
+    joined = each.alias("f").join(made.alias("c"), on, "left")
+    status = F.when(F.col("c._made").isNull(), "phantom").when(~F.coalesce(calculation_fits(), F.lit(False)), "mismatch").when(F.col("c.has_assumption"), "calculated_with_assumption").otherwise("calculated")
+    return joined.select("f.*", status.alias("of_calculation"))
 
 
 def empty_citations(answers: DataFrame, key: str = "answer_id", text: str = "text") -> DataFrame:

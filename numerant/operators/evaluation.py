@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from numerant.functions.numeric import SIZE, close_to_display, is_percent
-from numerant.operators.checking import _as_asked, asked_figures, stated_sign
+from numerant.operators.checking import as_asked, sign_of
 from numerant.operators.figures import extract_figures
 from numerant.operators.matching import matches
 from numerant.operators.status import PASSING
@@ -27,21 +29,31 @@ def claim_lines(text: Column) -> tuple[Column, Column]:
 
 
 def same_figure(a: str = "a", e: str = "e") -> Column:
-    """Whether a stated figure says an expected one, at any rounding of half a unit of its last digit and 25 % at most."""
-    stated, want = (lambda n: F.col(f"{a}.{n}")), (lambda n: F.col(f"{e}.{n}"))
+    """Whether a stated figure says an expected one (aliases of joined DataFrames)."""
+    return says(lambda n: F.col(f"{a}.{n}"), lambda n: F.col(f"{e}.{n}"))
+
+
+def says(stated: Callable[[str], Column], want: Callable[[str], Column], neg: Column | None = None) -> Column:
+    """Whether the figure with the parts ``stated`` says the one with the parts ``want``, at any rounding of half a unit of
+    its last digit and 25 % at most; ``neg`` is read for its own sign, if given."""
     percent = is_percent(stated("unit"))
     bare = stated("currency").isNull() & (stated("scale") == 0) & stated("unit").isNull()
     unit = percent | stated("unit").eqNullSafe(want("unit")) | bare
     currency = stated("currency").isNull() | want("currency").isNull() | (stated("currency") == want("currency"))
-    sign = (stated_sign(a) == 0) | (stated_sign(a) == F.when(want("neg"), -1).otherwise(1))
+    said = sign_of(stated("neg") if neg is None else neg, stated("direction"))
+    sign = (said == 0) | (said == F.when(want("neg"), -1).otherwise(1))
     near = close_to_display(stated("size"), stated("step"), want("size")) | (bare & close_to_display(stated("size"), stated("step"), want("value").cast(SIZE)))
     return ~stated("unparsed") & (percent == is_percent(want("unit"))) & unit & currency & sign & F.coalesce(near, F.lit(False))
 
 
+def is_aside() -> Column:
+    """Whether a figure's minus may be the brackets of an aside."""
+    return F.col("neg") & F.trim("raw").startswith("(") & F.trim("raw").endswith(")")
+
+
 def with_asides(figures: DataFrame) -> DataFrame:
     """The figures, and once more, without its sign, each bracketed one, which may be an aside instead of a minus."""
-    aside = figures.filter(F.col("neg") & F.trim("raw").startswith("(") & F.trim("raw").endswith(")"))
-    return figures.unionByName(aside.withColumn("neg", F.lit(False)))
+    return figures.unionByName(figures.filter(is_aside()).withColumn("neg", F.lit(False)))
 
 
 def _known(figures: DataFrame, key: str) -> DataFrame:
@@ -63,7 +75,7 @@ def wrong_figures(stated: DataFrame, expected: DataFrame, key: str, asked: DataF
     never wrong."""
     figures = stated.filter(~F.col("unparsed")) if "unparsed" in stated.columns else stated
     if asked is not None:
-        figures = figures.withColumn("asked", _as_asked(figures)).join(asked, [key, "asked"], "left_anti")
+        figures = figures.withColumn("asked", as_asked()).join(asked, [key, "asked"], "left_anti")
     readings = with_asides(_known(figures, key))
     right = readings.alias("a").join(_known(expected, key).alias("e"), F.col(f"a.{key}") == F.col(f"e.{key}")).filter(same_figure()).select("a.figure_id")
     if blocks is not None:
@@ -81,38 +93,69 @@ def missing_and_wrong(stated: DataFrame, expected: DataFrame, key: str) -> DataF
     return every.join(missing, key, "left").join(wrong, key, "left").select(key, F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("wrong", F.lit(0)).alias("wrong"))
 
 
-def key_figures(keys: DataFrame, key: str, column: str) -> DataFrame:
-    """The figures of an array of key entries, each of which must be one figure; one row per entry, with bad_key."""
-    entries = keys.select(key, F.posexplode(column).alias("entry", "text")).withColumn("_entry", F.concat_ws("#", F.col(key).cast("string"), "entry"))
-    found = extract_figures(entries, "_entry", exempt=False, keep=(key,))
-    one = found.groupBy("_entry").agg(F.count(F.lit(1)).alias("n"))
-    every = entries.select(key, "_entry", F.col("text").alias("raw")).join(one, "_entry", "left").join(found.drop(key, "raw"), "_entry", "left")
-    return every.filter("pos is null or pos = 0").withColumn("bad_key", ~F.coalesce(F.col("n") == 1, F.lit(False))).drop("_entry", "n")
+def key_entries(keys: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row per key: key, entries (an array of the figures of the arrays ``columns``, each with its column as ``kind``)
+    and bad_key: whether some entry isn't one figure. Entries without a figure have one of nulls."""
+    every = F.concat(*[_entries(c) for c in columns])
+    listed = keys.select(key, F.posexplode(every).alias("no", "e")).select(key, "no", "e.kind", "e.raw").withColumn("_entry", F.concat_ws("#", F.col(key).cast("string"), "no"))
+    found = extract_figures(listed, "_entry", "raw", exempt=False)
+    figure = F.struct(*FACTS, "direction", "unparsed")
+    one = found.groupBy("_entry").agg(F.count(F.lit(1)).alias("n"), F.min_by(figure, "pos").alias("figure"))
+    joined = listed.join(one, "_entry", "left")
+    entry = F.struct("kind", *[F.col(f"figure.{c}").alias(c) for c in [*FACTS, "direction", "unparsed"]])
+    return joined.groupBy(key).agg(F.collect_list(entry).alias("entries"), F.bool_or(~F.coalesce(F.col("n") == 1, F.lit(False))).alias("bad_key"))
+
+
+def _entries(column: str) -> Column:
+    return F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda t: F.struct(F.lit(column).alias("kind"), t.alias("raw")))
 
 
 def score_answers(answers: DataFrame, keys: DataFrame, key: str = "qid", text: str = "text", question: str | None = None, blocks: DataFrame | None = None) -> DataFrame:
-    """One row per answer: key, correct, missing, wrong, unsaid (counts) and bad_key.
+    """One row per answer: key, correct, missing, wrong, unsaid (counts), bad_key and no_key.
 
     ``answers``: key (one answer each), text and optionally the question; ``keys``: key, and arrays expect, allow (of
-    figures as text) and must_say (of patterns). An answer is correct that isn't blank, says every expected figure and
-    every pattern, and no wrong figure. Answers without a key are left out. Null and empty answers say nothing; null
-    arrays ask for nothing.
+    figures as text) and must_say (of patterns). ``blocks``: key and values that may be stated. An answer is correct that
+    isn't blank, says every expected figure and every pattern, and no wrong figure. Answers without a key have no_key and
+    nulls instead of a score. Null and empty answers say nothing; null arrays ask for nothing.
+
+    Claims, lines of working and questions are read in one pass, and so are the keys; an answer's figures meet its key's
+    in one row.
     """
     claims, results = claim_lines(F.col(text))
-    judged = answers.join(keys.select(key), key, "left_semi")
-    figures = extract_figures(judged.select(key, claims.alias("said")), key, "said").withColumn("figure_id", F.concat_ws("#", F.col(key).cast("string"), "pos"))
-    supplied = figures.drop("figure_id").unionByName(extract_figures(judged.select(key, results.alias("said")), key, "said"))
-    expect, allow = (key_figures(keys, key, c) for c in ("expect", "allow"))
-    both = expect.unionByName(allow)
-    asked = asked_figures(judged, key, question) if question else None
-    missing = missing_figures(supplied, expect, key).groupBy(key).agg(F.count(F.lit(1)).alias("missing"))
-    wrong = wrong_figures(figures, both, key, asked, blocks).groupBy(key).agg(F.count(F.lit(1)).alias("wrong"))
-    bad = both.groupBy(key).agg(F.bool_or("bad_key").alias("bad_key"))
-    out = judged.join(keys.select(key, "must_say"), key).join(missing, key, "left").join(wrong, key, "left").join(bad, key, "left")
-    said = F.coalesce(F.col(text), F.lit(""))
-    unsaid = F.size(F.filter(F.coalesce("must_say", F.array().cast("array<string>")), lambda p: ~F.regexp_like(said, F.concat(F.lit("(?i)"), p))))
-    out = out.select(key, said.alias("_said"), F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("wrong", F.lit(0)).alias("wrong"), unsaid.cast("long").alias("unsaid"), F.coalesce("bad_key", F.lit(False)).alias("bad_key"))
-    return out.select(key, ((F.trim("_said") != "") & (F.col("missing") + F.col("wrong") + F.col("unsaid") == 0)).alias("correct"), "missing", "wrong", "unsaid", "bad_key")
+    read = [("claims", claims), ("results", results)] + ([("question", F.coalesce(question, F.lit("")))] if question else [])
+    texts = answers.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("source"), c.alias("said")) for n, c in read])).alias("_t")).select(key, "_t.*")
+    found = extract_figures(texts.withColumn("_id", F.concat_ws("#", F.col(key).cast("string"), "source")), "_id", "said", keep=(key, "source"))
+    found = found.select(key, "_id", "pos", "source", is_aside().alias("aside"), *FACTS, "decimals", "direction", "unparsed", as_asked().alias("asked"))
+    if blocks is None:
+        found = found.withColumn("held", F.lit(False))
+    else:
+        own = [c for c in found.columns if c != "held"]
+        pairs = found.alias("f").join(blocks.alias("b"), (F.col(f"f.{key}") == F.col(f"b.{key}")) & (F.col("f.source") == "claims"), "left")
+        unsigned = F.col("f.aside") & matches("f", "b", neg=F.lit(False))
+        found = pairs.groupBy("f._id", "f.pos").agg(*[F.any_value(f"f.{c}").alias(c) for c in own if c not in ("_id", "pos")], F.coalesce(F.bool_or(matches() | unsigned), F.lit(False)).alias("held"))
+    figure = F.struct("source", "held", "aside", *FACTS, "direction", "unparsed", "asked")
+    said = found.groupBy(key).agg(F.collect_list(figure).alias("said"))
+    rows = answers.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).join(keys.select(key, "must_say", F.lit(True).alias("_has_key")), key, "left")
+    rows = rows.join(said, key, "left").join(key_entries(keys, key, ["expect", "allow"]), key, "left")
+    nothing = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    rows = rows.withColumns({"said": nothing("said", said.schema["said"].dataType), "entries": nothing("entries", rows.schema["entries"].dataType)})
+
+    def agree(f: Column, e: Column) -> Column:
+        part = lambda x: lambda n: x[n]
+        return F.coalesce(says(part(f), part(e)) | (f["aside"] & says(part(f), part(e), F.lit(False))), F.lit(False))
+
+    claimed = F.filter("said", lambda f: f["source"] == "claims")
+    rows = rows.withColumns({
+        "_supplied": F.filter("said", lambda f: f["source"] != "question"), "_asked": F.transform(F.filter("said", lambda f: f["source"] == "question"), lambda f: f["asked"]),
+        "_claimed": F.filter(claimed, lambda f: ~f["unparsed"] & ~f["held"]),
+    })
+    missing = F.size(F.filter("entries", lambda e: (e["kind"] == "expect") & ~F.exists("_supplied", lambda f: agree(f, e))))
+    wrong = F.size(F.filter("_claimed", lambda f: ~F.array_contains("_asked", f["asked"]) & ~F.exists("entries", lambda e: agree(f, e))))
+    unsaid = F.size(F.filter(F.coalesce("must_say", F.array().cast("array<string>")), lambda p: ~F.regexp_like(F.col("_text"), F.concat(F.lit("(?i)"), p))))
+    scored = lambda c: F.when(F.col("_has_key"), c.cast("long"))
+    out = rows.select(key, "_text", "_has_key", scored(missing).alias("missing"), scored(wrong).alias("wrong"), scored(unsaid).alias("unsaid"), F.coalesce("bad_key", F.lit(False)).alias("bad_key"), F.col("_has_key").isNull().alias("no_key"))
+    right = (F.trim("_text") != "") & (F.col("missing") + F.col("wrong") + F.col("unsaid") == 0)
+    return out.select(key, F.when(F.col("_has_key"), right).alias("correct"), "missing", "wrong", "unsaid", "bad_key", "no_key")
 
 
 def traced_coverage(figures: DataFrame, key: str) -> DataFrame:

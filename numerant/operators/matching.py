@@ -31,9 +31,9 @@ def currency_fits(f: str = "f", b: str = "b") -> Column:
     return _col(f, "currency").isNull() | _col(b, "currency").isNull() | (_col(f, "currency") == _col(b, "currency"))
 
 
-def sign_fits(f: str = "f", b: str = "b") -> Column:
+def sign_fits(f: str = "f", b: str = "b", neg: Column | None = None) -> Column:
     """A negative figure needs a negative value; a positive one may stand for a bracketed cost."""
-    return ~_col(f, "neg") | _col(b, "neg")
+    return ~(_col(f, "neg") if neg is None else neg) | _col(b, "neg")
 
 
 def block_size(f: str = "f", b: str = "b") -> Column:
@@ -42,10 +42,10 @@ def block_size(f: str = "f", b: str = "b") -> Column:
     return F.when(is_percent(_col(f, "unit")) | amount, _col(b, "size")).when(_col(b, "scale") > 0, F.lit(None)).otherwise(_col(b, "value").cast(SIZE))
 
 
-def matches(f: str = "f", b: str = "b") -> Column:
-    """Whether figure ``f`` may stand for value ``b`` (aliases of joined DataFrames)."""
+def matches(f: str = "f", b: str = "b", neg: Column | None = None) -> Column:
+    """Whether figure ``f`` may stand for value ``b`` (aliases of joined DataFrames); ``neg`` is read for its sign, if given."""
     target = block_size(f, b)
-    return unit_fits(f, b) & currency_fits(f, b) & sign_fits(f, b) & F.coalesce(close_enough(_col(f, "size"), _col(f, "step"), target), F.lit(False))
+    return unit_fits(f, b) & currency_fits(f, b) & sign_fits(f, b, neg) & F.coalesce(close_enough(_col(f, "size"), _col(f, "step"), target), F.lit(False))
 
 
 def in_year(f: str = "f", b: str = "b") -> Column:
@@ -70,40 +70,54 @@ def cited_matches(figures: DataFrame, blocks: DataFrame, by: str, condition: Col
     return hits.unionByName(bare)
 
 
+#: What a near miss differs in, by bit.
+KINDS = ["unit", "currency", "sign", "scale"]
+
+
+def near_kinds(f: str = "f", b: str = "b") -> Column:
+    """What keeps figure ``f`` from standing for value ``b``, which has its digits: the sum of a bit for each of ``KINDS``;
+    0 where they fit, or have nothing in common."""
+    percent = is_percent(_col(f, "unit"))
+    amount = _col(f, "currency").isNotNull() | (_col(f, "scale") > 0)
+    unit = ~percent & ~_col(f, "unit").eqNullSafe(_col(b, "unit")) & (_col(f, "unit").isNotNull() | amount)
+    currency = ~percent & ~unit & ~currency_fits(f, b)
+    face, step = _col(f, "value").cast(SIZE), _col(f, "step")
+    face_step = (step / power_of_ten(_col(f, "scale"))).cast(SIZE)
+    as_shown = F.when(percent | amount, _col(b, "size")).otherwise(_col(b, "value").cast(SIZE))
+    straight = F.when(unit, close_enough(face, face_step, _col(b, "value").cast(SIZE))).otherwise(close_enough(_col(f, "size"), step, as_shown))
+    # The same digits at another scale: the one power of ten that may bring the sizes together.
+    written = (_col(f, "value") / last_digit(_col(f, "decimals"))).cast("decimal(38,0)").cast("string")
+    digits = F.when(written == "0", 0).otherwise(F.length(written))  # significant digits of the figure as written
+    sized = (_col(f, "size") > 0) & (_col(b, "size") > 0)
+    power = F.when(sized, F.rint(F.log10(_col(b, "size").cast("double") / _col(f, "size").cast("double"))).cast("int"))
+    by = power_of_ten(F.abs(power))
+    moved = lambda c: F.when(power > 0, (c * by).cast(SIZE)).otherwise((c / by).cast(SIZE))
+    other_scale = F.when(power.isin(SHIFTS), close_enough(moved(_col(f, "size")), moved(step), _col(b, "size")))
+    scale = ~percent & ~unit & ~straight & (digits >= 3) & F.coalesce(other_scale, F.lit(False))
+    same_kind = percent == is_percent(_col(b, "unit"))
+    bits = sum((F.coalesce(c, F.lit(False)).cast("int") * 2**k for k, c in enumerate([unit, currency, ~sign_fits(f, b), scale])), F.lit(0))
+    return F.when(same_kind & F.coalesce(straight | scale, F.lit(False)), bits).otherwise(0)
+
+
+def kinds_of(bits: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(2**k) > 0, name) for k, name in enumerate(KINDS)]))
+
+
+def nearest(b: str = "b") -> Column:
+    """An order of near misses as a whole number: the fewest kinds, then the first value of the block, then the kinds."""
+    bits = near_kinds("f", b)
+    return F.when(bits > 0, F.bit_count(bits).cast("long") * 2**48 + _col(b, "pos").cast("long") * 16 + bits)
+
+
 def near_misses(figures: DataFrame, blocks: DataFrame, by: str) -> DataFrame:
     """For figures that match nothing in the block they cite: the value that they almost are.
 
     figure_id, kinds (an array of unit, currency, sign, scale, the fewest possible) and the value's row (``near``);
     figures that are near nothing have no row. Equal numbers of kinds go to the first value of the block (``pos``).
     """
-    joined = figures.alias("f").join(blocks.alias("b"), F.col(f"f.{by}") == F.col(f"b.{by}"))
-    percent = is_percent(F.col("f.unit"))
-    joined = joined.filter(percent == is_percent(F.col("b.unit")))
-    amount = F.col("f.currency").isNotNull() | (F.col("f.scale") > 0)
-    unit = ~percent & ~F.col("f.unit").eqNullSafe(F.col("b.unit")) & (F.col("f.unit").isNotNull() | amount)
-    currency = ~percent & ~unit & ~currency_fits()
-    sign = ~sign_fits()
-    step = F.col("f.step")
-    face = F.col("f.value").cast(SIZE)
-    face_step = (step / power_of_ten(F.col("f.scale"))).cast(SIZE)
-    target = F.when(percent | amount, F.col("b.size")).otherwise(F.col("b.value").cast(SIZE))
-    straight = F.when(unit, close_enough(face, face_step, F.col("b.value").cast(SIZE))).otherwise(close_enough(F.col("f.size"), step, target))
-    written = (F.col("f.value") / last_digit(F.col("f.decimals"))).cast("decimal(38,0)").cast("string")
-    digits = F.when(written == "0", 0).otherwise(F.length(written))  # significant digits of the figure as written
-
-    def shifted(n: int) -> Column:
-        factor = F.lit(str(10 ** abs(n))).cast("decimal(13,0)")
-        move = (lambda c: (c * factor).cast(SIZE)) if n > 0 else (lambda c: (c / factor).cast(SIZE))
-        return close_enough(move(F.col("f.size")), move(step), F.col("b.size"))
-
-    other_scale = F.lit(False)
-    for n in SHIFTS:
-        other_scale = other_scale | shifted(n)
-    scale = ~percent & ~unit & ~straight & (digits >= 3) & other_scale
-    kinds = F.array_compact(F.array(F.when(unit, "unit"), F.when(currency, "currency"), F.when(sign, "sign"), F.when(scale, "scale")))
-    found = joined.filter(straight | scale).withColumn("kinds", kinds).filter(F.size("kinds") > 0)
-    row = F.struct(F.size("kinds").alias("n"), F.col("b.pos").alias("pos"), F.col("kinds"), F.col("b.value").alias("value"))
-    return found.groupBy("f.figure_id").agg(F.min(row).alias("m")).select("figure_id", F.col("m.kinds").alias("kinds"), F.col("m.value").alias("near"))
+    joined = figures.alias("f").join(blocks.alias("b"), F.col(f"f.{by}") == F.col("b." + by)).select("f.figure_id", "b.value", nearest().alias("_near")).filter("_near is not null")
+    best = joined.groupBy("figure_id").agg(F.min_by("value", "_near").alias("near"), F.min("_near").alias("_near"))
+    return best.select("figure_id", kinds_of(F.col("_near").bitwiseAND(15)).alias("kinds"), "near")
 
 
 def where_hints(figures: DataFrame, blocks: DataFrame, k: int = 3) -> DataFrame:

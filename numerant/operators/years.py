@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from numerant.operators.turns import year_hints
-
 # A year on its own, periods (whose years pin nothing), and words of comparison.
 YEAR = r"(?i)(?<![\d.,/–-])(?:FY\s?)?((?:19|20)\d{2})(?!\d|[.,]\d|\s?[-–/]\s?\d)"
 PERIOD = r"(?i)(?:\b(?:from|between)\s+)?(?:FY\s?)?(?:19|20)\d{2}(?:\s*[-–/]\s*|\s+(?:to|until|through|and|vs\.?|versus)\s+)(?:FY\s?)?(?:19|20)\d{2}\b"
@@ -26,16 +25,45 @@ def clause_year(text: Column) -> Column:
     return F.when(~text.rlike(COMPARING), single_year(F.regexp_replace(text, r"\([^)]*\)", " ")))
 
 
-def _spots(text: str) -> list[dict]:
-    plain = re.sub(PERIOD, lambda m: "\x00" * len(m[0]), text)
-    return [{"year": int(m[1]), "y_start": m.start(), "y_stop": m.end(), "forward": text[m.end() : m.end() + 1] == ":"} for m in re.finditer(YEAR, plain)]
+_SPOTS = pa.list_(pa.struct([("year", pa.int32()), ("y_start", pa.int32()), ("y_stop", pa.int32()), ("forward", pa.bool_())]))
+_PERIOD, _YEAR = re.compile(PERIOD), re.compile(YEAR)
+REACH = 15  # characters between a year and its figure
+
+
+def _spots(texts: pa.Array) -> pa.Array:
+    def of(text: str) -> list[dict]:
+        plain = _PERIOD.sub(lambda m: "\x00" * len(m[0]), text)
+        return [{"year": int(m[1]), "y_start": m.start(), "y_stop": m.end(), "forward": text[m.end() : m.end() + 1] == ":"} for m in _YEAR.finditer(plain)]
+
+    return pa.array([None if t is None else of(t) for t in texts.to_pylist()], _SPOTS)
+
+
+def years_in(clause: Column) -> Column:
+    """Where years stand in a clause (null without any): a column for ``extract_figures(beside=...)``, so that clauses go
+    to Python along with the texts."""
+    find = F.arrow_udf(_spots, "array<struct<year int, y_start int, y_stop int, forward boolean>>")
+    return find(F.when(clause.rlike(YEAR), clause))
+
+
+def pinned(figures: DataFrame) -> DataFrame:
+    """``figures`` (clause_id, offset, start, stop, fallback_year, years_in) with ``year``: that of a year within ``REACH``
+    characters, else the fallback.
+
+    Each year of a clause goes to its nearest figure (after a colon, the next one first); one that stands in a figure
+    goes to none, and a figure that gets two different years gets none of them. A clause's figures are looked at
+    together, by one task.
+    """
+    low, high = F.col("start") + F.col("offset"), F.col("stop") + F.col("offset")
+    rows = figures.withColumn("_of_clause", F.when(F.size("years_in") > 0, F.collect_list(F.struct(low.alias("low"), high.alias("high"))).over(Window.partitionBy("clause_id"))))
+
+    def gap(f: Column, y: Column) -> Column:
+        return F.when(f["low"] >= y["y_stop"], f["low"] - y["y_stop"]).when(f["high"] <= y["y_start"], y["y_start"] - f["high"])
 
+    def goes_to(y: Column) -> Column:
+        near = F.filter("_of_clause", lambda f: gap(f, y) <= REACH)
+        first = F.array_min(F.transform(near, lambda f: F.struct((~(y["forward"] & (f["low"] >= y["y_stop"]))).alias("later"), gap(f, y).alias("gap"), f["low"].alias("low"))))
+        return F.when(~F.exists("_of_clause", lambda f: gap(f, y).isNull()), first["low"])
 
-def pinned(figures: DataFrame, clauses: DataFrame) -> DataFrame:
-    """``figures`` (figure_id, clause_id, offset, start, stop, fallback_year) with ``year``: that of a year within 15
-    characters, else the fallback. ``clauses``: clause_id, clause. Clauses without a year never reach Python."""
-    find = F.pandas_udf(lambda texts: texts.map(_spots), "array<struct<year int, y_start int, y_stop int, forward boolean>>")
-    years = clauses.filter(F.col("clause").rlike(YEAR)).select("clause_id", F.explode(find("clause")).alias("y")).select("clause_id", "y.*").distinct()
-    places = figures.select("clause_id", F.col("figure_id").alias("pos"), (F.col("start") + F.col("offset")).alias("start"), (F.col("stop") + F.col("offset")).alias("stop"))
-    hints = year_hints(places, years, "clause_id").filter("year is not null").select(F.col("pos").alias("figure_id"), F.col("year").alias("_year"))
-    return figures.join(hints, "figure_id", "left").withColumn("year", F.coalesce("_year", "fallback_year")).drop("_year")
+    own = F.array_distinct(F.transform(F.filter("years_in", lambda y: F.coalesce(goes_to(y) == low, F.lit(False))), lambda y: y["year"]))
+    year = F.when(F.size("_of_clause") > 0, F.when(F.size(own) == 1, F.get(own, F.lit(0))))
+    return rows.withColumn("year", F.coalesce(year, "fallback_year")).drop("_of_clause", "years_in")

@@ -15,11 +15,15 @@ from numerant.operators.figures import extract_figures
 from numerant.operators.matching import cited_matches, currency_fits, in_year, near_misses, sign_fits, unit_fits, where_hints
 from numerant.operators.report import verdicts
 from numerant.operators.status import answer_decisions, figure_statuses, status_counts
-from numerant.sources.tables import table
+from numerant.sources.tables import dealt, table
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "orders"))
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_claims(table(spark, sf_dir, "orders"))
+    return order_claims(_orders(spark, sf_dir))
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +120,7 @@ def _charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with a charge of 1 % to 11 %, as written to two decimals and to one."""
     cents = F.pmod((amount("o_totalprice") * 100).cast("long"), F.lit(1000))
     charge = (cents / 100 + 1).cast("decimal(6,2)")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("answer_id"), charge.alias("charge"), shown(charge, 2).alias("x"), shown(charge, 1).alias("y"))
+    return _orders(spark, sf_dir).select(F.col("o_orderkey").alias("answer_id"), charge.alias("charge"), shown(charge, 2).alias("x"), shown(charge, 1).alias("y"))
 
 
 def q53_block_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +171,7 @@ def q51_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q52_year_pinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements that put an order's total into its year, or every third into the one before, against its block."""
-    orders = table(spark, sf_dir, "orders")
+    orders = _orders(spark, sf_dir)
     year = F.year("o_orderdate") - F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)
     text = F.concat(F.lit("The total was $"), shown(amount("o_totalprice"), 2), F.lit(" in "), year, F.lit(" [D"), F.col("o_orderkey"), F.lit(":p1:b1]."))
     other = order_blocks(orders).withColumn("years", F.array(F.col("year"), F.col("year") - 1))

@@ -7,3 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table (not a plan with shuffles) dealt out evenly if it is read in fewer parts than there are cores, for work that
+    is heavy per row, as reading texts is. Large tables have more parts than that and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -22,7 +22,10 @@ CASES = [
     ("Costs of 34.2% [D1:p1:b1].", "traced", None), ("Profit fell sharply 3.0% [D1:p1:b2].", "traced", None), ("Profit rose sharply 3.0% [D1:p1:b2].", "mismatch", "opposite"),
     ("Profit fell by 3.0% [D1:p1:b2].", "derived_needs_calc", None), ("Is 12.5% enough?", "from_question", None), ("It is 12.6%.", "untraced", None), ("Revenue was £9,434m in 2023 [D1:p1:b3].", "mismatch", "year"),
     ("Revenue was £9,434m in 2024 [D1:p1:b3].", "traced", None), ("Revenue was £77m [D1:p1:b3].", "mismatch", "absent"), ("Revenue was £9,434m [D9:p1:b1].", "phantom", None), ("It took 40qq [D1:p1:b1].", "unparsed", None),
-    ("| x | Margin |\n|---|---|\n| a | 34.2% [D1:p1:b1] |", "derived_needs_calc", None), ("A loss of -£12m [D1:p1:b3].", "traced", None), ("A gain of -£7m [D1:p1:b3].", "mismatch", "absent"),
+    ("| x | Margin |\n|---|---|\n| a | 34.2% [D1:p1:b1] |", "derived_needs_calc", None), ("A loss of -£12m [D1:p1:b3].", "traced", None), ("A gain of -£7m [D1:p1:b3].", "mismatch", "sign"),
+    ("Revenue was $9,434m [D1:p1:b3].", "mismatch", "currency"), ("Revenue was £9,434k [D1:p1:b3].", "mismatch", "scale"), ("Revenue was 9,434 kg [D1:p1:b3].", "mismatch", "unit"),
+    ("Revenue was £9.434 [D1:p1:b3].", "mismatch", "scale"), ("Revenue was -$9,434k in 2024 [D1:p1:b3].", "mismatch", "currency+sign+scale"), ("Revenue was $9,161m in 2024 [D1:p1:b3].", "mismatch", "currency"),
+    ("Revenue was $9,161m in 2019 [D1:p1:b3].", "mismatch", "currency"), ("Sales were £3.0m [D1:p1:b1].", "mismatch", "absent"),
 ]
 
 
@@ -63,7 +66,7 @@ def test_scores(spark, blocks):
     ], "qid int, text string, question string")
     held = blocks.filter("block = 'D1:p1:b1'").withColumn("qid", F.lit(4))
     got = {r.qid: (r.correct, r.missing, r.wrong, r.unsaid, r.bad_key) for r in E.score_answers(answers, keys, question="question", blocks=held).collect()}
-    assert got == {1: (True, 0, 0, 0, False), 2: (True, 0, 0, 0, False), 3: (True, 0, 0, 0, False), 4: (False, 1, 1, 0, False)}
+    assert got == {1: (True, 0, 0, 0, False), 2: (True, 0, 0, 0, False), 3: (True, 0, 0, 0, False), 4: (False, 1, 1, 0, False), 9: (None, None, None, None, False)}
     bad = spark.createDataFrame([(1, ["one", "1,000 and 2,000"], None, None)], "qid int, expect array<string>, allow array<string>, must_say array<string>")
     assert E.score_answers(answers, bad).first().bad_key
     assert E.score_answers(answers.limit(0), keys).count() == 0
