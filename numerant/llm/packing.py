@@ -7,8 +7,8 @@ into the open bin with the least room that still holds it, found in a segment tr
 that are alike are moved together, so its result is a short list of runs (length, rank of the first piece, first bin,
 pieces per bin, offset). Every piece then finds its place from its rank among pieces of its length.
 
-Ranks are made in two levels (length and a salt of the key, then offsets of salts), so that a length that most pieces
-have, as the full one in a large corpus, is dealt out over as many tasks as its count asks for. The driver sees counts by
+Ranks are made in two levels (length and a salt of the row, then offsets of salts), so that a length that most pieces
+have, as the full one in a large corpus, is dealt out over as many tasks as its count asks for, whatever their keys. The driver sees counts by
 length and salt only: one for each length, and one more for every ``PER_SALT`` pieces.
 """
 
@@ -124,12 +124,12 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, key:
 
 
 def placed(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
-    """``pieces`` (a stored table, as it is read twice) with sequence_id and offset."""
+    """``pieces`` (a stored table, as it is read twice, with a number for each row, _row) with sequence_id and offset."""
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # ``capacity`` rows at most
     salts = [-(-counts.get(k, 1) // PER_SALT) for k in range(capacity + 1)]
     salt_of = F.get(F.array(*map(F.lit, salts)), F.col("length").cast("int"))
-    own = pieces.columns
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(F.col(key), F.col("piece"), F.col("start")), salt_of.cast("long")).cast("int"))
+    own = [c for c in pieces.columns if c != "_row"]
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_row"), salt_of.cast("long")).cast("int"))
     first = np.cumsum([0, *salts])  # of the salts of each length
     table = np.zeros(first[-1], np.int64)
     for r in salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -139,7 +139,7 @@ def placed(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     runs = best_fit_decreasing(counts, capacity)
     runs = np.array(sorted(runs), np.int64).reshape(-1, 6)
     begins = runs[:, 0] << 44 | runs[:, 1]
-    window = Window.partitionBy("length", "_salt").orderBy(F.col(key), "piece", "ids_crc32")
+    window = Window.partitionBy("length", "_salt").orderBy(F.col(key), "piece", "ids_crc32", "_row")
     ranked = salted.withColumn("_rank", F.row_number().over(window) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def placed(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
             offset = runs[at, 5] + ahead % runs[at, 4] * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(sequence), pa.array(offset)], [*own, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes if c != "_row")
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
@@ -162,7 +162,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, ke
     Null and empty texts are one piece of the end id. Repeated rows are packed as often as they occur; null keys are
     kept. An empty table gives no rows. Sequences are numbered from 0 and filled without gaps from offset 0.
     """
-    return placed(stored(pieces_of(docs, vocabulary, end_id, capacity, key, text, with_ids), "pieces"), capacity, key)
+    pieces = pieces_of(docs, vocabulary, end_id, capacity, key, text, with_ids)
+    return placed(stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces"), capacity, key)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

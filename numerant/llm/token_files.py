@@ -77,16 +77,32 @@ class TokenFiles:
         return out
 
 
+def store_uri(uri: str) -> str:
+    """A URI as Spark writes it, as Arrow writes it."""
+    kind, there, rest = uri.partition("://")
+    if not there:
+        return uri if uri.startswith("/") else f"file:{uri}"
+    if kind in ("s3a", "s3n"):
+        return f"s3://{rest}"
+    if kind == "abfss" and "@" in rest:  # container@account.host/path
+        account = rest.partition("@")[2].partition(".")[0]
+        return f"{uri}?account_name={account}"
+    return uri
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"file:{uri}")
+    """The file system of a URI and the path in it. Python tasks reach it by themselves, so they need credentials of their
+    own where the store asks for some."""
+    return pafs.FileSystem.from_uri(store_uri(uri))
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> TokenFiles:
     """Encodes every whole text, appends ``end_id`` and writes record files to ``folder`` (a URI all machines share).
 
     Ascending keys: file by file, and within each file. Null keys come first, null texts are empty, repeated keys each
-    get a record (ordered by text), an empty table gives no files; other columns are not read. What comes to the driver
-    is one row per file.
+    get a record (ordered by a hash of the text), an empty table gives no files; other columns are not read. Rows with the same
+    key, and equal rows, are dealt out over files too. What comes to the driver is one row per file; files that failed
+    attempts have left are deleted at the end.
     """
     small_batches(docs.sparkSession)
     width = 2 if max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
@@ -115,9 +131,17 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, key
                 fs.move(f"{own}.{kind}", f"{root}/{name}.{kind}")
             yield pa.RecordBatch.from_pydict({"name": [name], "records": [records], "ids": [count]})
 
-    ordered = docs.select(F.col(key).cast("long"), F.col(text).cast("string")).repartitionByRange(F.col(key).asc_nulls_first())
-    done = ordered.sortWithinPartitions(F.col(key).asc_nulls_first(), text).mapInArrow(write, "name string, records long, ids long")
-    return TokenFiles(folder, width, sorted((r.name, r.records, r.ids) for r in done.collect()))
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
+    rows = rows.withColumns({"_hash": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()})
+    order = [F.col("_key").asc_nulls_first(), "_hash", "_row"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_key", "_text")
+    done = ordered.mapInArrow(write, "name string, records long, ids long")
+    files = sorted((r.name, r.records, r.ids) for r in done.collect())
+    fs, root = filesystem(folder)
+    for left in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if left.base_name.startswith("_part-"):
+            fs.delete_file(left.path)
+    return TokenFiles(folder, width, files)
 
 
 def read_tokens(spark: SparkSession, files: TokenFiles, key: str = "doc_id", with_ids: bool = False) -> DataFrame:

@@ -33,6 +33,7 @@ QUERIES_PER_BLOCK = 2048
 ROWS_PER_BLOCK = 4096
 BATCH_BYTES = 32 << 20
 SLACK = 1e-6  # relative margin of the bounds
+LARGEST = 2.0**53  # of components
 
 
 def packed(rows: np.ndarray) -> bytes:
@@ -48,10 +49,12 @@ def unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, exactly."""
+    """Inner products of whole numbers, exactly; those that 64 bits can't hold are the largest that they can."""
     if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1]) < 2.0**53:
         return (q @ x.T).astype(np.int64)
-    return np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x.tolist()] for u in q.tolist()], object).astype(np.int64).reshape(len(q), len(x))
+    most = (1 << 63) - 1
+    exact = [[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x.tolist()] for u in q.tolist()]
+    return np.array([[max(-most, min(most, s)) for s in row] for row in exact], np.int64).reshape(len(q), len(x))
 
 
 def lifted(x: np.ndarray, most: float, query: bool) -> np.ndarray:
@@ -104,14 +107,15 @@ def inner_product_top_k(vectors: DataFrame, is_query, k: int, scale: float = 64.
 
     Rows without a key, and vectors that are null or hold null or non-finite components, take no part; shorter vectors
     count as padded with 0. Fewer than k others: all of them. An empty table gives no rows. Of a repeated key every row
-    is a candidate, and none of them for queries of that key. Other columns are not read.
+    is a candidate, and none of them for queries of that key. Components beyond ``LARGEST`` count as that, and scores stay
+    within 64 bits. Other columns are not read.
     """
     spark = vectors.sparkSession
     x = F.col("_x")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     base = vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), F.col(vector).cast("array<double>").alias("_x"))
     base = base.filter(F.col("id").isNotNull() & x.isNotNull() & sound)
-    base = stored(base.select("id", "query", F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("x")), "vectors")
+    base = stored(base.select("id", "query", F.transform(x, lambda c: F.floor(F.greatest(F.least(c * scale, F.lit(LARGEST)), F.lit(-LARGEST))).cast("double")).alias("x")), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     square = F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c)
     n, n_queries, dim, most = base.agg(F.count(F.lit(1)), F.count_if("query"), F.max(F.size("x")), F.max(square)).first()
@@ -140,7 +144,8 @@ def inner_product_top_k(vectors: DataFrame, is_query, k: int, scale: float = 64.
                 data = [packed(rows[i : i + 1]) for i in at]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.full(len(at), query)), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(at)), cell]), pa.array(data, pa.binary())], ["id", "query", "cell", "far", "x"])
 
-    assigned = stored(base.mapInArrow(assign, "id long, query boolean, cell int, far double, x binary"), "assigned")
+    assigned = base.mapInArrow(assign, "id long, query boolean, cell int, far double, x binary")
+    assigned = stored(assigned.withColumn("row", F.monotonically_increasing_id()), "assigned")  # repeated ids are dealt out by it
 
     # 2. Summaries per pivot, and from them the bound of each cell of queries.
     counts = {(r.query, r.cell): (r.n, r.far) for r in assigned.groupBy("query", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
@@ -210,7 +215,7 @@ def inner_product_top_k(vectors: DataFrame, is_query, k: int, scale: float = 64.
         names = table.column_names[:2]
         return pa.table({names[0]: table[names[0]].slice(0, 1), names[1]: table[names[1]].slice(0, 1), "n": pa.array([len(ids)], pa.int32()), "least": [far.min()], "most": [far.max()], "ids": [ids[order].astype("<i8").tobytes()], "xs": [packed(rows[order])]})
 
-    hashed = F.xxhash64("id")
+    hashed = F.xxhash64("row")
     data = assigned.filter("not query").select("cell", F.pmod(hashed, salt_of[F.col("cell")].cast("long")).cast("int").alias("salt"), "id", "far", "x")
     data = data.groupBy("cell", "salt").applyInArrow(block, "cell int, salt int, n int, least double, most double, ids binary, xs binary")
     asked = assigned.filter("query").withColumn("grp", group_of[F.col("cell")])
@@ -241,6 +246,7 @@ def inner_product_top_k(vectors: DataFrame, is_query, k: int, scale: float = 64.
                 far = to_pivots[:, r["cell"]]
                 low = np.maximum(0, np.maximum(far - r["most"], r["least"] - far))
                 limit = np.sqrt(np.maximum(0, length + most - 2.0 * best.least)) + slack  # of the k-th best so far
+                limit[best.least <= -(1 << 63) + 1] = np.inf  # there are fewer than k, or scores that 64 bits can't hold
                 rows = np.flatnonzero(low <= limit)
                 ids = np.frombuffer(r["ids"], "<i8")
                 x = unpacked(r["xs"], r["n"], dim)
