@@ -125,7 +125,8 @@ def as_asked() -> Column:
 def checked_figures(answers: DataFrame, blocks: DataFrame, calculations: DataFrame | None = None, key: str = "answer_id", text: str = "text", question: str | None = None, valid: DataFrame | None = None) -> DataFrame:
     """One row per figure of each answer: key, figure_id, raw, the citation that decides, its status over all citations
     of its scope, and for a mismatch why: ``opposite`` (the sign), ``year`` (another column), what a value with the same
-    digits differs in (``unit``, ``currency``, ``sign``, ``scale``, joined by +), ``absent``, or ``calculation``.
+    digits differs in (``unit``, ``currency``, ``sign``, ``scale``, joined by +), ``absent``, or ``calculation``; and
+    computable: a percentage, a change or a derived figure, which may have been computed.
 
     The first citation that passes counts, else the worst failure. ``blocks`` has a row per value (see
     ``block_values``); where it has year and years, figures with a year only fit that year's column, if there is one.
@@ -154,7 +155,7 @@ def checked_figures(answers: DataFrame, blocks: DataFrame, calculations: DataFra
         found = pinned(found)
 
     # One row per citation, or one for a figure without any; each meets a calculation or a block's values.
-    each = found.withColumn("derived", near_derived_word())
+    each = found.withColumn("derived", near_derived_word()).withColumn("computable", is_percent(F.col("unit")) | F.col("change") | F.col("derived"))
     each = each.select("*", F.posexplode_outer(F.when(~F.col("unparsed"), F.col("cites"))).alias("at", "cite")).drop("words", "header", "cites")
     each = each.withColumn("calculated", F.coalesce(F.col("cite").rlike(r"^C\d+$"), F.lit(False)))
     each = each.withColumn("_by", F.coalesce("cite", F.concat(F.lit("-"), "figure_id")))
@@ -165,13 +166,13 @@ def checked_figures(answers: DataFrame, blocks: DataFrame, calculations: DataFra
     joined = each.alias("f").join(blocks.withColumn("_there", F.lit(True)).alias("b"), F.col("f._by") == F.col("b.block"), "left")
     in_column = in_year() if pins else F.lit(True)
     rows = joined.select(
-        *[F.col(f"f.{c}") for c in (key, "figure_id", "raw", "at", "cite", "unparsed", "_known", "calculated", "of_calculation", "explicit_change", "derived")],
+        *[F.col(f"f.{c}") for c in (key, "figure_id", "raw", "at", "cite", "unparsed", "_known", "calculated", "of_calculation", "explicit_change", "derived", "computable")],
         F.col("f.year").isNotNull().alias("has_year") if pins else F.lit(False).alias("has_year"), F.coalesce("b._there", F.lit(False)).alias("there"), matches().alias("fits"), F.coalesce(in_column, F.lit(True)).alias("in_column"),
         directions_agree().alias("agrees"), (F.col("f.value") == F.col("b.value")).alias("same"), nearest().alias("near"),
     )
     fits = F.coalesce(F.col("fits") & F.col("in_column"), F.lit(False))
     signed = fits & F.col("agrees")
-    checks = rows.groupBy(key, "figure_id", "raw", "at", "cite", "unparsed", "_known", "calculated", "of_calculation", "explicit_change", "derived", "has_year").agg(
+    checks = rows.groupBy(key, "figure_id", "raw", "at", "cite", "unparsed", "_known", "calculated", "of_calculation", "explicit_change", "derived", "computable", "has_year").agg(
         F.bool_or("there").alias("there"), F.bool_or(fits).alias("fits"), F.bool_or(signed).alias("signed"), F.bool_or(signed & F.col("same")).alias("exact"), F.bool_or("fits").alias("any_year"),
         F.min(F.when(F.col("in_column"), F.col("near"))).alias("near"), F.min("near").alias("near_any_year"),
     )
@@ -185,7 +186,7 @@ def checked_figures(answers: DataFrame, blocks: DataFrame, calculations: DataFra
     kinds = F.when(near.isNotNull(), F.array_join(kinds_of(near.bitwiseAND(15)), "+"))
     why = F.when(F.col("calculated"), "calculation").when(F.col("fits"), "opposite").when(F.col("has_year") & F.col("any_year"), "year").otherwise(F.coalesce(kinds, F.lit("absent")))
     checks = checks.withColumn("status", status).withColumn("why", F.when(F.col("status") == "mismatch", why))
-    return best_status(checks.withColumnRenamed("at", "pos"), key, "figure_id", "raw", also=("cite", "why"))
+    return best_status(checks.withColumnRenamed("at", "pos"), key, "figure_id", "raw", also=("cite", "why", "computable"))
 
 
 def _with_calculations(each: DataFrame, calculations: DataFrame | None, valid: DataFrame | None, key: str) -> DataFrame:

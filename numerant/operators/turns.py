@@ -12,7 +12,8 @@ CITATION = rf"\[\s*{CITATION_ID}(?:\s*[,;]\s*{CITATION_ID})*\s*\]"
 
 
 def selected_answers(messages: DataFrame, session: str = "conv_id", pos: str = "turn") -> DataFrame:
-    """Per session: the last real question of the user (q_pos, question) and the last answer after it that isn't empty.
+    """Per session: the last real question of the user (q_pos, question) and the last answer that isn't empty after the
+    user's last message, written or injected: what an injected denial is about is no answer any more.
 
     ``messages``: session, pos, role, text, and optionally injected (messages that no user wrote). Sessions without a
     question are left out; without an answer it is null.
@@ -20,7 +21,8 @@ def selected_answers(messages: DataFrame, session: str = "conv_id", pos: str = "
     real = (F.col("role") == "user") & (~F.col("injected") if "injected" in messages.columns else F.lit(True))
     asked = messages.filter(real).groupBy(session).agg(F.max(pos).alias("q_pos"), F.max_by("text", pos).alias("question"))
     answers = messages.filter((F.col("role") == "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    later = answers.join(asked.select(session, "q_pos"), session).filter(F.col(pos) > F.col("q_pos"))
+    last_said = messages.filter(F.col("role") == "user").groupBy(session).agg(F.max(pos).alias("_begin"))
+    later = answers.join(last_said, session).filter(F.col(pos) > F.col("_begin"))
     last = later.groupBy(session).agg(F.max(pos).alias("a_pos"), F.max_by("text", pos).alias("answer"))
     return asked.join(last, session, "left")
 

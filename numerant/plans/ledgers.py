@@ -82,7 +82,8 @@ def q37_missing_and_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q38_select_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selected_answers(table(spark, sf_dir, "conversations"))
+    injected = (F.col("role") == "user") & (F.col("turn") > 1) & ((F.col("conv_id") + F.col("turn")) % 3 == 0)
+    found = selected_answers(table(spark, sf_dir, "conversations").withColumn("injected", injected))
     return found.select("conv_id", "q_pos", F.md5("question").alias("question"), "a_pos", F.md5("answer").alias("answer"))
 
 
@@ -163,8 +164,9 @@ SELECT i.clause, i.pos, h.year FROM i LEFT JOIN h ON i.clause = h.clause AND i.p
 s AS (SELECT *, CASE c WHEN 1 THEN CAST(r * 1000 AS DOUBLE) WHEN 2 THEN CAST(r * 1000000 AS DOUBLE) ELSE CAST(p AS DOUBLE) END AS size, CASE c WHEN 1 THEN 50 WHEN 2 THEN 50000 ELSE 0.005 END AS half FROM b),
 t AS (SELECT a.k AS stated, e.k AS expected FROM s a JOIN b e ON a.qid = e.qid AND a.c NOT IN (3, 4, 5) AND round(abs(a.size - CAST(e.p AS DOUBLE)), 4) <= a.half AND round(abs(a.size - CAST(e.p AS DOUBLE)), 4) <= 0.25 * CAST(e.p AS DOUBLE))
 SELECT qid, count(*) FILTER (WHERE k NOT IN (SELECT expected FROM t)) AS missing, count(*) FILTER (WHERE k NOT IN (SELECT stated FROM t)) AS wrong FROM b GROUP BY qid""",
-    "q38_select_answer": """WITH q AS (SELECT conv_id, max(turn) AS q_pos, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
-a AS (SELECT c.conv_id, max(turn) AS a_pos, arg_max(text, turn) AS answer FROM conversations c JOIN q ON c.conv_id = q.conv_id AND turn > q_pos WHERE role = 'assistant' AND trim(coalesce(text, '')) <> '' GROUP BY c.conv_id)
+    "q38_select_answer": """WITH q AS (SELECT conv_id, max(turn) AS q_pos, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' AND (turn <= 1 OR (conv_id + turn) % 3 > 0) GROUP BY conv_id),
+u AS (SELECT conv_id, max(turn) AS said FROM conversations WHERE role = 'user' GROUP BY conv_id),
+a AS (SELECT c.conv_id, max(turn) AS a_pos, arg_max(text, turn) AS answer FROM conversations c JOIN u ON c.conv_id = u.conv_id AND turn > said WHERE role = 'assistant' AND trim(coalesce(text, '')) <> '' GROUP BY c.conv_id)
 SELECT q.conv_id, q_pos, md5(question) AS question, a_pos, md5(answer) AS answer FROM q LEFT JOIN a ON q.conv_id = a.conv_id""",
     "q39_json_flatten": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS most FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL",
     "q40_upsert_latest": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)

@@ -10,10 +10,13 @@ from numerant.operators.blocks import block_values
 from numerant.operators.claims import amount
 from numerant.operators.denials import denials, question_id
 from numerant.operators.evaluation import drafts
+from numerant.operators.evidence import evidence, evidence_lines
+from numerant.operators.exact import exactly
 from numerant.operators.ledger import pages_to_read, read_problems
 from numerant.operators.results import rewrites, stated_as
 from numerant.operators.turns import valid_calculations
-from numerant.sources.tables import table
+from numerant.sources.tables import dealt, table
+from numerant.sources.versions import appended, current, fresh_folder, with_ids, written
 
 
 def q56_ways_to_write(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +80,87 @@ def q63_block_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("block").cast("long").alias("o_orderkey"), "label", F.col("col").cast("long").alias("col"), "year", "value", "neg", "unit", F.col("scale").cast("int").alias("scale"), "currency", "size")
 
 
+def q64_evidence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as figures that cite a calculation over their items, some of which are calculations over suppliers, and those
+    over nations, which rest on a supplier again."""
+    items, suppliers, nations = (table(spark, sf_dir, n) for n in ("lineitem", "supplier", "nation"))
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    kind = F.col("l_linenumber") % 4
+    source = F.when(kind == 1, name("CS", "l_suppkey")).when(kind == 0, "assumption").otherwise(name("B", "l_partkey"))
+    first = suppliers.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_suppkey").alias("s_suppkey"))
+    inputs = (
+        items.select(name("CO", "l_orderkey").alias("calc_id"), F.col("l_linenumber").alias("no"), source.alias("source_id"))
+        .unionByName(suppliers.select(name("CS", "s_suppkey").alias("calc_id"), F.lit(1).alias("no"), name("CN", "s_nationkey").alias("source_id")))
+        .unionByName(suppliers.select(name("CS", "s_suppkey").alias("calc_id"), F.lit(2).alias("no"), name("S", "s_suppkey").alias("source_id")))
+        .unionByName(nations.select(name("CN", "n_nationkey").alias("calc_id"), F.lit(1).alias("no"), name("N", "n_nationkey").alias("source_id")))
+        .unionByName(first.select(name("CN", "n_nationkey").alias("calc_id"), F.lit(2).alias("no"), name("CS", "s_suppkey").alias("source_id")))
+    )
+    sources = (
+        table(spark, sf_dir, "part").select(name("B", "p_partkey").alias("source_id"), F.col("p_brand").alias("file"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("place"))
+        .unionByName(suppliers.select(name("S", "s_suppkey").alias("source_id"), F.lit("Suppliers").alias("file"), F.col("s_name").alias("place")))
+        .unionByName(nations.select(name("N", "n_nationkey").alias("source_id"), F.lit("Nations").alias("file"), F.lit(None).cast("string").alias("place")))
+    )
+    figures = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("figure_id"), name("CO", "o_orderkey").alias("cite"))
+    return evidence_lines(evidence(figures, inputs), sources).select(F.col("figure_id").alias("o_orderkey"), "line")
+
+
+#: Formulas over a total (a) and small numbers (b, c), by the order's key.
+FORMULAS = ["(a - b) / 4", "a / b", "b ** (0 - c)", "(0 - a) ** 0.5", "a ** 0.5", "a ** (b + 97)", "((a ** 100) ** 100) ** 100", "abs(b - c) * max(a, 4)"]
+
+
+def q65_exact_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's formula: a result, or the code of what went wrong."""
+    k = F.col("o_orderkey")
+    number = lambda c: c.cast("decimal(24,6)")
+    inputs = F.create_map(F.lit("a"), number(amount("o_totalprice")), F.lit("b"), number(k % 5), F.lit("c"), number(k % 3))
+    rows = _dealt_orders(spark, sf_dir).select("o_orderkey", F.get(F.array(*map(F.lit, FORMULAS)), (k % 8).cast("int")).alias("formula"), inputs.alias("inputs"))
+    done = rows.select("o_orderkey", exactly(F.col("formula"), F.col("inputs")).alias("r"))
+    return done.select("o_orderkey", F.col("r.result").try_cast("decimal(28,6)").alias("result"), "r.used_float", "r.code")
+
+
+def _dealt_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "orders"))
+
+
+def q66_store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written in two versions, and a third part that is never committed: ids go on from one to the next."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    path = fresh_folder(spark, "orders")
+    for status in ("F", "O"):
+        appended(orders.filter(F.col("o_orderstatus") == status), path, [F.col("o_orderkey")])
+    written(orders.filter(F.col("o_orderstatus") == "P"), path)
+    return with_ids(current(spark, path), "W", "id").select("o_orderkey", "id")
+
+
 _MESSAGES = """m AS (SELECT l_orderkey AS conv_id, l_linenumber AS turn, CASE WHEN l_linenumber % 3 = 1 THEN 'user' WHEN (l_linenumber + l_orderkey) % 2 = 0 THEN 'tool' ELSE 'assistant' END AS role FROM lineitem)"""
 _TOTAL = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(24,6))"
 _V = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)"
 
+_A = "CAST(o_totalprice AS DECIMAL(18,2))"
 SQL = {
+    "q64_evidence_graph": """
+WITH RECURSIVE inputs AS (
+  SELECT 'CO' || l_orderkey AS calc_id, l_linenumber AS no, CASE l_linenumber % 4 WHEN 1 THEN 'CS' || l_suppkey WHEN 0 THEN 'assumption' ELSE 'B' || l_partkey END AS source_id FROM lineitem
+  UNION ALL SELECT 'CS' || s_suppkey, 1, 'CN' || s_nationkey FROM supplier UNION ALL SELECT 'CS' || s_suppkey, 2, 'S' || s_suppkey FROM supplier
+  UNION ALL SELECT 'CN' || n_nationkey, 1, 'N' || n_nationkey FROM nation UNION ALL SELECT 'CN' || s_nationkey, 2, 'CS' || min(s_suppkey) FROM supplier GROUP BY s_nationkey),
+sources AS (
+  SELECT 'B' || p_partkey AS source_id, p_brand AS file, 'size ' || p_size AS place FROM part UNION ALL SELECT 'S' || s_suppkey, 'Suppliers', s_name FROM supplier UNION ALL SELECT 'N' || n_nationkey, 'Nations', NULL FROM nation),
+walk AS (
+  SELECT o_orderkey, 'CO' || o_orderkey AS node, CAST([] AS INTEGER[]) AS steps, ['CO' || o_orderkey] AS way FROM orders
+  UNION ALL SELECT w.o_orderkey, i.source_id, list_append(w.steps, i.no), list_append(w.way, i.source_id) FROM walk w JOIN inputs i ON i.calc_id = w.node WHERE NOT list_contains(w.way, i.source_id)),
+leaves AS (SELECT * FROM walk WHERE node NOT IN (SELECT calc_id FROM inputs)),
+places AS (SELECT o_orderkey, coalesce(file, node) AS file, place, min(steps) AS steps FROM leaves LEFT JOIN sources ON node = source_id WHERE node <> 'assumption' GROUP BY ALL),
+files AS (SELECT o_orderkey, file, min(steps) AS steps, file || coalesce(' · ' || string_agg(place, ', ' ORDER BY steps, place), '') AS line FROM places GROUP BY o_orderkey, file),
+lines AS (SELECT o_orderkey, string_agg(line, '; ' ORDER BY steps, line) AS line FROM files GROUP BY o_orderkey),
+assumed AS (SELECT o_orderkey, count(*) FILTER (WHERE node = 'assumption') AS n FROM leaves GROUP BY o_orderkey)
+SELECT o_orderkey, concat_ws('; ', line, CASE WHEN n = 1 THEN '1 assumption' WHEN n > 1 THEN n || ' assumptions' END) AS line FROM assumed LEFT JOIN lines USING (o_orderkey)""",
+    "q65_exact_formulas": f"""
+WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS f, {_A} AS a, CAST(o_orderkey % 5 AS INTEGER) AS b, CAST(o_orderkey % 3 AS INTEGER) AS c FROM orders),
+r AS (SELECT *, CASE WHEN f = 1 AND b = 0 THEN 'division_by_zero' WHEN f = 2 AND b = 0 THEN 'zero_power' WHEN f = 3 THEN 'negative_base' WHEN f = 5 AND b = 4 THEN 'large_exponent' WHEN f = 6 THEN 'overflow' END AS code FROM o)
+SELECT o_orderkey, CASE WHEN code IS NOT NULL THEN NULL WHEN f = 0 THEN CAST((a - b) * CAST(0.25 AS DECIMAL(3,2)) AS DECIMAL(28,6)) WHEN f = 1 THEN CAST(round(CAST(a AS DOUBLE) / b, 6) AS DECIMAL(28,6))
+  WHEN f = 2 THEN CAST(round(power(CAST(b AS DOUBLE), -c), 6) AS DECIMAL(28,6)) WHEN f = 4 THEN CAST(round(sqrt(CAST(a AS DOUBLE)), 6) AS DECIMAL(28,6)) WHEN f = 7 THEN CAST(abs(b - c) * greatest(a, 4) AS DECIMAL(28,6)) END AS result,
+  f = 4 AS used_float, code FROM r""",
+    "q66_store_versions": "SELECT o_orderkey, 'W' || row_number() OVER (ORDER BY o_orderstatus, o_orderkey) AS id FROM orders WHERE o_orderstatus IN ('F', 'O')",
     "q56_ways_to_write": f"""WITH o AS (SELECT o_orderkey, {_V} AS v, CASE o_orderkey % 3 WHEN 0 THEN '$' WHEN 1 THEN 'CHF ' ELSE '' END AS pre, o_orderkey % 4 AS s, CASE o_orderkey % 3 WHEN 0 THEN '$' WHEN 1 THEN 'CHF' END AS sym FROM orders)
  SELECT o_orderkey, pre || format('{{:,.2f}}', v) || (['', 'k', 'm', 'bn'])[s + 1] || CASE WHEN v < 1000 THEN '' ELSE ' or ' || pre || CASE WHEN v >= 100000 THEN format('{{:,.0f}}', round(v / 1000, 0)) WHEN v >= 10000 THEN format('{{:,.1f}}', round(v / 1000, 1))
    ELSE format('{{:,.2f}}', round(v / 1000, 2)) END || (['k', 'm', 'bn', 'tn'])[s + 1] END AS ways,
@@ -100,4 +179,4 @@ SQL = {
  UNION ALL SELECT o_orderkey, 'Per share', 1, y, c, false, 'p', 0, NULL, c FROM o UNION ALL SELECT o_orderkey, 'Per share', 2, y - 1, 7, false, 'p', 0, NULL, 7 FROM o""",
 }
 
-QUERIES = {f.__name__: f for f in (q56_ways_to_write, q57_read_requests, q58_pages_to_read, q59_question_ids, q60_valid_calculations, q61_drafts, q62_denials, q63_block_values)}
+QUERIES = {f.__name__: f for f in (q64_evidence_graph, q65_exact_formulas, q66_store_versions, q56_ways_to_write, q57_read_requests, q58_pages_to_read, q59_question_ids, q60_valid_calculations, q61_drafts, q62_denials, q63_block_values)}

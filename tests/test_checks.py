@@ -90,17 +90,29 @@ def test_answers_and_calculations_of_a_turn(spark):
 
 
 def test_decisions_and_messages(spark, blocks):
-    texts = [(1, "q1", 1, "Sales fell sharply 3.0% [D1:p1:b1]. See [D1:p1:b2]."), (2, "q1", 2, "I can't say."), (3, "q2", 1, "Costs 34.15% [D1:p1:b1]."), (4, "q3", 1, "Hello."), (5, "q4", 1, "x")]
-    answers = spark.createDataFrame([(k, q, n, t, "cancelled" if k == 5 else None, k != 4, True) for k, q, n, t in texts], "answer_id int, question string, n int, text string, reason string, has_ledger boolean, has_documents boolean")
+    texts = [(1, "q1", 1, "Sales fell sharply 3.0% [D1:p1:b1]. See [D1:p1:b2]."), (2, "q1", 2, "I can't say."), (3, "q2", 1, "Costs 34.15% [D1:p1:b1]."), (4, "q3", 1, "Hello."), (5, "q4", 1, "x"), (6, "q5", 1, "x"), (7, "q5", 2, "Costs 34.15%."), (8, "q5", 3, "Hm."), (9, "q5", 4, "It is 1.2%.")]
+    answers = spark.createDataFrame([(k, q, n, t, "cancelled" if k in (5, 6, 8) else None, k != 4, True) for k, q, n, t in texts], "answer_id int, question string, n int, text string, reason string, has_ledger boolean, has_documents boolean")
     figures = checked_figures(answers, blocks)
-    told = D.figure_problems(figures).select("answer_id", F.col("figure_id").alias("place"), "problem")
-    empty = D.empty_problems(empty_citations(answers), blocks, "answer_id").select("answer_id", F.col("scope_id").alias("place"), "problem")
+    told = D.figure_problems(figures).select("answer_id", F.col("figure_id").alias("place"), "problem", F.lit(False).alias("empty"))
+    empty = D.empty_problems(empty_citations(answers), blocks, "answer_id").select("answer_id", F.col("scope_id").alias("place"), "problem", F.lit(True).alias("empty"))
     got = {r.answer_id: r for r in D.decisions(answers, figures, told.unionByName(empty), "answer_id", ["n"]).collect()}
     assert [got[k].decision for k in range(1, 6)] == ["deny", "allow", "allow", "allow", "not_checked"]
-    assert got[1].message.startswith("Attempt 1 of 4. Untraced figures (1 of 1):\n1. '3.0%' has the opposite sign or direction to D1:p1:b1\n2. citation [D1:p1:b2] has no figure next to it. Put the figure next to its citation, for example 3.0% [D1:p1:b2]\n")
+    assert got[1].message.startswith("Attempt 1 of 4. Untraced figures (1 of 1), citations without a figure: 1:\n1. '3.0%' has the opposite sign or direction to D1:p1:b1\n2. citation [D1:p1:b2] has no figure next to it. Put the figure next to its citation, for example 3.0% [D1:p1:b2]\n")
     assert got[2].attempt == 2 and "earlier draft was denied" in got[2].message
     assert got[3].message == "traceable: 1 figures traced" and got[4].message is None and got[5].message == "NOT CHECKED: cancelled"
+    # What was not checked is no attempt.
+    assert [got[k].attempt for k in (6, 7, 8, 9)] == [None, 1, None, 2] and got[9].message.startswith("Attempt 2 of 4")
     counts = {r.question: (r.checks, r.denials) for r in D.denials(spark.createDataFrame(list(got.values())), "question").collect()}
     assert counts["q1"] == (2, 1) and counts["q2"] == (1, 0)
     ids = spark.range(1).select(D.question_id(F.lit("s"), F.lit(2), F.lit("q")).alias("a"), D.question_id(F.lit("s"), F.lit(3), F.lit("q")).alias("b")).first()
     assert ids.a != ids.b and len(ids.a) == 12
+
+
+def test_hints_for_the_first_figures_and_words_for_near_misses(spark):
+    rows = [(1, f"1.0.0.{n}#0", f"{n}.5", "D1:p1:b1", "mismatch", "absent", n == 3) for n in range(1, 12)] + [(1, "1.1.0.0#0", "7", "D1:p1:b2", "mismatch", "currency+scale", False)]
+    figures = spark.createDataFrame(rows, "answer_id int, figure_id string, raw string, cite string, status string, why string, computable boolean")
+    hints = figures.select("figure_id", F.array(F.lit("D9:p1:b1")).alias("found"))
+    got = {r.figure_id: r.problem for r in D.figure_problems(figures, hints).collect()}
+    assert [n for n in range(1, 12) if "it appears in D9:p1:b1" in got[f"1.0.0.{n}#0"]] == [1, 2, 3, 4, 5]
+    assert got["1.0.0.3#0"].endswith(D.COMPUTED) and not got["1.0.0.2#0"].endswith(D.COMPUTED)
+    assert got["1.1.0.0#0"] == "'7' has another currency than D1:p1:b2, and has another scale than D1:p1:b2"
