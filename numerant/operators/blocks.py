@@ -87,7 +87,9 @@ def block_values(blocks: DataFrame) -> DataFrame:
 
     # Figures, in their lines and columns.
     found = extract_figures(base.select(F.col("block").alias("key"), "text"), "key", exempt=False).withColumnRenamed("key", "block")
-    placed = found.join(flow.select("block", "line", "t", "begin", "in_table", "is_head", "spec", "label", "row_scale", "row_currency"), "block")
+    # As one column, so that both uses below ask for the same exchange and texts are read once.
+    found = found.select("block", F.struct(*[c for c in found.columns if c != "block"]).alias("_figure"))
+    placed = found.join(flow.select("block", "line", "t", "begin", "in_table", "is_head", "spec", "label", "row_scale", "row_currency"), "block").select("*", "_figure.*").drop("_figure")
     placed = placed.filter((F.col("start") >= F.col("begin")) & (F.col("start") <= F.col("begin") + F.length("t")))
     ahead = F.substring("t", 1, F.col("start") - F.col("begin"))
     placed = placed.withColumn("col", F.when(F.col("in_table"), F.length(ahead) - F.length(F.replace(ahead, F.lit("|"), F.lit(""))) - 1))

@@ -125,7 +125,8 @@ def _charges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q53_block_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that say of a falling charge that it falls, rises or stands, exactly or rounded, near words of derived
-    figures, or with the question's own number, against blocks read from text."""
+    figures, or with the question's own number, or give a fee in another currency, scale, unit or sign, against blocks
+    read from text."""
     rows = _charges(spark, sf_dir)
     cite = F.concat(F.lit(" [D"), F.col("answer_id"), F.lit(":p1:b1]."))
     said = [
@@ -134,9 +135,11 @@ def q53_block_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     text = F.concat(F.lit("I take the "), "x", F.lit("% as given."))
     for k, (words, number) in enumerate(said):
-        text = F.when(F.col("answer_id") % 8 == k, F.concat(F.lit(words), number, F.lit("%"), cite)).otherwise(text)
-    question = F.concat(F.lit("Is it "), F.when(F.col("answer_id") % 16 == 7, F.col("x")).otherwise("99.5"), F.lit("%?"))
-    blocks = rows.select(F.concat(F.lit("D"), "answer_id", F.lit(":p1:b1")).alias("block"), F.concat(F.lit("The charge, after two years, fell again "), "x", F.lit("%.")).alias("text"))
+        text = F.when(F.col("answer_id") % 12 == k, F.concat(F.lit(words), number, F.lit("%"), cite)).otherwise(text)
+    for k, (before, after) in enumerate([("£", "m"), ("$", "k"), ("", " kg"), ("-$", "m")], 8):
+        text = F.when(F.col("answer_id") % 12 == k, F.concat(F.lit("The fee was " + before), "x", F.lit(after), cite)).otherwise(text)
+    question = F.concat(F.lit("Is it "), F.when(F.col("answer_id") % 24 == 7, F.col("x")).otherwise("99.5"), F.lit("%?"))
+    blocks = rows.select(F.concat(F.lit("D"), "answer_id", F.lit(":p1:b1")).alias("block"), F.concat(F.lit("The charge, after two years, fell again "), "x", F.lit("%. The fee was $"), "x", F.lit("m.")).alias("text"))
     return checked_figures(rows.select("answer_id", text.alias("text"), question.alias("question")), block_values(blocks), question="question").select("answer_id", "status", "why")
 
 
@@ -188,7 +191,7 @@ sized AS (SELECT *, CAST(v AS DOUBLE) * f AS size, d * f / 2 AS half, abs(CAST(v
 near AS (SELECT *, round(apart, 4) = 0 OR (round(apart, 4) <= half AND round(apart, 4) <= 0.02 * CAST(p AS DOUBLE)) AS close FROM sized)
 """
 _CHARGES = """
-o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS c8, CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) % 1000 AS DECIMAL(18,2)) AS cents FROM orders),
+o AS (SELECT o_orderkey AS k, o_orderkey % 12 AS c12, CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) % 1000 AS DECIMAL(18,2)) AS cents FROM orders),
 n AS (SELECT *, CAST(cents * CAST(0.01 AS DECIMAL(3,2)) + 1 AS DECIMAL(18,2)) AS x FROM o),
 m AS (SELECT *, CAST(round(x, 1) AS DECIMAL(18,2)) AS y FROM n),
 r AS (SELECT *, abs(x - y) <= 0.05 AND abs(x - y) <= CAST(0.02 AS DECIMAL(3,2)) * x AS fits, abs(x - y) <= 0.05 AND abs(x - y) <= CAST(0.25 AS DECIMAL(3,2)) * x AS near FROM m)
@@ -225,9 +228,9 @@ SELECT o_orderkey, asked IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.o_custke
  n AS (SELECT answer_id, count(*) AS n, count(*) FILTER (WHERE good) AS t, count(*) FILTER (WHERE NOT good) AS u FROM s GROUP BY answer_id)
  SELECT answer_id, u = 0 AS ok, n || ' figures: ' || concat_ws(', ', CASE WHEN t > 0 THEN t || ' traced' END, CASE WHEN u > 0 THEN u || ' unsupported' END) AS verdict FROM n""",
     "q53_block_check": f"""WITH {_CHARGES}
- SELECT k AS answer_id, CASE c8 WHEN 0 THEN 'derived_needs_calc' WHEN 1 THEN 'traced' WHEN 2 THEN 'traced' WHEN 3 THEN 'mismatch' WHEN 4 THEN 'traced' WHEN 5 THEN CASE WHEN y = x THEN 'traced' ELSE 'derived_needs_calc' END
-   WHEN 6 THEN CASE WHEN fits THEN 'traced' ELSE 'mismatch' END ELSE CASE WHEN k % 16 = 7 THEN 'from_question' ELSE 'untraced' END END AS status,
-  CASE WHEN c8 = 3 THEN 'opposite' WHEN c8 = 6 AND NOT fits THEN 'absent' END AS why FROM r""",
+ SELECT k AS answer_id, CASE c12 WHEN 0 THEN 'derived_needs_calc' WHEN 1 THEN 'traced' WHEN 2 THEN 'traced' WHEN 3 THEN 'mismatch' WHEN 4 THEN 'traced' WHEN 5 THEN CASE WHEN y = x THEN 'traced' ELSE 'derived_needs_calc' END
+   WHEN 6 THEN CASE WHEN fits THEN 'traced' ELSE 'mismatch' END WHEN 7 THEN CASE WHEN k % 24 = 7 THEN 'from_question' ELSE 'untraced' END ELSE 'mismatch' END AS status,
+  CASE c12 WHEN 3 THEN 'opposite' WHEN 6 THEN CASE WHEN NOT fits THEN 'absent' END WHEN 8 THEN 'currency' WHEN 9 THEN 'scale' WHEN 10 THEN 'unit' WHEN 11 THEN 'sign' END AS why FROM r""",
     "q54_score_answers": f"""WITH {_CHARGES}, s AS (SELECT k AS qid, k % 6 AS c,
    CASE WHEN k % 6 = 1 THEN CASE WHEN near THEN 0 ELSE 1 END WHEN k % 6 = 5 THEN 1 WHEN k % 6 = 3 THEN 0 ELSE 0 END AS missing,
    CASE WHEN k % 6 = 1 THEN CASE WHEN near THEN 0 ELSE 1 END WHEN k % 6 = 4 AND k % 12 <> 4 THEN 1 ELSE 0 END AS wrong, CASE WHEN k % 6 = 1 THEN 1 ELSE 0 END AS unsaid FROM r)
