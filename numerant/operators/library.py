@@ -12,7 +12,6 @@ from numerant.operators.citations import expanded, quote_ids
 from numerant.operators.retrieval import page_holding
 
 CHUNKS = 2
-MOST_DOCUMENTS = 100_000
 
 
 def chunk_page(text: Column) -> Column:
@@ -52,14 +51,34 @@ def best_chunks(chunks: DataFrame, questions: DataFrame, key: str, doc: str, k:
     return ranked.filter(F.col("_r") <= k).drop("_r", "_asked")
 
 
+ANCHOR = 6  # characters by which names that hold each other meet
+
+
+def _anchors(text: Column) -> Column:
+    """All stretches of a text of up to ``ANCHOR`` characters."""
+    n = F.length(text)
+    of_size = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, k))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(ANCHOR))), of_size)))
+
+
+def _held(short: DataFrame, long: DataFrame, inner: str, outer: str) -> DataFrame:
+    """Pairs of rows where the text ``inner`` of ``short`` stands in ``outer`` of ``long``: they meet by the first characters of
+    the shorter one, and are then compared."""
+    probes = short.filter(F.length(inner) > 0).withColumn("_gram", F.substring(inner, 1, ANCHOR))
+    places = long.filter(F.length(outer) > 0).withColumn("_gram", F.explode(_anchors(F.col(outer))))
+    return probes.join(places, "_gram").filter(F.col(outer).contains(F.col(inner))).select("ref_id", "doc_id", "name", "pos")
+
+
 def matched_documents(references: DataFrame, documents: DataFrame) -> DataFrame:
-    """Each reference (ref_id, title) with the first document (doc_id, pos, name) that it names: the same name, or one
-    that holds the other. A library's list of documents goes to every task, so one of more than ``MOST_DOCUMENTS`` is an
-    error; references without a document are left out."""
-    if documents.limit(MOST_DOCUMENTS + 1).count() > MOST_DOCUMENTS:
-        raise ValueError(f"a library has at most {MOST_DOCUMENTS} documents")
-    title, name = F.lower(F.coalesce("title", F.lit(""))), F.lower("name")
-    pairs = references.join(F.broadcast(documents), (title == name) | title.contains(name) | name.contains(title))
+    """Each reference (ref_id, title) with the first document (doc_id, pos, name) that it names: the same name, or one that
+    holds the other. Names without a letter of case differ in nothing; an empty title names the first document, and an
+    empty name is named by all. References without a document are left out."""
+    refs = references.select("ref_id", F.lower(F.coalesce("title", F.lit(""))).alias("_title"))
+    docs = documents.select("doc_id", "pos", "name", F.lower(F.coalesce("name", F.lit(""))).alias("_name"))
+    one = lambda rows: rows.agg(F.min_by(F.struct("doc_id", "name", "pos"), "pos").alias("d")).filter("d is not null").select("d.*")
+    always = refs.crossJoin(F.broadcast(one(docs.filter("_name = ''")))).select("ref_id", "doc_id", "name", "pos")  # one row
+    untitled = refs.filter("_title = ''").crossJoin(F.broadcast(one(docs))).select("ref_id", "doc_id", "name", "pos")  # one row
+    pairs = _held(docs, refs, "_name", "_title").union(_held(refs, docs, "_title", "_name")).union(always).union(untitled)
     return pairs.groupBy("ref_id").agg(F.min_by(F.struct("doc_id", "name"), "pos").alias("d")).select("ref_id", "d.*")
 
 
@@ -115,14 +134,12 @@ def library_passages(references: DataFrame, chunks: DataFrame, documents: DataFr
     found = found.withColumn("_nth", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("ref_id"))).filter("_nth = 1").drop("_nth")  # a document once for each question
     within = ["ref_id", "doc_id"]
     paged = found.select(*within).join(pages, "doc_id").select(*within, "page", F.posexplode(F.split("text", "\n")).alias("_l", "text")).filter(F.trim("text") != "")
-    paged = paged.withColumn("line", F.row_number().over(Window.partitionBy(*within).orderBy("page", "_l")))
-    lead = best_lines(asked, paged.filter(printed_page(F.col("text")).isNull()), "ref_id", within, k).groupBy(*within).agg(F.min("line").alias("line"))
-    one = lead.join(paged.select(*within, "line", "page"), [*within, "line"]).select(*within, "page")
-    second = _passages(asked, paged.join(one, [*within, "page"]).select(*within, "line", "text"), within, k).drop("page").join(one, within)
+    paged = paged.filter(printed_page(F.col("text")).isNull()).withColumn("line", F.row_number().over(Window.partitionBy(*within).orderBy("page", "_l"))).drop("_l")
+    second = _on_one_page(asked, paged, within, k)
     second = second.select(*within, F.lit(None).cast("int").alias("chunk"), F.lit("pages").alias("strategy"), F.col("page").cast("int").alias("page"), "text")
 
     plain = found.select(*within).join(pages.select("doc_id").distinct(), "doc_id", "left_anti").join(texts, "doc_id").select(*within, F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.trim("text") != "")
-    third = _passages(asked, plain, within, k).select(*within, F.lit(None).cast("int").alias("chunk"), F.lit("text").alias("strategy"), "page", "text")
+    third = _in_plain_text(asked, plain, within, k).select(*within, F.lit(None).cast("int").alias("chunk"), F.lit("text").alias("strategy"), "page", "text")
     return first.unionByName(second).unionByName(third)
 
 
@@ -138,6 +155,44 @@ def _passages(asked: DataFrame, lines: DataFrame, within: list[str], k: int) ->
     return one.select(*within, F.col("f.page").alias("page"), F.array_join(F.concat(unit, head, "kept"), "\n").alias("text"))
 
 
+def _told(kept: DataFrame, within: list[str], page: Column, unit: Column, head: Column) -> DataFrame:
+    """within, page and text: the unit line, if it isn't kept and there is no header, the lines of the header that
+    aren't kept, and the kept lines in order."""
+    one = kept.groupBy(*within).agg(F.any_value(page).alias("page"), F.any_value(unit).alias("_unit"), F.any_value(head).alias("_head"), F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("_kept"))
+    none = F.array().cast("array<string>")
+    more = F.array_except(F.coalesce("_head", none), "_kept")
+    first = F.when(F.col("_unit").isNotNull() & (F.size(more) == 0) & ~F.array_contains("_kept", F.col("_unit")), F.array("_unit")).otherwise(none)
+    return one.select(*within, "page", F.array_join(F.concat(first, more, "_kept"), "\n").alias("text"))
+
+
+def _on_one_page(asked: DataFrame, lines: DataFrame, within: list[str], k: int) -> DataFrame:
+    """Of documents' lines (within, page, line, text, no running heads): of the k lines that say most, those in the table of
+    the first one, or else on its page; with the table's header, or the nearest line that states a unit at or above
+    the table or the line, on that page."""
+    placed = with_place(lines.withColumnRenamed("page", "_page_no"), [*within, "_page_no"])
+    of_table = Window.partitionBy(*within, "_page_no", "table")
+    inside = F.col("table").isNotNull() & (F.count(F.lit(1)).over(of_table) > 1)
+    begins = F.first("unit").over(of_table.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = placed.withColumns({"_table": F.when(inside, F.col("table")), "_unit": F.when(inside, begins).otherwise(F.col("unit"))})
+    kept = best_lines(asked, lines.select(*within, "line", "text"), "ref_id", within, k).select(*within, "line").join(placed, [*within, "line"])
+    first = F.min(F.struct("line", F.col("_page_no").alias("page"), F.col("_table").alias("table"), F.col("_unit").alias("unit"), "header")).over(Window.partitionBy(*within))
+    kept = kept.withColumn("_first", first).filter((F.col("_page_no") == F.col("_first.page")) & (F.col("_first.table").isNull() | F.col("_table").eqNullSafe(F.col("_first.table"))))
+    head = F.when(F.col("_first.table").isNotNull(), F.col("_first.header"))
+    return _told(kept, within, F.col("_first.page"), F.col("_first.unit"), head)
+
+
+def _in_plain_text(asked: DataFrame, lines: DataFrame, within: list[str], k: int) -> DataFrame:
+    """Of documents' plain texts the k lines that say most, with the nearest line above the last of them that states a unit,
+    paged by the running head at or above the first."""
+    placed = with_place(lines, within)
+    above = Window.partitionBy(*within).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_unit", F.last(F.when(F.col("text").rlike(UNIT_LINE), F.col("text")), ignorenulls=True).over(above))
+    kept = best_lines(asked, placed.filter(~F.col("is_head")).select(*within, "line", "text"), "ref_id", within, k).select(*within, "line").join(placed, [*within, "line"])
+    whole = Window.partitionBy(*within)
+    kept = kept.withColumns({"_first": F.min(F.struct("line", "page")).over(whole), "_last": F.max(F.struct("line", "_unit")).over(whole)})
+    return _told(kept, within, F.col("_first.page"), F.col("_last._unit"), F.lit(None).cast("array<string>"))
+
+
 def web_passages(sources: DataFrame, pages: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
     """One block per source of a web search that has a passage with figures: source_id, url, title, text. ``sources``:
     source_id, qid, url, title, snippets; without snippets the page (``pages``: url, html) is read. ``questions``: qid,

@@ -32,6 +32,37 @@ def test_library_passages(spark):
     assert B.library_passages(none, chunks, documents, pages, texts, questions).count() == 0
 
 
+def test_passages_of_one_table_page_or_text(spark):
+    """As a plain loop would choose them: one table of one page, or the lines of one page, or those of a text."""
+    questions = spark.createDataFrame([(1, "revenue profit", "")], "qid int, text string, answer string")
+    refs = spark.createDataFrame([(k, 1, t, None) for k, t in enumerate(["tables", "lines", "plain"])], "ref_id int, qid int, title string, summary string")
+    documents = spark.createDataFrame([("t", 0, "tables"), ("l", 1, "lines"), ("p", 2, "plain")], "doc_id string, pos int, name string")
+    chunks = spark.createDataFrame([], "ref_id int, chunk int, text string")
+    tables = "in millions\nRevenue and profit 1 stand below\n| a | 2024 |\n|---|---|\n| revenue | 5 |\n| cost | 4 |\nthen\n| b | 2023 |\n|---|---|\n| profit | 6 |"
+    pages = spark.createDataFrame([
+        ("t", 1, "| revenue of | 2022 |\n|---|---|\n| profit | 3 |"), ("t", 2, tables), ("l", 1, "GBPm\nrevenue was 3"), ("l", 2, "£m\nrevenue and profit were 7\nand 8\nprofit 9"),
+    ], "doc_id string, page int, text string")
+    texts = spark.createDataFrame([("p", "140 Annual Report 2024 | x\nGBPm\nRevenue was 12\nin millions\nOther\nprofit 13\n| revenue | 5 |\n141 Annual Report 2024 | x")], "doc_id string, text string")
+    got = {r.ref_id: (r.page, r.text) for r in B.library_passages(refs, chunks, documents, pages, texts, questions).collect()}
+    assert got == {
+        0: (1, "|---|---|\n| revenue of | 2022 |\n| profit | 3 |"), 1: (1, "GBPm\nrevenue was 3"), 2: (140, "in millions\nRevenue was 12\nprofit 13\n| revenue | 5 |"),
+    }
+
+
+def test_documents_by_names_that_hold_each_other(spark):
+    names = ["Accounts 2024", "accounts", "", "é", "Ab", "report of the accounts 2024 in full", "zz"]
+    titles = ["ACCOUNTS 2024", "the accounts", "a", "", None, "x é y", "full", "ab initio", "report", "q"]
+    for skipped in ((), ("",)):
+        docs = [(f"d{k}", k, n) for k, n in enumerate(names) if n not in skipped]
+        found = B.matched_documents(spark.createDataFrame(list(enumerate(titles)), "ref_id int, title string"), spark.createDataFrame(docs, "doc_id string, pos int, name string"))
+        want = {}
+        for r, t in enumerate(titles):
+            low = (t or "").lower()
+            d = next((d for d, _, n in docs if n.lower() in low or low in n.lower()), None)
+            want |= {r: d} if d else {}
+        assert {r.ref_id: r.doc_id for r in found.collect()} == want
+
+
 def test_best_lines_fall_back_and_keep_order(spark):
     lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(["two 2", "apples 3", "Apples 3", "no number", "red apples 4"])], "d int, line int, text string")
     asked = spark.createDataFrame([(1, "red apples")], "d int, text string")
