@@ -46,7 +46,7 @@ CLASSES, BYTE_LETTERS = _classes(), _byte_letters()
 class Encoder:
     """``ids(texts)`` gives the ids of each text as bytes: unsigned 32-bit little-endian integers."""
 
-    def __init__(self, path: str, memo: int = 60_000):
+    def __init__(self, path: str, memo: int = 150_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None  # then blanks leave no ids and each digit is a piece
