@@ -171,6 +171,29 @@ def formula_problems(formula: Column, names: Column, documents: Column) -> Colum
     return F.pandas_udf(told, "string")(formula, names, documents)
 
 
+def identifier(name: Column) -> Column:
+    """A name that formulas may hold, made of any text: letters and digits in lower case, all else as one underline between
+    them; ``x_`` before a digit or nothing."""
+    plain = F.lower(F.regexp_replace(F.regexp_replace(name, r"[^0-9A-Za-z]+", "_"), r"^_+|_+$", ""))
+    return F.when(plain.rlike(r"^[a-z_]"), plain).otherwise(F.concat(F.lit("x_"), plain))
+
+
+def renamed(formula: Column, names: Column) -> tuple[Column, Column]:
+    """A formula with the ``names`` (an array) that it can't hold replaced by identifiers, the longest first, so that names
+    may hold each other; and the array of what was renamed (old, new). Names with the same identifier are told apart
+    by a number, in their order."""
+    bad = F.array_distinct(F.filter(names, lambda n: ~n.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$")))
+    made = F.transform(bad, lambda n: F.struct(n.alias("old"), identifier(n).alias("slug")))
+
+    def numbered(pair: Column, k: Column) -> Column:
+        before = F.size(F.filter(F.slice(made, F.lit(1), k), lambda other: other["slug"] == pair["slug"]))
+        return F.struct(pair["old"].alias("old"), F.when(before > 0, F.concat(pair["slug"], F.lit("_"), (before + 1).cast("string"))).otherwise(pair["slug"]).alias("new"))
+
+    pairs = F.transform(made, numbered)
+    longest = F.array_sort(pairs, lambda a, b: F.coalesce(F.nullif(F.length(b["old"]) - F.length(a["old"]), F.lit(0)), F.when(a["old"] < b["old"], -1).otherwise(1)))
+    return F.aggregate(longest, formula, lambda text, pair: F.replace(text, pair["old"], pair["new"])), pairs
+
+
 def displayed(value: Column, kind: str = "num", currency: str = "", suffix: str = "") -> Column:
     """A result as it is shown: percentages with at least one decimal and three significant digits, money with two
     decimals, other numbers with three significant digits; halves away from zero."""

@@ -69,3 +69,12 @@ def page_holding(rows: DataFrame, passage_key: str, page_key: str) -> DataFrame:
     best = counts.groupBy(passage_key).agg(F.max(F.struct("n", page_key)).alias("top"), F.max("n").alias("most"))
     ties = counts.join(best, passage_key).filter("n = most").groupBy(passage_key).agg(F.count(F.lit(1)).alias("pages"))
     return best.join(ties, passage_key).select(passage_key, F.when(F.col("pages") == 1, F.col(f"top.{page_key}")).alias(page_key), F.col("most").alias("n_rows"))
+
+
+def figures_there(values: DataFrame, block: str = "block", raw: str = "raw", k: int = 15) -> DataFrame:
+    """block and ``figures``: the first k different figures of each block, as they are written, in the order of text: what
+    is said where an input isn't found. Repeats are dropped and ranks bounded before anything is brought together, so
+    that a block with very many figures is no large row. Null figures are none."""
+    each = values.select(block, F.trim(raw).alias("_raw")).filter("_raw is not null").distinct()
+    first = each.withColumn("_r", F.row_number().over(Window.partitionBy(block).orderBy("_raw"))).filter(F.col("_r") <= k)
+    return first.groupBy(block).agg(F.array_join(F.sort_array(F.collect_list("_raw")), ", ").alias("figures"))

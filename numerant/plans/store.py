@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from numerant.functions.numeric import shown
 from numerant.operators.blocks import block_values
+from numerant.operators.calculation import renamed
 from numerant.operators.claims import amount
 from numerant.operators.denials import denials, question_id
 from numerant.operators.evaluation import drafts
 from numerant.operators.evidence import evidence, evidence_lines
 from numerant.operators.exact import exactly
 from numerant.operators.ledger import pages_to_read, read_problems
+from numerant.operators.retrieval import figures_there
 from numerant.operators.results import rewrites, stated_as
 from numerant.operators.turns import valid_calculations
 from numerant.sources.tables import dealt, table
@@ -132,10 +134,25 @@ def q66_store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ids(current(spark, path), "W", "id").select("o_orderkey", "id")
 
 
+def q67_figures_there(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as blocks whose figures are the quantities of their items."""
+    values = table(spark, sf_dir, "lineitem").select("l_suppkey", F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(" units")).alias("raw"))
+    return figures_there(values, "l_suppkey")
+
+
+def q68_renamed_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas over the names and types of parts, which are no identifiers."""
+    formula = F.concat("p_name", F.lit(" / ("), "p_type", F.lit(" - "), "p_name", F.lit(") + rest"))
+    text, pairs = renamed(formula, F.array("p_name", "p_type", F.lit("rest")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("formula"), F.size(pairs).cast("long").alias("renamed"))
+
+
 _MESSAGES = """m AS (SELECT l_orderkey AS conv_id, l_linenumber AS turn, CASE WHEN l_linenumber % 3 = 1 THEN 'user' WHEN (l_linenumber + l_orderkey) % 2 = 0 THEN 'tool' ELSE 'assistant' END AS role FROM lineitem)"""
 _TOTAL = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(24,6))"
 _V = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)"
 
+_SLUG = "lower(trim(regexp_replace({}, '[^0-9A-Za-z]+', '_', 'g'), '_'))"
+_NAME, _TYPE = _SLUG.format("p_name"), _SLUG.format("p_type")
 _A = "CAST(o_totalprice AS DECIMAL(18,2))"
 SQL = {
     "q64_evidence_graph": """
@@ -160,6 +177,9 @@ r AS (SELECT *, CASE WHEN f = 1 AND b = 0 THEN 'division_by_zero' WHEN f = 2 AND
 SELECT o_orderkey, CASE WHEN code IS NOT NULL THEN NULL WHEN f = 0 THEN CAST((a - b) * CAST(0.25 AS DECIMAL(3,2)) AS DECIMAL(28,6)) WHEN f = 1 THEN CAST(round(CAST(a AS DOUBLE) / b, 6) AS DECIMAL(28,6))
   WHEN f = 2 THEN CAST(round(power(CAST(b AS DOUBLE), -c), 6) AS DECIMAL(28,6)) WHEN f = 4 THEN CAST(round(sqrt(CAST(a AS DOUBLE)), 6) AS DECIMAL(28,6)) WHEN f = 7 THEN CAST(abs(b - c) * greatest(a, 4) AS DECIMAL(28,6)) END AS result,
   f = 4 AS used_float, code FROM r""",
+    "q67_figures_there": "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' units'))[1:15], ', ') AS figures FROM lineitem GROUP BY l_suppkey",
+    "q68_renamed_formulas": f"""WITH p AS (SELECT p_partkey, p_name, p_type, NOT regexp_matches(p_name, '^[A-Za-z_][A-Za-z0-9_]*$') AS n, NOT regexp_matches(p_type, '^[A-Za-z_][A-Za-z0-9_]*$') AS t FROM part)
+ SELECT p_partkey, CASE WHEN n THEN {_NAME} ELSE p_name END || ' / (' || CASE WHEN t THEN {_TYPE} ELSE p_type END || ' - ' || CASE WHEN n THEN {_NAME} ELSE p_name END || ') + rest' AS formula, CAST(n AS BIGINT) + CAST(t AS BIGINT) AS renamed FROM p""",
     "q66_store_versions": "SELECT o_orderkey, 'W' || row_number() OVER (ORDER BY o_orderstatus, o_orderkey) AS id FROM orders WHERE o_orderstatus IN ('F', 'O')",
     "q56_ways_to_write": f"""WITH o AS (SELECT o_orderkey, {_V} AS v, CASE o_orderkey % 3 WHEN 0 THEN '$' WHEN 1 THEN 'CHF ' ELSE '' END AS pre, o_orderkey % 4 AS s, CASE o_orderkey % 3 WHEN 0 THEN '$' WHEN 1 THEN 'CHF' END AS sym FROM orders)
  SELECT o_orderkey, pre || format('{{:,.2f}}', v) || (['', 'k', 'm', 'bn'])[s + 1] || CASE WHEN v < 1000 THEN '' ELSE ' or ' || pre || CASE WHEN v >= 100000 THEN format('{{:,.0f}}', round(v / 1000, 0)) WHEN v >= 10000 THEN format('{{:,.1f}}', round(v / 1000, 1))
@@ -179,4 +199,4 @@ SELECT o_orderkey, CASE WHEN code IS NOT NULL THEN NULL WHEN f = 0 THEN CAST((a
  UNION ALL SELECT o_orderkey, 'Per share', 1, y, c, false, 'p', 0, NULL, c FROM o UNION ALL SELECT o_orderkey, 'Per share', 2, y - 1, 7, false, 'p', 0, NULL, 7 FROM o""",
 }
 
-QUERIES = {f.__name__: f for f in (q64_evidence_graph, q65_exact_formulas, q66_store_versions, q56_ways_to_write, q57_read_requests, q58_pages_to_read, q59_question_ids, q60_valid_calculations, q61_drafts, q62_denials, q63_block_values)}
+QUERIES = {f.__name__: f for f in (q64_evidence_graph, q65_exact_formulas, q66_store_versions, q67_figures_there, q68_renamed_formulas, q56_ways_to_write, q57_read_requests, q58_pages_to_read, q59_question_ids, q60_valid_calculations, q61_drafts, q62_denials, q63_block_values)}

@@ -7,8 +7,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from numerant.operators import calculation as C
 from numerant.operators import evidence as V
 from numerant.operators import exact as X
+from numerant.operators import retrieval as R
 from numerant.operators.turns import attempts, selected_answers
 from numerant.sources import versions as S
 from numerant.streaming import live
@@ -129,3 +131,19 @@ def test_exact_formulas(spark):
     assert got[99][2] == got[98][2] == "unknown_name"
     with pytest.raises(ValueError):
         X.tree("a +")
+
+
+def test_names_that_hold_each_other(spark):
+    cases = [
+        (1, "Operating profit FY2024 / Operating profit + x", ["Operating profit", "Operating profit FY2024", "x"], "operating_profit_fy2024 / operating_profit + x", 2),
+        (2, "a b + a-b + a.b", ["a b", "a-b", "a.b"], "a_b + a_b_2 + a_b_3", 3), (3, "2024 sales - %", ["2024 sales", "%"], "x_2024_sales - x_", 2), (4, "x + y", ["x", "y"], "x + y", 0), (5, "x", [], "x", 0),
+    ]
+    table = spark.createDataFrame([c[:3] for c in cases], "k int, f string, names array<string>")
+    text, pairs = C.renamed(F.col("f"), F.col("names"))
+    assert {r.k: (r.t, r.n) for r in table.select("k", text.alias("t"), F.size(pairs).alias("n")).collect()} == {c[0]: c[3:] for c in cases}
+
+
+def test_figures_that_are_there(spark):
+    values = spark.createDataFrame([("B1", f" {k % 40} ") for k in range(200)] + [("B2", None), ("B3", "7"), ("B3", "7 ")], "block string, raw string")
+    got = {r.block: r.figures for r in R.figures_there(values).collect()}
+    assert got == {"B1": ", ".join(sorted(map(str, range(40)))[:15]), "B3": "7"}
