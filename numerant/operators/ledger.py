@@ -39,6 +39,25 @@ def captions(rows: DataFrame, within: str, order: list[Column], is_table: Column
     return rows.withColumn("caption", F.when(is_table, F.last(F.when(states_scale & ~is_table, text), ignorenulls=True).over(island))).drop("_island")
 
 
+def cached(requests: DataFrame, entries: DataFrame, keys: list[str], pages: str = "pages") -> DataFrame:
+    """``requests`` (``keys`` and pages, null for all) with what a cache holds for them: level (``pages``: read for just these
+    pages; ``file``: for the whole file; null: a miss, which must be read) and the other columns of ``entries`` (keys, pages,
+    null for whole files, and results). Repeated requests count once; of several entries for the same the smallest counts.
+    """
+    others = [c for c in entries.columns if c not in [*keys, pages]]
+    held = entries.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(pages).alias("_pages"), F.struct(*others).alias("_entry"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    exact = F.coalesce(F.col("_pages").eqNullSafe(F.col(pages)), F.lit(False))
+    asked = requests.select(*keys, pages).distinct()
+    met = asked.join(held, on & (exact | F.col("_pages").isNull()), "left")
+    rank = F.when(F.col("_entry").isNotNull(), F.struct(F.when(exact, 0).otherwise(1).alias("rank"), F.col("_entry").alias("entry")))
+    best = met.groupBy(*keys, pages).agg(F.min(rank).alias("_best"))
+    level = F.when(F.col("_best.rank") == 0, F.when(F.col(pages).isNull(), "file").otherwise("pages")).when(F.col("_best.rank") == 1, "file")
+    return best.select(*keys, pages, level.alias("level"), *[F.col(f"_best.entry.{c}").alias(c) for c in others])
+
+
 # How many pages one request may ask for.
 MOST_PAGES = 30
 

@@ -13,7 +13,7 @@ from numerant.operators.denials import denials, question_id
 from numerant.operators.evaluation import drafts
 from numerant.operators.evidence import evidence, evidence_lines
 from numerant.operators.exact import exactly
-from numerant.operators.ledger import pages_to_read, read_problems
+from numerant.operators.ledger import cached, pages_to_read, read_problems
 from numerant.operators.retrieval import figures_there
 from numerant.operators.results import rewrites, stated_as
 from numerant.operators.turns import valid_calculations
@@ -147,6 +147,17 @@ def q68_renamed_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.alias("formula"), F.size(pairs).cast("long").alias("renamed"))
 
 
+def q69_cached_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as requests for a page of an order: a third of the pages are cached, and every other order as a whole."""
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    page = F.when(F.col("l_linenumber") < 6, F.col("l_linenumber"))
+    requests = items.select(F.col("l_orderkey").alias("sha"), F.col("l_returnflag").alias("model"), page.alias("pages"))
+    pages = items.filter("l_partkey % 3 = 0 and l_linenumber < 6").select(F.col("l_orderkey").alias("sha"), F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("pages"), F.col("l_partkey").alias("result"))
+    whole = orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("sha"), F.lit("N").alias("model"), F.lit(None).cast("int").alias("pages"), F.col("o_custkey").alias("result"))
+    found = cached(requests, pages.unionByName(whole), ["sha", "model"])
+    return found.select(F.col("sha").alias("o_orderkey"), "model", "pages", "level", "result")
+
+
 _MESSAGES = """m AS (SELECT l_orderkey AS conv_id, l_linenumber AS turn, CASE WHEN l_linenumber % 3 = 1 THEN 'user' WHEN (l_linenumber + l_orderkey) % 2 = 0 THEN 'tool' ELSE 'assistant' END AS role FROM lineitem)"""
 _TOTAL = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(24,6))"
 _V = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)"
@@ -177,6 +188,11 @@ r AS (SELECT *, CASE WHEN f = 1 AND b = 0 THEN 'division_by_zero' WHEN f = 2 AND
 SELECT o_orderkey, CASE WHEN code IS NOT NULL THEN NULL WHEN f = 0 THEN CAST((a - b) * CAST(0.25 AS DECIMAL(3,2)) AS DECIMAL(28,6)) WHEN f = 1 THEN CAST(round(CAST(a AS DOUBLE) / b, 6) AS DECIMAL(28,6))
   WHEN f = 2 THEN CAST(round(power(CAST(b AS DOUBLE), -c), 6) AS DECIMAL(28,6)) WHEN f = 4 THEN CAST(round(sqrt(CAST(a AS DOUBLE)), 6) AS DECIMAL(28,6)) WHEN f = 7 THEN CAST(abs(b - c) * greatest(a, 4) AS DECIMAL(28,6)) END AS result,
   f = 4 AS used_float, code FROM r""",
+    "q69_cached_pages": """
+WITH r AS (SELECT DISTINCT l_orderkey AS o_orderkey, l_returnflag AS model, CASE WHEN l_linenumber < 6 THEN l_linenumber END AS pages FROM lineitem),
+p AS (SELECT l_orderkey AS k, l_returnflag AS m, l_linenumber AS n, min(l_partkey) AS result FROM lineitem WHERE l_partkey % 3 = 0 AND l_linenumber < 6 GROUP BY ALL)
+SELECT r.o_orderkey, model, pages, CASE WHEN p.result IS NOT NULL THEN 'pages' WHEN o.o_custkey IS NOT NULL THEN 'file' END AS level, coalesce(p.result, o.o_custkey) AS result
+FROM r LEFT JOIN p ON p.k = r.o_orderkey AND p.m = r.model AND p.n = r.pages LEFT JOIN orders o ON o.o_orderkey = r.o_orderkey AND o.o_orderkey % 2 = 0 AND r.model = 'N'""",
     "q67_figures_there": "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' units'))[1:15], ', ') AS figures FROM lineitem GROUP BY l_suppkey",
     "q68_renamed_formulas": f"""WITH p AS (SELECT p_partkey, p_name, p_type, NOT regexp_matches(p_name, '^[A-Za-z_][A-Za-z0-9_]*$') AS n, NOT regexp_matches(p_type, '^[A-Za-z_][A-Za-z0-9_]*$') AS t FROM part)
  SELECT p_partkey, CASE WHEN n THEN {_NAME} ELSE p_name END || ' / (' || CASE WHEN t THEN {_TYPE} ELSE p_type END || ' - ' || CASE WHEN n THEN {_NAME} ELSE p_name END || ') + rest' AS formula, CAST(n AS BIGINT) + CAST(t AS BIGINT) AS renamed FROM p""",
@@ -199,4 +215,4 @@ SELECT o_orderkey, CASE WHEN code IS NOT NULL THEN NULL WHEN f = 0 THEN CAST((a
  UNION ALL SELECT o_orderkey, 'Per share', 1, y, c, false, 'p', 0, NULL, c FROM o UNION ALL SELECT o_orderkey, 'Per share', 2, y - 1, 7, false, 'p', 0, NULL, 7 FROM o""",
 }
 
-QUERIES = {f.__name__: f for f in (q64_evidence_graph, q65_exact_formulas, q66_store_versions, q67_figures_there, q68_renamed_formulas, q56_ways_to_write, q57_read_requests, q58_pages_to_read, q59_question_ids, q60_valid_calculations, q61_drafts, q62_denials, q63_block_values)}
+QUERIES = {f.__name__: f for f in (q64_evidence_graph, q65_exact_formulas, q66_store_versions, q67_figures_there, q68_renamed_formulas, q69_cached_pages, q56_ways_to_write, q57_read_requests, q58_pages_to_read, q59_question_ids, q60_valid_calculations, q61_drafts, q62_denials, q63_block_values)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from numerant.operators import calculation as C
 from numerant.operators import evidence as V
 from numerant.operators import exact as X
+from numerant.operators import ledger as L
 from numerant.operators import retrieval as R
 from numerant.operators.turns import attempts, selected_answers
 from numerant.sources import versions as S
@@ -147,3 +148,13 @@ def test_figures_that_are_there(spark):
     values = spark.createDataFrame([("B1", f" {k % 40} ") for k in range(200)] + [("B2", None), ("B3", "7"), ("B3", "7 ")], "block string, raw string")
     got = {r.block: r.figures for r in R.figures_there(values).collect()}
     assert got == {"B1": ", ".join(sorted(map(str, range(40)))[:15]), "B3": "7"}
+
+
+def test_cached_pages_fall_back_to_the_whole_file(spark):
+    entries = spark.createDataFrame([("a", "m", 1, "a1"), ("a", "m", None, "all of a"), ("b", "m", 2, "b2"), ("b", "m", 2, "b1"), ("a", "n", None, "other"), (None, "m", 1, "none")], "sha string, model string, pages int, text string")
+    asked = spark.createDataFrame([("a", "m", 1), ("a", "m", 2), ("a", "m", None), ("b", "m", 2), ("b", "m", 3), ("b", "m", None), ("c", "m", 1), (None, "m", 1), ("a", "m", 1)], "sha string, model string, pages int")
+    got = {(r.sha, r.pages): (r.level, r.text) for r in L.cached(asked, entries, ["sha", "model"]).collect()}
+    assert got == {
+        ("a", 1): ("pages", "a1"), ("a", 2): ("file", "all of a"), ("a", None): ("file", "all of a"), ("b", 2): ("pages", "b1"), ("b", 3): (None, None), ("b", None): (None, None), ("c", 1): (None, None), (None, 1): (None, None),
+    }
+    assert L.cached(asked, entries.limit(0), ["sha", "model"]).filter("level is null").count() == 8
