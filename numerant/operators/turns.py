@@ -75,9 +75,8 @@ def year_hints(figures: DataFrame, years: DataFrame, within: str, reach: int = 1
     pairs = figures.join(years, within)
     behind = F.col("start") >= F.col("y_stop")
     gap = F.when(behind, F.col("start") - F.col("y_stop")).when(F.col("stop") <= F.col("y_start"), F.col("y_start") - F.col("stop"))
-    one = Window.partitionBy(within, "y_start", "year")
-    near = pairs.withColumn("gap", gap).withColumn("_inside", F.bool_or(F.col("gap").isNull()).over(one)).filter((F.col("gap") <= reach) & ~F.col("_inside"))
     forward = F.col("forward") & behind if "forward" in years.columns else F.lit(False)
-    first = near.withColumn("_r", F.row_number().over(one.orderBy(forward.desc(), "gap", "start"))).filter("_r = 1")
-    hints = first.groupBy(within, "pos").agg(F.when(F.count_distinct("year") == 1, F.max("year")).alias("year"))
+    near = F.when(gap <= reach, F.struct((~forward).alias("later"), gap.alias("gap"), "start", "pos"))
+    first = pairs.groupBy(within, "y_start", "year").agg(F.bool_or(gap.isNull()).alias("_inside"), F.min(near).alias("_near")).filter("not _inside and _near is not null")
+    hints = first.select(within, F.col("_near.pos").alias("pos"), "year").groupBy(within, "pos").agg(F.when(F.min("year") == F.max("year"), F.max("year")).alias("year"))
     return figures.join(hints, [within, "pos"], "left")

@@ -10,7 +10,7 @@ from numerant.operators.evaluation import arm_matrix, arm_summary, missing_and_w
 from numerant.operators.ledger import captions, forward_filled, missing, upserted
 from numerant.operators.status import figure_statuses
 from numerant.operators.turns import attempts, latest, selected_answers, year_hints
-from numerant.sources.tables import table
+from numerant.sources.tables import spread, table
 from numerant.streaming.windows import deduplicated, session_totals, tumbling_totals
 
 
@@ -33,7 +33,8 @@ def q20_caption_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q21_nearest_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as figures and years of a clause, at places made from their numbers."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * 12).alias("start"), (F.col("l_linenumber") * 12 + 4).alias("stop"), F.year("l_shipdate").alias("year"))
+    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_orderkey")
+    items = rows.select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * 12).alias("start"), (F.col("l_linenumber") * 12 + 4).alias("stop"), F.year("l_shipdate").alias("year"))
     figures = items.select(F.col("l_orderkey").alias("clause"), F.col("l_linenumber").alias("pos"), "start", "stop")
     years = items.filter("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("clause"), "year", (F.col("start") + 5).alias("y_start"), (F.col("start") + 9).alias("y_stop"))
     return year_hints(figures, years, "clause").select("clause", "pos", "year")
