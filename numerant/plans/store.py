@@ -17,7 +17,7 @@ from numerant.operators.ledger import cached, pages_to_read, read_problems
 from numerant.operators.retrieval import figures_there
 from numerant.operators.results import rewrites, stated_as
 from numerant.operators.turns import valid_calculations
-from numerant.sources.tables import dealt, table
+from numerant.sources.tables import dealt, spread, table
 from numerant.sources.versions import appended, current, fresh_folder, with_ids, written
 
 
@@ -56,7 +56,8 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     role = F.when(n % 3 == 1, "user").when((n + F.col("l_orderkey")) % 2 == 0, "tool").otherwise("assistant")
     text = F.when(role == "tool", F.concat(F.lit("C"), n, F.lit(" = 5%  (write it as: 5% [C"), n, F.lit("])"))).otherwise(F.concat(F.lit("text "), n))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("conv_id"), n.alias("turn"), role.alias("role"), text.alias("text"), ((n > 1) & (role == "user")).alias("injected"))
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")
+    return items.select(F.col("l_orderkey").alias("conv_id"), n.alias("turn"), role.alias("role"), text.alias("text"), ((n > 1) & (role == "user")).alias("injected"))
 
 
 def q60_valid_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
