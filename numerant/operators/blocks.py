@@ -13,6 +13,7 @@ from numerant.functions.numeric import currency_code, literal_map, size_of, step
 from numerant.functions.text import is_separator_row, normalised, row_cells
 from numerant.lexicon import CODES, HEADER_SCALES
 from numerant.operators.figures import extract_figures
+from numerant.sources.tables import large
 
 # How headers state scales and currencies, and cells that hold only a unit.
 CODE_RX = "|".join(CODES)
@@ -76,39 +77,40 @@ def block_values(blocks: DataFrame) -> DataFrame:
     with_years = heads.groupBy("block").agg(F.sort_array(F.collect_set("year")).alias("years"))
 
     # Unit rows: every cell but the first is empty or a unit. Lines of text end what they say.
-    body = lines.filter("in_table and not is_head and not is_sep and (sep is null or line > sep)")
+    body = F.expr("in_table and not is_head and not is_sep and (sep is null or line > sep)")
     filled = F.filter(F.slice("cells", 2, 1000), lambda c: c != "")
-    body = body.withColumn("is_unit", (F.size(filled) > 0) & F.forall(filled, lambda c: unit_of_cell(c).isNotNull()))
-    flow = lines.join(body.select("block", "line", "is_unit"), ["block", "line"], "left")
-    flow = flow.withColumn("spec", F.when(F.coalesce("is_unit", F.lit(False)), F.transform("cells", lambda c: F.coalesce(unit_of_cell(c), F.lit(None)))).when(~F.col("in_table"), F.array().cast("array<struct<unit:string,scale:int,currency:string>>")))
+    is_unit = F.when(body, (F.size(filled) > 0) & F.forall(filled, lambda c: unit_of_cell(c).isNotNull()))
+    flow = lines.withColumn("spec", F.when(F.coalesce(is_unit, F.lit(False)), F.transform("cells", lambda c: F.coalesce(unit_of_cell(c), F.lit(None)))).when(~F.col("in_table"), F.array().cast("array<struct<unit:string,scale:int,currency:string>>")))
     flow = flow.withColumn("spec", F.last("spec", ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     label = F.when(F.col("in_table"), F.element_at("cells", 1))
     flow = flow.withColumn("label", label).withColumn("row_scale", F.when(F.col("in_table"), stated_scale(label)).otherwise(0)).withColumn("row_currency", stated_currency(label))
 
     # Figures, in their lines and columns.
     found = extract_figures(base.select(F.col("block").alias("key"), "text"), "key", exempt=False).withColumnRenamed("key", "block")
-    # As one column, so that both uses below ask for the same exchange and texts are read once.
-    found = found.select("block", F.struct(*[c for c in found.columns if c != "block"]).alias("_figure"))
-    placed = found.join(flow.select("block", "line", "t", "begin", "in_table", "is_head", "spec", "label", "row_scale", "row_currency"), "block").select("*", "_figure.*").drop("_figure")
+    placed = found.join(large(flow.select("block", "line", "t", "begin", "in_table", "is_head", "spec", "label", "row_scale", "row_currency")), "block")
     placed = placed.filter((F.col("start") >= F.col("begin")) & (F.col("start") <= F.col("begin") + F.length("t")))
     ahead = F.substring("t", 1, F.col("start") - F.col("begin"))
     placed = placed.withColumn("col", F.when(F.col("in_table"), F.length(ahead) - F.length(F.replace(ahead, F.lit("|"), F.lit(""))) - 1))
     words = F.regexp_extract_all(F.element_at(F.split(ahead, r"[.;:!?](?:\s|$)|[()]"), -1), F.lit(r"[A-Za-z][A-Za-z'&/-]*"), 0)
     placed = placed.withColumn("label", F.when(F.col("in_table"), F.coalesce("label", F.lit(""))).otherwise(F.array_join(F.slice(words, F.greatest(F.size(words) - 5, F.lit(1)), 6), " ")))
-    placed = placed.join(heads.select("block", "col", "year", "is_note"), ["block", "col"], "left").join(with_years, "block", "left")
+    placed = placed.join(large(heads.select("block", "col", "year", "is_note")), ["block", "col"], "left").join(large(with_years), "block", "left")
 
     own = F.col("unit").isNotNull() | (F.col("scale") > 0)
     plain = F.col("value").between(1900, 2099) & (F.col("decimals") == 0) & ~F.col("raw").contains(",")
     bare_year = plain & ~F.col("neg") & F.col("currency").isNull() & ~own
     yearish = plain & ~F.coalesce(F.col("unit").isin("%", "pp", "bps"), F.lit(False))
-    first = placed.filter(F.col("in_table") & ~F.col("is_head") & ~F.col("unparsed") & ~yearish).groupBy("block").agg(F.min("line").alias("first_data"))
-    scope = lines.join(first, "block", "left").filter("not in_table or first_data is null or line < first_data")
-    scope = scope.groupBy("block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n").alias("scope"))
-    stated = base.join(scope, "block", "left").withColumn("scope", F.coalesce("scope", F.lit("")))
+    # A block's figures are one row while its lines say what it states, so that texts are read once.
+    data = F.col("in_table") & ~F.col("is_head") & ~F.col("unparsed") & ~yearish
+    counts = ~F.col("is_head") & ~F.col("unparsed") & ~bare_year & ~F.coalesce("is_note", F.lit(False))
+    figure = F.struct("pos", "raw", "label", "col", "in_table", "spec", "row_scale", "row_currency", "year", "years", "value", "neg", "decimals", "direction", "unit", "scale", "currency")
+    figures = placed.groupBy("block").agg(F.min(F.when(data, F.col("line"))).alias("first_data"), F.collect_list(F.when(counts, figure)).alias("_figures"))
+    scope = lines.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("line", "t", "in_table"))).alias("_lines"))
+    stated = base.join(large(scope), "block").join(large(figures), "block")
+    above = F.filter("_lines", lambda x: ~x["in_table"] | F.col("first_data").isNull() | (x["line"] < F.col("first_data")))
+    stated = stated.withColumn("scope", F.array_join(F.transform(above, lambda x: x["t"]), "\n"))
     stated = stated.withColumn("scope", F.when(stated_scale(F.col("scope")) == 0, F.concat("caption", F.lit("\n"), "scope")).otherwise(F.col("scope")))
-    stated = stated.select("block", stated_scale(F.col("scope")).alias("block_scale"), F.coalesce(stated_currency(F.col("scope")), stated_currency(F.col("text"))).alias("block_currency"))
-
-    out = placed.filter(~F.col("is_head") & ~F.col("unparsed") & ~bare_year & ~F.coalesce("is_note", F.lit(False))).join(stated, "block")
+    stated = stated.select("block", stated_scale(F.col("scope")).alias("block_scale"), F.coalesce(stated_currency(F.col("scope")), stated_currency(F.col("text"))).alias("block_currency"), "_figures")
+    out = stated.select("block", "block_scale", "block_currency", F.inline("_figures"))
     spec = F.when(F.col("in_table") & (F.col("col") >= 0), F.try_element_at("spec", F.col("col") + 1))
     inherits = F.col("unit").isNull() & (F.col("scale") == 0)
     by_row = F.when(inherits & F.col("currency").isNull(), spec)

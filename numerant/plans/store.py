@@ -79,7 +79,7 @@ def q63_block_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(
         F.lit("| Item | "), y, F.lit(" £m | "), y - 1, F.lit(" £m | Note |\n|---|---|---|---|\n| Total | "), p, F.lit(" | ("), p, F.lit(") | 4 |\n| | pence | pence | |\n| Per share | "), k % 100 + 1, F.lit(".5 | 7 | 5 |"),
     )
-    found = block_values(table(spark, sf_dir, "orders").select(k.cast("string").alias("block"), text.alias("text")))
+    found = block_values(_dealt_orders(spark, sf_dir).select(k.cast("string").alias("block"), text.alias("text")))
     return found.select(F.col("block").cast("long").alias("o_orderkey"), "label", F.col("col").cast("long").alias("col"), "year", "value", "neg", "unit", F.col("scale").cast("int").alias("scale"), "currency", "size")
 
 
