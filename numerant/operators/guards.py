@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from numerant.functions.numeric import is_percent
 from numerant.operators.calculation import LITERALS, tree
 from numerant.operators.figures import extract_figures
+from numerant.sources.tables import large
 
 # Scales that an input may declare.
 DECLARED_SCALES = {"k": 3, "m": 6, "bn": 9}
@@ -131,9 +132,9 @@ def resolved_inputs(inputs: DataFrame, values: DataFrame) -> DataFrame:
     found = extract_figures(keyed.select("_id", "value"), "_id", "value", exempt=False)
     one = found.groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("unparsed").alias("glued"), F.first(F.struct("value", "neg", "scale", "unit", "currency")).alias("f"))
     blocks = values.select(F.col("block").alias("source"), F.lit(True).alias("there")).distinct()
-    asked = keyed.join(one, "_id", "left").join(blocks, "source", "left")
+    asked = keyed.join(large(one), "_id", "left").join(large(blocks), "source", "left")
     v = values.select("block", "pos", F.col("raw").alias("v_raw"), F.col("value").alias("v_value"), F.struct("unit", "neg", "scale", "currency", "year").alias("v"))
-    pairs = asked.select("_id", "source", "f").join(v, (F.col("source") == F.col("block")) & (F.col("f.value") == F.col("v_value")))
+    pairs = asked.select("_id", "source", "f").join(large(v), (F.col("source") == F.col("block")) & (F.col("f.value") == F.col("v_value")))
     same_kind = is_percent(F.col("f.unit")) == is_percent(F.col("v.unit"))
     stated = F.col("f.unit").isNotNull() | F.col("f.currency").isNotNull() | (F.col("f.scale") > 0)
     unit = same_kind & (is_percent(F.col("f.unit")) | ~stated | F.col("f.unit").eqNullSafe(F.col("v.unit")))
@@ -163,7 +164,7 @@ def resolved_inputs(inputs: DataFrame, values: DataFrame) -> DataFrame:
     sized = F.col("f.value").cast("double") * F.when(unit_of == "bps", 0.0001).when(is_percent(unit_of), 0.01).otherwise(F.pow(F.lit(10.0), exponent))
     base = F.when(F.col("f.neg"), -sized).otherwise(sized)
     money = F.when(unit_of.isNull(), F.coalesce("f.currency", F.when(~assumed, F.col("v.currency"))))
-    return asked.join(fits, "_id", "left").withColumn("problem", problem).select(
+    return asked.join(large(fits), "_id", "left").withColumn("problem", problem).select(
         "calc_id", "name", F.when(F.col("problem").isNull(), base).alias("base"), "problem", unit_of.alias("unit"), is_percent(unit_of).alias("is_percent"), money.alias("currency"),
         exponent.alias("scale"), "year", F.col("v.v_raw").alias("matched"),
     )
