@@ -4,9 +4,11 @@ Two sets of similarity at least p/q differ in few elements for their size. Sets
 domain of elements is cut into partitions, and subsets of them are enumerated (pairs where few elements may differ, else
 single ones), so many that some of them hold no difference. The content of a subset, hashed, is a signature.
 
-There are more partitions than differences require, so a set may do without its emptiest subsets: if at least ``sure``
-subsets of two similar sets are equal, each signs those that are no smaller than its ``sure``-th smallest one, and an
-equal one remains that both sign. So partitions without elements, which all sets would share, sign nothing.
+There are more partitions than differences require, so a set may do without some of its subsets: at least ``sure`` of
+two similar sets are equal, so in any order of signatures that is the same for all sets, each may leave out its first
+``sure`` - 1, and the last of the equal ones remains in both. Empty subsets come first, which all sets would share and
+which sign nothing, then the signatures that most sets have. So a passage that many documents hold makes no groups, and
+of sets that share fewer than ``sure`` signatures with any others none are compared.
 
 What is wanted are the groups that links form, so links are looked for only until they join the groups:
 
@@ -20,7 +22,8 @@ What is wanted are the groups that links form, so links are looked for only unti
    components are then exact.
 
 Before any text is fetched, a pair must pass the size bound and a sketch of 256 parities, which differ in no more
-places than the sets do, and before texts are joined to pairs, one of 2,048. Signatures are grouped with partial sums,
+places than the sets do, and before texts are joined to pairs, one of 2,048; pairs of the last step pass that one, too,
+before they come out. Signatures are grouped with partial sums,
 hubs are joined by sort-merge joins that adaptive execution splits, and no group is gathered in one task.
 """
 
@@ -34,7 +37,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from numerant.llm.common import NOT_SPACE, grouped, hashed_words, id_filter, maybe_in, mixed, removed, small_batches, stored
@@ -52,7 +55,10 @@ GROUP = 64
 BLOCK = 2048
 LARGE = 16_384
 ROUNDS = 3
-NODE = ["doc", "n", "p0", "p1", "p2", "p3", "signed"]
+#: Sets of so many elements have a sketch of WIDE_SKETCH parities too, as 256 tell less of them.
+WIDE_FROM = 256
+NODE = ["doc", "n", "p0", "p1", "p2", "p3", "wide", "signed", "spare"]
+BANDS = 128
 _FACTORS = mixed(np.arange(1, 17, dtype=np.uint64))
 
 
@@ -85,14 +91,14 @@ def subsets(parts: int, kept: int) -> np.ndarray:
     return np.array(list(combinations(range(parts), kept)), np.int64).reshape(-1, kept)
 
 
-def signatures(elements: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
-    """All signatures of a set given as sorted distinct 64-bit hashes. Other seeds cut the domain elsewhere."""
+def signed_bands(elements: np.ndarray, percent: int, seed: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """For each band in which a set given as sorted distinct 64-bit hashes may meet another: the band, the hashed contents
+    of its subsets, their sizes, and ``sure``. Other seeds cut the domain elsewhere."""
     n = len(elements)
     if seed:
         elements = np.sort(mixed(elements ^ _FACTORS[seed]))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(mixed(elements ^ _FACTORS[15]), out=sums[1:])
-    out = []
     for band in range(band_of(-(-n * percent // 100)), band_of(n) + 1):  # where the smaller set of a pair may be
         k = (bands(1 << 40)[band + 1] - 1) * (100 - percent) // percent
         parts, kept, sure = plan(k)
@@ -103,9 +109,24 @@ def signatures(elements: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
         held = np.full(len(chosen), band, np.uint64) * _FACTORS[14] + np.arange(len(chosen), dtype=np.uint64) * _FACTORS[13]
         for slot in range(kept):
             held += mixed(content[chosen[:, slot]] + _FACTORS[slot])
-        size = sizes[chosen].sum(axis=1)
-        out.append(mixed(held[size >= np.partition(size, sure - 1)[sure - 1]]))
-    return np.concatenate(out)
+        yield band, mixed(held), sizes[chosen].sum(axis=1), sure
+
+
+def signatures(elements: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
+    """Signatures of a set, of which two similar sets share one in their band: those no smaller than the ``sure``-th
+    smallest one."""
+    return np.concatenate([held[size >= np.partition(size, sure - 1)[sure - 1]] for _, held, size, sure in signed_bands(elements, percent, seed)])
+
+
+def spare_signatures(elements: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """All signatures of a set that have elements, with their band in the lowest bits; and the first band, and for each
+    band how many signatures the set may do without. Where all ``sure`` may be empty, the empty ones sign too."""
+    out, spare = [], []
+    for band, held, size, sure in signed_bands(elements, percent):
+        empty = int((size == 0).sum())
+        spare += [sure - 1 - empty if empty < sure else sure - 1] if spare else [band, sure - 1 - empty if empty < sure else sure - 1]
+        out.append((held if empty >= sure else held[size > 0]) & ~np.uint64(BANDS - 1) | np.uint64(band))
+    return np.concatenate(out), spare
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -139,20 +160,23 @@ def parities(elements: np.ndarray, size: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """doc, n, the set's 128-bit identity (h1, h2), its sketch (p0 to p3) and its signatures."""
+    """doc, n, the set's 128-bit identity (h1, h2), its sketches (p0 to p3; wide), its signatures and which it may spare."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, signed = [], []
+            rows, signed, spared, wide = [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), words):
                 parity = parities(s, SKETCH).view("<i8")
                 ident = [int(mixed(s ^ _FACTORS[k]).sum(dtype=np.uint64).view(np.int64)) for k in (10, 11)]
                 rows.append((len(s), *ident, *parity.tolist()))
-                signed.append(signatures(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                found, spare = spare_signatures(s, percent) if len(s) else (np.zeros(0, np.uint64), [])
+                signed.append(found.view(np.int64))
+                spared.append(np.array(spare, np.int64))
+                wide.append(parities(s, WIDE_SKETCH).view("<i8").tolist() if len(s) >= WIDE_FROM else None)
             cols = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, lists(signed)], ["doc", "n", "h1", "h2", "p0", "p1", "p2", "p3", "signed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(wide, pa.list_(pa.int64())), lists(signed), lists(spared)], ["doc", "n", "h1", "h2", "p0", "p1", "p2", "p3", "wide", "signed", "spare"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(describe, "doc long, n long, h1 long, h2 long, p0 long, p1 long, p2 long, p3 long, signed array<long>")
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(describe, "doc long, n long, h1 long, h2 long, p0 long, p1 long, p2 long, p3 long, wide array<long>, signed array<long>, spare array<long>")
 
 
 def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -167,6 +191,12 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (flips * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def may_link_wide(a: str, b: str, percent: int) -> Column:
+    """What the wide sketches say, if both have one."""
+    flips = F.aggregate(F.zip_with(f"{a}.wide", f"{b}.wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, p: total + p)
+    return F.coalesce(flips * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent), F.lit(True))
+
+
 @dataclass(frozen=True)
 class Texts:
     """The documents of a join: their texts by key, and whether a key has several rows."""
@@ -239,7 +269,15 @@ class Texts:
 def grouped_nodes(signed: DataFrame) -> DataFrame:
     """sig, doc and company (how many nodes have the signature), of signatures with company."""
     shared = stored(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("company")).filter("company > 1"), "shared")
-    return maybe_in(signed, "sig", id_filter(shared.select("sig"))).join(shared, "sig").select("sig", "doc", "company")
+    return maybe_in(signed, "sig", id_filter(shared.select("sig"))).join(shared, "sig").select(*signed.columns, "company")
+
+
+def without_spare(company: DataFrame) -> DataFrame:
+    """sig, doc and company of the signatures that a node can't do without: in each band (doc, band) all but the ``spare``
+    ones that most nodes have. Ties are broken by the signature, so the order is the same for all nodes."""
+    band = F.col("sig").bitwiseAND(BANDS - 1)
+    rows = company.withColumn("nth", F.row_number().over(Window.partitionBy("doc", band).orderBy(F.desc("company"), "sig")))
+    return rows.withColumn("least", F.min("spare").over(Window.partitionBy("doc", band))).filter("nth > least").select("sig", "doc", "company")
 
 
 def with_hubs(company: DataFrame) -> DataFrame:
@@ -262,23 +300,24 @@ def still_apart(groups: DataFrame, parts: DataFrame) -> DataFrame:
 def joined_pairs(members: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes of a group, in different components, that may link."""
     x, y = members.alias("x"), members.alias("y")
-    found = x.join(y, F.expr("x.sig = y.sig and x.doc < y.doc and x.part <> y.part") & may_link("x", "y", percent))
+    found = x.join(y, F.expr("x.sig = y.sig and x.doc < y.doc and x.part <> y.part") & may_link("x", "y", percent) & may_link_wide("x", "y", percent))
     return found.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """The same for large groups: their nodes are dealt into blocks, and blocks meet each other."""
-    fields = ["doc", "part", "n", "p0", "p1", "p2", "p3"]
+    fields, longs = ["doc", "part", "n", "p0", "p1", "p2", "p3"], WIDE_SKETCH // 64
 
     def block(table: pa.Table) -> pa.Table:
         """The nodes of a block, of which a salt bounds the number, as one row."""
-        data = np.stack([table[c].to_numpy() for c in fields]).astype("<i8")
+        wide = table["wide"].combine_chunks().flatten().to_numpy().reshape(len(table), -1).T
+        data = np.concatenate([np.stack([table[c].to_numpy() for c in fields]), wide]).astype("<i8")
         return pa.table({"sig": table["sig"].slice(0, 1), "block": table["block"].slice(0, 1), "data": pa.array([data.tobytes()], pa.binary())})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for one, other in zip(*(b.column(c).to_pylist() for c in range(2)), strict=True):
-                x, y = (np.frombuffer(d, "<i8").reshape(len(fields), -1) for d in (one, other))
+                x, y = (np.frombuffer(d, "<i8").reshape(len(fields) + longs, -1) for d in (one, other))
                 for low in range(0, x.shape[1], 256):
                     u = x[:, low : low + 256, None]
                     v = y[:, None, :]
@@ -286,11 +325,18 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
                     fits &= np.minimum(u[2], v[2]) * 100 >= np.maximum(u[2], v[2]) * percent
                     flips = sum(np.bitwise_count(u[k] ^ v[k]).astype(np.int64) for k in range(3, 7))
                     at, to = np.nonzero(fits & (flips * (100 + percent) <= (u[2] + v[2]) * (100 - percent)))
-                    left, right = x[0, low + at], y[0, to]
+                    keep = []
+                    for first in range(0, len(at), 1 << 15):
+                        u, v = x[:, low + at[first : first + (1 << 15)]], y[:, to[first : first + (1 << 15)]]
+                        flips = np.bitwise_count(u[-longs:] ^ v[-longs:]).sum(axis=0, dtype=np.int64)
+                        keep.append((np.minimum(u[2], v[2]) < WIDE_FROM) | (flips * (100 + percent) <= (u[2] + v[2]) * (100 - percent)))
+                    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+                    left, right = x[0, low + at[keep]], y[0, to[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
 
     dealt = members.withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("company") / BLOCK)).cast("int"))
-    blocks = dealt.select("sig", "block", *fields).groupBy("sig", "block").applyInArrow(block, "sig long, block int, data binary")
+    wide = F.coalesce("wide", F.array_repeat(F.lit(0).cast("long"), longs)).alias("wide")
+    blocks = dealt.select("sig", "block", *fields, wide).groupBy("sig", "block").applyInArrow(block, "sig long, block int, data binary")
     x, y = blocks.alias("x"), blocks.alias("y")
     met = x.join(y, F.expr("x.sig = y.sig and x.block <= y.block")).select(F.col("x.data").alias("one"), F.col("y.data").alias("other"))
     return met.mapInArrow(compare, "a long, b long")
@@ -317,7 +363,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
     copied = maybe_in(full, "h1", known).groupBy("h1", "h2").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in NODE[1:]])
     copied = stored(copied.select(*NODE), "copied")
     nodes = maybe_in(full, "h1", known, inside=False).select(*NODE).union(copied)
-    facts = nodes.drop("signed")
+    facts = nodes.drop("signed", "spare")
 
     # Of sets with copies, which may be very many, every share finds its head in one of SALTS places.
     salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS))
@@ -332,9 +378,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
     texts = Texts(docs, key, text, words, percent, repeated=not keys.isEmpty())
 
     # All nodes with a common signature meet its hub.
-    company = stored(grouped_nodes(nodes.select(F.explode("signed").alias("sig"), "doc")), "company")
+    signed = nodes.select(F.explode("signed").alias("sig"), "doc", "spare")
+    spare = F.get("spare", (F.col("sig").bitwiseAND(BANDS - 1) - F.get("spare", F.lit(0)) + 1).cast("int"))
+    company = stored(without_spare(grouped_nodes(signed.select("sig", "doc", spare.cast("int").alias("spare")))), "company")
     pairs = with_hubs(company).filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    x, y = facts.alias("x"), facts.alias("y")
+    x, y = facts.drop("wide").alias("x"), facts.drop("wide").alias("y")
     near = pairs.join(x, F.col("a") == F.col("x.doc")).join(y, F.col("b") == F.col("y.doc")).filter(may_link("x", "y", percent)).select("a", "b")
     near = stored(near.distinct(), "pairs")
     links = texts.verified(near)
