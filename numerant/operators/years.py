@@ -12,28 +12,37 @@ from pyspark.sql import functions as F
 YEAR = r"(?i)(?<![\d.,/–-])(?:FY\s?)?((?:19|20)\d{2})(?!\d|[.,]\d|\s?[-–/]\s?\d)"
 PERIOD = r"(?i)(?:\b(?:from|between)\s+)?(?:FY\s?)?(?:19|20)\d{2}(?:\s*[-–/]\s*|\s+(?:to|until|through|and|vs\.?|versus)\s+)(?:FY\s?)?(?:19|20)\d{2}\b"
 COMPARING = r"(?i)\b(?:from|compared|versus|vs\.?|against|prior|previous|preceding|before|earlier|last year|a year ago)\b"
+# What a text must hold for a year, and for a period, to be found.
+_ONE = r"(?:19|20)\d{2}"
+_TWO = rf"(?s){_ONE}.*{_ONE}"
 
 
 def single_year(text: Column) -> Column:
     """The only year of a text, not counting those of periods; else null."""
-    years = F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, PERIOD, " "), F.lit(YEAR), 1))
+    single = F.when(text.rlike(_TWO), F.regexp_replace(text, PERIOD, " ")).otherwise(text)
+    years = F.array_distinct(F.regexp_extract_all(single, F.lit(YEAR), 1))
     return F.when(F.size(years) == 1, F.element_at(years, 1).cast("int"))
 
 
 def clause_year(text: Column) -> Column:
     """The one year that a clause is about; null where it compares. Years in brackets belong to their own figures."""
-    return F.when(~text.rlike(COMPARING), single_year(F.regexp_replace(text, r"\([^)]*\)", " ")))
+    return F.when(text.rlike(_ONE) & ~text.rlike(COMPARING), single_year(F.regexp_replace(text, r"\([^)]*\)", " ")))
 
 
 _SPOTS = pa.list_(pa.struct([("year", pa.int32()), ("y_start", pa.int32()), ("y_stop", pa.int32()), ("forward", pa.bool_())]))
-_PERIOD, _YEAR = re.compile(PERIOD), re.compile(YEAR)
+_PERIOD, _YEAR, _CENTURY = re.compile(PERIOD), re.compile(YEAR), re.compile("19|20")
+_LEAD = 3  # characters of "FY " before a year
 REACH = 15  # characters between a year and its figure
 
 
 def _spots(texts: pa.Array) -> pa.Array:
     def of(text: str) -> list[dict]:
-        plain = _PERIOD.sub(lambda m: "\x00" * len(m[0]), text)
-        return [{"year": int(m[1]), "y_start": m.start(), "y_stop": m.end(), "forward": text[m.end() : m.end() + 1] == ":"} for m in _YEAR.finditer(plain)]
+        first = _CENTURY.search(text)
+        if first is None:
+            return []
+        plain = _PERIOD.sub(lambda m: "\x00" * len(m[0]), text) if _CENTURY.search(text, first.end()) else text
+        found = _YEAR.finditer(plain, max(0, first.start() - _LEAD))
+        return [{"year": int(m[1]), "y_start": m.start(), "y_stop": m.end(), "forward": text[m.end() : m.end() + 1] == ":"} for m in found]
 
     return pa.array([None if t is None else of(t) for t in texts.to_pylist()], _SPOTS)
 
