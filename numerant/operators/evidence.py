@@ -4,43 +4,56 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ASSUMPTION = "assumption"
 MOST_LEVELS = 100
 
 
-def evidence(figures: DataFrame, inputs: DataFrame, most_levels: int = MOST_LEVELS) -> DataFrame:
+def _own_key() -> Column:
+    """A node as the key of a join that tells what it is; assumptions are nothing else and have keys that few rows share."""
+    return F.when(F.col("node") == ASSUMPTION, F.concat(F.lit(ASSUMPTION + " of "), F.col("figure_id").cast("string"))).otherwise(F.col("node"))
+
+
+def _in_parts(df: DataFrame, parts: int | None, *keys: str | Column) -> DataFrame:
+    return df.repartition(parts, *keys) if parts else df
+
+
+def evidence(figures: DataFrame, inputs: DataFrame, most_levels: int = MOST_LEVELS, parts: int | None = None) -> DataFrame:
     """One row per thing that a figure rests on: figure_id, node, level (0: what it cites), at (the numbers of the inputs
     on the way there), calculation (the one it is an input of) and leaf (nothing is made of other inputs there).
 
     ``figures``: figure_id, cite; ``inputs``: calc_id, no, source_id (a block, another calculation or ``assumption``). A
     calculation that rests on itself is met once on every way. Figures without a citation have no rows; the walk is a
-    recursive query, one equi-join per level, of at most ``most_levels`` levels.
+    recursive query, one equi-join per level, of at most ``most_levels`` levels. Assumptions are followed no further, so
+    that they are no common key. ``parts``: how many parts each level is joined in (it should grow with the tables).
     """
     spark = figures.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", -1)  # evidence grows with the figures; levels are bounded
     mark = uuid.uuid4().hex
     figures.filter("cite is not null").select("figure_id", "cite").createOrReplaceTempView(f"figures_{mark}")
-    inputs.select("calc_id", F.col("no").cast("int").alias("no"), "source_id").createOrReplaceTempView(f"inputs_{mark}")
+    _in_parts(inputs.select("calc_id", F.col("no").cast("int").alias("no"), "source_id"), parts, "calc_id").createOrReplaceTempView(f"inputs_{mark}")
     walk = spark.sql(f"""
         WITH RECURSIVE walk(figure_id, node, level, at, calculation, way) MAX RECURSION LEVEL {most_levels} AS (
           SELECT figure_id, cite, 0, CAST(array() AS ARRAY<INT>), CAST(NULL AS STRING), array(cite) FROM figures_{mark}
           UNION ALL
           SELECT w.figure_id, i.source_id, w.level + 1, concat(w.at, array(i.no)), w.node, concat(w.way, array(i.source_id))
-          FROM walk w JOIN inputs_{mark} i ON i.calc_id = w.node WHERE NOT array_contains(w.way, i.source_id))
+          FROM walk w JOIN inputs_{mark} i ON i.calc_id = w.node WHERE w.node <> '{ASSUMPTION}' AND NOT array_contains(w.way, i.source_id))
         SELECT figure_id, node, level, at, calculation FROM walk
     """)
-    made = inputs.select(F.col("calc_id").alias("node")).distinct().withColumn("_made", F.lit(True))
-    return walk.join(made, "node", "left").select("figure_id", "node", "level", "at", "calculation", F.col("_made").isNull().alias("leaf"))
+    made = _in_parts(inputs.select(F.col("calc_id").alias("_key")), parts, "_key").distinct().withColumn("_made", F.lit(True))
+    keyed = _in_parts(walk.withColumn("_key", _own_key()), parts, "_key")
+    return keyed.join(made, "_key", "left").select("figure_id", "node", "level", "at", "calculation", F.col("_made").isNull().alias("leaf"))
 
 
-def evidence_lines(found: DataFrame, sources: DataFrame) -> DataFrame:
+def evidence_lines(found: DataFrame, sources: DataFrame, parts: int | None = None) -> DataFrame:
     """figure_id and ``line``: the files and places a figure rests on, in the order of the inputs, as ``file · place, place;
     file · place``, and how many assumptions. ``sources``: source_id, file, place (may be null). Leaves that are no source
-    are told by their id. Places of a file come once, where they are first met."""
-    leaves = found.filter("leaf").join(sources.withColumnRenamed("source_id", "node"), "node", "left")
+    are told by their id. Places of a file come once, where they are first met. ``parts``: how many parts figures are
+    dealt out into, once for all sums."""
+    keyed = _in_parts(found.filter("leaf").withColumn("_key", _own_key()), parts, "_key")
+    leaves = _in_parts(keyed.join(sources.withColumnRenamed("source_id", "_key"), "_key", "left"), parts, "figure_id")
     file = F.when(F.col("node") != ASSUMPTION, F.coalesce("file", "node"))
     places = leaves.groupBy("figure_id", file.alias("file"), "place").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
     told = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("at", "place")))), lambda p: p["place"]), ", ")

@@ -17,7 +17,7 @@ from numerant.operators.ledger import cached, pages_to_read, read_problems
 from numerant.operators.retrieval import figures_there
 from numerant.operators.results import rewrites, stated_as
 from numerant.operators.turns import valid_calculations
-from numerant.sources.tables import dealt, spread, table
+from numerant.sources.tables import FINER, dealt, spread, table
 from numerant.sources.versions import appended, current, fresh_folder, with_ids, written
 
 
@@ -104,7 +104,8 @@ def q64_evidence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(nations.select(name("N", "n_nationkey").alias("source_id"), F.lit("Nations").alias("file"), F.lit(None).cast("string").alias("place")))
     )
     figures = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("figure_id"), name("CO", "o_orderkey").alias("cite"))
-    return evidence_lines(evidence(figures, inputs), sources).select(F.col("figure_id").alias("o_orderkey"), "line")
+    parts = items.rdd.getNumPartitions() * FINER
+    return evidence_lines(evidence(figures, inputs, parts=parts), sources, parts).select(F.col("figure_id").alias("o_orderkey"), "line")
 
 
 #: Formulas over a total (a) and small numbers (b, c), by the order's key.
